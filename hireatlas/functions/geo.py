@@ -16,6 +16,12 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.when(a.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
+def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """The point on the unit sphere. Straight-line distance grows with great-circle distance."""
+    across = F.cos(F.radians(lat))
+    return across * F.cos(F.radians(lon)), across * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
 def cell(lat: Column, lon: Column, size_km: float) -> Column:
     """Cube of edge ``size_km`` that holds the point on the sphere.
 
@@ -25,11 +31,7 @@ def cell(lat: Column, lon: Column, size_km: float) -> Column:
     def axis(value: Column) -> Column:
         return F.floor(value * F.lit(EARTH_RADIUS_KM / size_km)).cast("long")
 
-    return F.struct(
-        axis(F.cos(F.radians(lat)) * F.cos(F.radians(lon))).alias("x"),
-        axis(F.cos(F.radians(lat)) * F.sin(F.radians(lon))).alias("y"),
-        axis(F.sin(F.radians(lat))).alias("z"),
-    )
+    return F.struct(*[axis(v).alias(n) for n, v in zip("xyz", unit_vector(lat, lon))])
 
 
 def touching_cells(center: Column) -> Column:

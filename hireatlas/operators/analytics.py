@@ -116,7 +116,7 @@ def kpi(new_jobs: DataFrame, shortlist: DataFrame | None = None, stats: DataFram
     if shortlist is not None:
         frames.append(shortlist.agg(F.count_if("recruiting_active").alias("companies_recruiting_active")))
     if stats is not None:
-        frames.append(stats.agg(F.count("*").alias("domains_crawled"), F.count_if("jobs_found > 0").alias("domains_with_jobs")))
+        frames.append(stats.agg(F.count("*").alias("domains_crawled"), F.count_if(F.col("jobs_found") > 0).alias("domains_with_jobs")))
         skips = stats.where("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n"))
         form = F.concat_ws(":", "status", F.col("n").cast("string"))
         frames.append(ranked_text(skips, [], "status", "n", 3, form, ";", "top_skip_reasons"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hireatlas.functions.geo import cell, haversine_km, touching_cells
+from hireatlas.functions.geo import cell, haversine_km, touching_cells, unit_vector
 from hireatlas.rules import EARTH_RADIUS_KM
 
 # A station list up to this length is compiled into the plan; longer ones meet companies in grid cells.
@@ -21,26 +21,37 @@ def nearest_station(companies: DataFrame, stations: DataFrame, inline_limit: int
     listed = usable.select("ord", "station_name", "lat", "lon").limit(inline_limit + 1).collect()
     if len(listed) > inline_limit:
         return _nearest_by_cells(companies, usable)
-    return companies.withColumn("_near", _nearest_inline(listed)).withColumns(
-        {"nearest_station": F.col("_near.station_name"), "distance_km": F.col("_near.km")}
-    ).drop("_near")
+    near = F.col("_near")
+    km = haversine_km(near["lat"], near["lon"], F.col("lat"), F.col("lon"))
+    # The position of a company is worked out once, not once per station.
+    placed = companies.withColumns(dict(zip(["_x", "_y", "_z"], unit_vector(F.col("lat"), F.col("lon")))))
+    return placed.withColumn("_near", _nearest_inline(listed)).withColumns(
+        {"nearest_station": near["station_name"], "distance_km": km}
+    ).drop("_near", "_x", "_y", "_z")
 
 
 def _nearest_inline(stations) -> Column:
-    """Smallest ``struct<km, ord, station_name>`` over a literal station list; one map-only pass."""
-    empty = F.lit(None).cast("struct<km:double,ord:bigint,station_name:string>")
-    options = [
-        F.struct(
-            haversine_km(F.lit(float(s["lat"])), F.lit(float(s["lon"])), F.col("lat"), F.col("lon")).alias("km"),
-            F.lit(s["ord"]).cast("long").alias("ord"),
-            F.lit(s["station_name"]).alias("station_name"),
-        )
-        for s in sorted(stations, key=lambda s: s["ord"])
-    ]
-    if not options:
-        return empty
+    """Closest entry of a literal station list, by straight-line distance; one map-only pass."""
+    if not stations:
+        return F.lit(None).cast("struct<chord:double,ord:bigint,station_name:string,lat:double,lon:double>")
+    points = F.array(
+        *[
+            F.struct(
+                *[v.alias(n) for n, v in zip("xyz", unit_vector(F.lit(float(s["lat"])), F.lit(float(s["lon"]))))],
+                F.lit(s["ord"]).cast("long").alias("ord"),
+                F.lit(s["station_name"]).alias("station_name"),
+                F.lit(float(s["lat"])).alias("lat"),
+                F.lit(float(s["lon"])).alias("lon"),
+            )
+            for s in stations
+        ]
+    )
+    def option(p: Column) -> Column:
+        dx, dy, dz = p["x"] - F.col("_x"), p["y"] - F.col("_y"), p["z"] - F.col("_z")
+        return F.struct((dx * dx + dy * dy + dz * dz).alias("chord"), *[p[n].alias(n) for n in ("ord", "station_name", "lat", "lon")])
+
     located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    return F.when(located, F.array_min(F.array(*options)))
+    return F.when(located, F.array_min(F.transform(points, option)))
 
 
 def _cells(stations: DataFrame, size_km: float) -> DataFrame:

@@ -105,7 +105,7 @@ def watch_lines(watched: DataFrame, max_items: int | None = None) -> DataFrame:
 
 def crawl_coverage(stats: DataFrame) -> DataFrame:
     """One row: domains, domains with postings, status breakdown, top skip reasons and top errors."""
-    totals = stats.agg(F.count("*").alias("domains_total"), F.count_if("jobs_found > 0").alias("domains_with_jobs"))
+    totals = stats.agg(F.count("*").alias("domains_total"), F.count_if(F.col("jobs_found") > 0).alias("domains_with_jobs"))
     by_status = stats.where("status IS NOT NULL").groupBy("status").agg(F.count("*").alias("n"))
     count_text = F.col("n").cast("string")
     statuses = ranked_text(by_status, [], "status", "n", None, F.concat_ws("=", "status", count_text), ", ", "status_breakdown")
