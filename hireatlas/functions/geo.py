@@ -32,18 +32,3 @@ def cell(lat: Column, lon: Column, size_km: float) -> Column:
         return F.floor(value * F.lit(EARTH_RADIUS_KM / size_km)).cast("long")
 
     return F.struct(*[axis(v).alias(n) for n, v in zip("xyz", unit_vector(lat, lon))])
-
-
-def touching_cells(center: Column) -> Column:
-    """The cube itself and its 26 neighbours."""
-    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
-    return F.array(
-        *[
-            F.struct(
-                (center["x"] + F.lit(x)).alias("x"),
-                (center["y"] + F.lit(y)).alias("y"),
-                (center["z"] + F.lit(z)).alias("z"),
-            )
-            for x, y, z in steps
-        ]
-    )

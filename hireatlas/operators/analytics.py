@@ -146,7 +146,7 @@ def top_companies(shortlist: DataFrame, new_jobs: DataFrame, all_jobs: DataFrame
     source = new_jobs if all_jobs is None else all_jobs
     tags = (
         source.select(F.col("company_business_id").alias("business_id"), "tags")
-        .join(F.broadcast(listed.select("business_id")), "business_id", "left_semi")
+        .join(listed.select("business_id"), "business_id", "left_semi")
         .select("business_id", F.explode("tags").alias("tag"))
         .groupBy("business_id", "tag")
         .agg(F.count("*").alias("n"))
@@ -165,16 +165,21 @@ def quality_alerts(view: DataFrame) -> DataFrame:
     )
 
 
-def jobs_by_company(joined: DataFrame) -> DataFrame:
-    """Companies of the postings: count, best score and the first name that is there."""
+def jobs_by_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Companies of the postings: count, score, and the first name a posting has, else the company's.
+
+    The postings are counted before the join, so a company with very many of them is one row there.
+    """
     own = F.min_by("company_name", F.when(usable("company_name").isNotNull(), F.col("ord")))
-    theirs = F.min_by("name", F.when(usable("name").isNotNull(), F.col("ord")))
-    return (
-        joined.where("company_business_id IS NOT NULL")
+    counted = (
+        jobs.where("company_business_id IS NOT NULL")
         .groupBy(F.col("company_business_id").alias("business_id"))
-        .agg(F.coalesce(own, theirs, F.lit("")).alias("name"), F.count("*").alias("job_count"), F.max("score").alias("score"))
-        .orderBy(F.col("job_count").desc(), F.col("score").desc_nulls_last(), "name", "business_id")
+        .agg(own.alias("_own"), F.count("*").alias("job_count"))
     )
+    joined = counted.join(companies.select("business_id", "name", "score"), "business_id", "left")
+    return joined.select(
+        "business_id", F.coalesce("_own", usable("name"), F.lit("")).alias("name"), "job_count", "score"
+    ).orderBy(F.col("job_count").desc(), F.col("score").desc_nulls_last(), "name", "business_id")
 
 
 def top_counts(jobs: DataFrame, by: Column, name: str, limit: int = 50) -> DataFrame:

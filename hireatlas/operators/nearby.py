@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hireatlas.functions.geo import cell, haversine_km, touching_cells, unit_vector
+from hireatlas.functions.geo import cell, haversine_km, unit_vector
 from hireatlas.rules import EARTH_RADIUS_KM
 
 # A station list up to this length is compiled into the plan; longer ones meet companies in grid cells.
@@ -55,17 +55,20 @@ def _nearest_inline(stations) -> Column:
 
 
 def _cells(stations: DataFrame, size_km: float) -> DataFrame:
-    """Every station in each cube from which it can be within ``size_km``."""
-    return stations.select(
-        F.struct("ord", "station_name", F.col("lat").alias("slat"), F.col("lon").alias("slon")).alias("s"),
-        F.explode(touching_cells(cell(F.col("lat"), F.col("lon"), size_km))).alias("cell"),
-    ).select("s.*", F.col("cell.x").alias("cx"), F.col("cell.y").alias("cy"), F.col("cell.z").alias("cz"))
+    """Every station in each cube from which it can be within ``size_km``: its own and the 26 around."""
+    rows = stations.select(
+        "ord", "station_name", F.col("lat").alias("slat"), F.col("lon").alias("slon"), cell(F.col("lat"), F.col("lon"), size_km).alias("c")
+    )
+    for axis in ("x", "y", "z"):
+        around = F.explode(F.sequence(F.col(f"c.{axis}") - 1, F.col(f"c.{axis}") + 1))
+        rows = rows.withColumn(f"c{axis}", around)
+    return rows.drop("c")
 
 
 def _nearest_by_cells(companies: DataFrame, stations: DataFrame, first_km: float = 8.0) -> DataFrame:
     """Nearest station over distinct locations, with cubes that grow until every location is served.
 
-    A hit within the cube edge is final. Only locations without one go to the next, four times larger
+    A hit within the cube edge is final. Only locations without one go to the next, eight times larger
     cubes, so the dense regions are settled in the first rounds.
     """
     located = companies.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -82,7 +85,7 @@ def _nearest_by_cells(companies: DataFrame, stations: DataFrame, first_km: float
         places = joined.groupBy("lat", "lon").agg(F.min(F.coalesce("best", found)).alias("best"))
         if size > 3.2 * EARTH_RADIUS_KM:  # farther than any great circle reaches
             break
-        size *= 4
+        size *= 8
     out = companies.join(places, ["lat", "lon"], "left")
     return out.withColumns({"nearest_station": F.col("best.station_name"), "distance_km": F.col("best.km")}).drop("best").select(
         *companies.columns, "nearest_station", "distance_km"

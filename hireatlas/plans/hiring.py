@@ -13,7 +13,7 @@ from hireatlas.functions.urls import clean_domain, maps_host_allowed, place_id
 from hireatlas.operators.crawl import access_gate, site_candidates
 from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wall
 from hireatlas.operators.signal import (
-    best_verdict, evidence_downgrade, evidence_gate, evidence_pairs, page_verdict, prompt_version, strongest_wall,
+    evidence_downgrade, evidence_gate, evidence_pairs, page_verdict, prompt_version, signal_rank,
 )
 
 PACKAGE_SCHEMA_VERSION = "0.1"  # fixed value
@@ -98,36 +98,37 @@ def scan_summary(scanned: DataFrame) -> DataFrame:
         listed = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("ord", F.col(value).alias("v")))))
         return F.transform(listed, lambda e: e["v"])
 
-    lists = rows.groupBy("business_id").agg(
+    # Everything about a company comes out of one aggregation, so its pages are judged once.
+    verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
+    strength = F.struct(signal_rank(F.col("signal")), "confidence", -F.col("ord"))
+    wall = F.struct(
+        F.lit(True).alias("detected"),
+        F.col("wall_score").alias("score"),
+        F.col("wall_hits").alias("hit_count"),
+        F.col("wall_signals").alias("signals"),
+        F.left("title", F.lit(120)).alias("sample_title"),
+        F.slice("wall_matches", 1, 5).alias("matches"),
+    )
+    grouped = rows.groupBy("business_id").agg(
         in_order("_address").alias("checked_urls"),
         in_order("_error").alias("errors"),
         F.array_sort(F.collect_set("_skipped")).alias("skipped_reasons"),
         F.count_if(fetched).alias("pages_fetched"),
         (F.count_if(counted) > 0).alias("results_found"),
+        F.max_by(F.struct(*verdict, F.col("final_url").alias("signal_url")), F.when(counted, strength)).alias("_best"),
+        F.max_by(wall, F.when(fetched & F.col("is_wall"), F.struct("wall_score", -F.col("ord")))).alias("cookie_wall"),
     )
-    verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
-    best = best_verdict(rows.where(counted)).select("business_id", *verdict, F.col("final_url").alias("signal_url"))
-    wall = strongest_wall(rows.where("is_wall")).select(
-        "business_id",
-        F.struct(
-            F.lit(True).alias("detected"),
-            F.col("wall_score").alias("score"),
-            F.col("wall_hits").alias("hit_count"),
-            F.col("wall_signals").alias("signals"),
-            F.left("title", F.lit(120)).alias("sample_title"),
-            F.slice("wall_matches", 1, 5).alias("matches"),
-        ).alias("cookie_wall"),
-    )
-    return lists.join(best, "business_id", "left").join(wall, "business_id", "left").withColumns(
+    best = F.col("_best")
+    return grouped.withColumns(
         {
-            "signal": F.coalesce("signal", F.lit("unclear")),
-            "confidence": F.coalesce("confidence", F.lit(0.0)),
-            "evidence": F.coalesce("evidence", F.lit("")),
-            "evidence_snippets": F.coalesce("evidence_snippets", literal_array([])),
-            "evidence_urls": F.coalesce("evidence_urls", literal_array([])),
-            "signal_url": F.coalesce("signal_url", F.lit("")),
+            "signal": F.coalesce(best["signal"], F.lit("unclear")),
+            "confidence": F.coalesce(best["confidence"], F.lit(0.0)),
+            "evidence": F.coalesce(best["evidence"], F.lit("")),
+            "evidence_snippets": F.coalesce(best["evidence_snippets"], literal_array([])),
+            "evidence_urls": F.coalesce(best["evidence_urls"], literal_array([])),
+            "signal_url": F.coalesce(best["signal_url"], F.lit("")),
         }
-    )
+    ).drop("_best")
 
 
 def hiring_signal(targets: DataFrame, summary: DataFrame, run: Run) -> DataFrame:

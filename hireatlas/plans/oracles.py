@@ -21,7 +21,7 @@ def lst(values) -> str:
 
 def hav(lat1, lon1, lat2, lon2) -> str:
     return (
-        f"(CASE WHEN {lat2} IS NOT NULL AND {lon2} IS NOT NULL THEN 2 * 6371.0088e0 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1}))"
+        f"(CASE WHEN {lat1} + {lon1} + {lat2} + {lon2} IS NOT NULL THEN 2 * 6371.0088e0 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1}))"
         f" * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))) END)"
     )
 

@@ -640,7 +640,7 @@ def quality_alerts(spark, d):
 
 @query
 def jobs_by_company(spark, d):
-    return A.jobs_by_company(J.with_company(new_jobs(spark, d), shortlist(spark, d)))
+    return A.jobs_by_company(new_jobs(spark, d), shortlist(spark, d))
 
 
 @query
