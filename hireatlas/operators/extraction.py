@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hireatlas import schemas
 from hireatlas.functions import html as H
 from hireatlas.functions.text import detect_tags, filled
 from hireatlas.functions.urls import is_listing_url, is_non_job_url, resolve_url, url_key
@@ -170,33 +167,50 @@ FEEDS = {
 
 
 def jobs_from_feeds(feeds: DataFrame, crawl_ts: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Postings from landed board payloads (``kind, business_id, name, domain, payload``)."""
+    """Postings from landed board payloads (``kind, business_id, name, domain, payload``), in one pass.
 
-    def first(columns: list[str]) -> Column:
-        return F.coalesce(*[filled(F.col(f"item.{c}")) for c in columns], F.lit(""))
+    Each layout is brought into one common item struct before the items become rows.
+    """
 
-    def of_kind(kind: str, layout: dict) -> DataFrame:
+    def items_of(layout: dict) -> Column:
         payload = F.from_json("payload", layout["schema"])
-        items = payload[layout["items"]] if layout["items"] else payload
-        rows = feeds.where(F.col("kind") == kind).select("business_id", "name", "domain", F.explode(items).alias("item"))
-        title, description = first(layout["title"]), first(layout["description"])
-
-        def optional(path: str | None) -> Column:
-            return F.col(f"item.{path}") if path else F.lit(None).cast("string")
 
-        return rows.select(
-            F.col("business_id").alias("company_business_id"),
-            F.col("name").alias("company_name"),
-            F.col("domain").alias("company_domain"),
-            title.alias("job_title"),
-            first(layout["url"]).alias("job_url"),
-            optional(layout["place"]).alias("location_text"),
-            optional(layout["employment"]).alias("employment_type"),
-            optional(layout["posted"]).alias("posted_date"),
-            excerpt(description).alias("description_snippet"),
-            F.lit(kind).alias("source"),
-            detect_tags(F.concat_ws(" ", title, description), vocabulary.tag_rules).alias("tags"),
-            F.lit(crawl_ts).alias("crawl_ts"),
+        def field(item: Column, path: str | None) -> Column:
+            value = item
+            for step in (path or "").split("."):
+                value = value[step] if step else F.lit(None).cast("string")
+            return value
+
+        def first(item: Column, columns: list[str]) -> Column:
+            return F.coalesce(*[filled(field(item, c)) for c in columns], F.lit(""))
+
+        return F.transform(
+            payload[layout["items"]] if layout["items"] else payload,
+            lambda item: F.struct(
+                first(item, layout["title"]).alias("title"),
+                first(item, layout["url"]).alias("url"),
+                field(item, layout["place"]).alias("place"),
+                field(item, layout["employment"]).alias("employment"),
+                field(item, layout["posted"]).alias("posted"),
+                first(item, layout["description"]).alias("description"),
+            ),
         )
 
-    return schemas.conform(reduce(DataFrame.unionByName, [of_kind(k, v) for k, v in FEEDS.items()]), schemas.JOB)
+    items = F.lit(None).cast("array<struct<title:string,url:string,place:string,employment:string,posted:string,description:string>>")
+    for kind, layout in FEEDS.items():
+        items = F.when(F.col("kind") == kind, items_of(layout)).otherwise(items)
+    rows = feeds.where(F.col("kind").isin(list(FEEDS))).select("kind", "business_id", "name", "domain", F.explode(items).alias("item"))
+    return rows.select(
+        F.col("business_id").alias("company_business_id"),
+        F.col("name").alias("company_name"),
+        F.col("domain").alias("company_domain"),
+        F.col("item.title").alias("job_title"),
+        F.col("item.url").alias("job_url"),
+        F.col("item.place").alias("location_text"),
+        F.col("item.employment").alias("employment_type"),
+        F.col("item.posted").alias("posted_date"),
+        excerpt(F.col("item.description")).alias("description_snippet"),
+        F.col("kind").alias("source"),
+        detect_tags(F.concat_ws(" ", "item.title", "item.description"), vocabulary.tag_rules).alias("tags"),
+        F.lit(crawl_ts).alias("crawl_ts"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas.functions.geo import cell, haversine_km, unit_vector
@@ -18,7 +21,7 @@ def nearest_station(companies: DataFrame, stations: DataFrame, inline_limit: int
     one row: that is the proof of its size.
     """
     usable = stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    listed = usable.select("ord", "station_name", "lat", "lon").limit(inline_limit + 1).collect()
+    listed = usable.select("ord", "station_name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).limit(inline_limit + 1).collect()
     if len(listed) > inline_limit:
         return _nearest_by_cells(companies, usable)
     near = F.col("_near")
@@ -30,22 +33,22 @@ def nearest_station(companies: DataFrame, stations: DataFrame, inline_limit: int
     ).drop("_near", "_x", "_y", "_z")
 
 
+_POINTS = "array<struct<x:double,y:double,z:double,ord:bigint,station_name:string,lat:double,lon:double>>"
+
+
 def _nearest_inline(stations) -> Column:
     """Closest entry of a literal station list, by straight-line distance; one map-only pass."""
-    if not stations:
-        return F.lit(None).cast("struct<chord:double,ord:bigint,station_name:string,lat:double,lon:double>")
-    points = F.array(
-        *[
-            F.struct(
-                *[v.alias(n) for n, v in zip("xyz", unit_vector(F.lit(float(s["lat"])), F.lit(float(s["lon"]))))],
-                F.lit(s["ord"]).cast("long").alias("ord"),
-                F.lit(s["station_name"]).alias("station_name"),
-                F.lit(float(s["lat"])).alias("lat"),
-                F.lit(float(s["lon"])).alias("lon"),
-            )
-            for s in stations
-        ]
-    )
+    rows = []
+    for s in stations:
+        lat, lon = math.radians(s["lat"]), math.radians(s["lon"])
+        rows.append(
+            {
+                "x": math.cos(lat) * math.cos(lon), "y": math.cos(lat) * math.sin(lon), "z": math.sin(lat),
+                "ord": s["ord"], "station_name": s["station_name"], "lat": s["lat"], "lon": s["lon"],
+            }
+        )
+    points = F.from_json(F.lit(json.dumps(rows)), _POINTS)
+
     def option(p: Column) -> Column:
         dx, dy, dz = p["x"] - F.col("_x"), p["y"] - F.col("_y"), p["z"] - F.col("_z")
         return F.struct((dx * dx + dy * dy + dz * dz).alias("chord"), *[p[n].alias(n) for n in ("ord", "station_name", "lat", "lon")])

@@ -395,6 +395,76 @@ CTES |= {
 }
 
 
+GENERIC_CONSENT, GENERIC_PAIR = ["oiç", "ción", "los "], ["thth", "ver"]
+TARGET_PATH = path_of("target")
+CTES["list_links"] = (
+    "SELECT p.page_id, 1 AS i, coalesce(n.url, '/none') AS href, 'one' AS text, p.url AS base FROM site_pages p LEFT JOIN site_pages n ON n.page_id = p.page_id + 1"
+    " UNION ALL SELECT p.page_id, 2, coalesce(n.url, '/none'), 'ing two', p.url FROM site_pages p LEFT JOIN site_pages n ON n.page_id = p.page_id + 3"
+    " UNION ALL SELECT p.page_id, 3, coalesce(n.url, '/none') || '#x', 'again', p.url FROM site_pages p LEFT JOIN site_pages n ON n.page_id = p.page_id + 1"
+    " UNION ALL SELECT page_id, i + 3, href, text, url FROM hrefs"
+)
+CTES["list_targets"] = (
+    "SELECT page_id, min(i) AS i, target FROM (SELECT *, CASE WHEN starts_with(href, 'http') THEN href ELSE regexp_extract(base, '^([^:]+://[^/?#]*)', 1) || href END AS target FROM list_links"
+    f" WHERE contains(lower(href), 'http') OR contains(lower(href), '/th') OR {any_word('text', V.text_hints)}) GROUP BY page_id, target"
+)
+CTES["list_skips"] = (
+    f"SELECT *, {url_key('target')} AS url_key, CASE WHEN regexp_replace({TARGET_PATH}, '/+$', '') IN ('/the', '/and', '/que', '/de') THEN 'listing_url_skipped'"
+    f" WHEN contains(lower({TARGET_PATH}), '/th') OR contains(lower({TARGET_PATH}), 'tion') OR contains(lower({query_of('target')}), 'utm_source=') OR contains(lower({query_of('target')}), 'page=') THEN 'non_job_url_skipped' END AS skipped FROM list_targets"
+)
+CTES["detail_text"] = (
+    f"SELECT page_id, url, {url_key('url')} AS url_key, {title('html')} AS title, {body('html')} AS body, {node_text("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 0)")} AS h1 FROM site_pages"
+)
+CTES["detail_facts"] = (
+    "SELECT url_key, url AS job_url, h1 AS job_title, left(body, 300) AS snippet, "
+    + detect("(h1 || ' ' || left(body, 300))", TAG_RULES)
+    + f" AS tags, len({found_words('t', GENERIC_CONSENT)}) >= 2 OR (contains(t, 'thth') AND contains(t, 'ver')) AS is_consent"
+    " FROM (SELECT *, lower(title || ' ' || body) AS t, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS rn FROM detail_text) WHERE rn = 1"
+)
+CTES["opened"] = "SELECT l.page_id, l.target, f.* FROM list_skips l JOIN detail_facts f ON f.url_key = l.url_key WHERE l.skipped IS NULL"
+CTES["signal_keys"] = f"SELECT DISTINCT {url_key('url')} AS url_key FROM site_pages_found WHERE has_signal"
+CTES["first_links"] = (
+    "SELECT s.business_id, CAST(row_number() OVER (PARTITION BY t.page_id ORDER BY min(t.i)) - 1 AS INT) AS ord, t.target AS link FROM targets t JOIN sites s ON s.ord = t.page_id"
+    f" WHERE {any_word('lower(t.href)', V.url_hints)} OR {any_word('t.text', V.text_hints)} GROUP BY s.business_id, t.page_id, t.target"
+)
+CTES["suggested"] = (
+    "SELECT business_id, 0 AS rk, 500 AS ord, 'https://boards.greenhouse.io/co' || ord AS u, 'ats' AS source, 'high' AS confidence, 'found greenhouse link' AS reason FROM sites WHERE ord % 3 = 0"
+    " UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT business_id, 1, {i}, 'https://' || domain || {q(p)}, 'common_path', 'med', 'matched common path {p}' FROM sites WHERE {url_key('(chr(104) || chr(116) || chr(116) || chr(112) || chr(115) || chr(58) || chr(47) || chr(47) || domain || ' + q(p) + ')')} IN (SELECT url_key FROM signal_keys)"
+        for i, p in enumerate(SITE_PATHS)
+    )
+    + " UNION ALL SELECT business_id, 2, ord, link, 'homepage_link', 'med', 'homepage link with job signals' FROM (SELECT * FROM first_links UNION ALL SELECT 'H-' || host, page_id + 1000, url FROM page_parts)"
+    f" WHERE {url_key('link')} IN (SELECT url_key FROM signal_keys)"
+)
+NL = "chr(10)"
+
+
+def bullet_lines(listing: str, fallback: str) -> str:
+    return f"CASE WHEN len({listing}) > 0 THEN array_to_string(list_transform({listing}, lambda x: '- ' || x), {NL}) ELSE '- {fallback}' END"
+
+
+def nonnull(*items: str) -> str:
+    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+
+
+CTES["req_wall_best"] = "SELECT business_id, arg_max(signals, score * 1000 - ord) AS signals FROM req_judged WHERE fetched AND is_wall GROUP BY 1"
+CTES["dossier"] = (
+    "SELECT p.*, CASE WHEN live THEN domain ELSE '' END AS dom, CASE WHEN live THEN website_url ELSE '' END AS web,"
+    " CASE WHEN NOT live THEN 'uncertain' WHEN yes AND eligible >= 2 THEN 'yes' WHEN yes AND eligible = 1 THEN 'maybe' ELSE 'uncertain' END AS hs,"
+    " CASE WHEN NOT live THEN 0e0 WHEN yes AND eligible = 1 THEN least(confidence, 0.5e0) WHEN yes AND eligible = 0 THEN least(confidence, 0.2e0) ELSE confidence END AS hc,"
+    " CASE outcome WHEN 'ok' THEN 'ok' WHEN 'invalid_maps_url' THEN 'error' WHEN 'places_lookup_failed' THEN 'error' ELSE 'degraded' END AS st,"
+    " CASE WHEN outcome IN ('ok', 'invalid_maps_url', 'places_lookup_failed') THEN 'none' ELSE outcome END AS reason,"
+    f" CASE WHEN live THEN {nonnull("nullif(evidence, '')", "CASE WHEN yes AND eligible < 2 THEN 'insufficient_evidence_urls' END")} ELSE []::VARCHAR[] END AS why,"
+    " CASE WHEN live THEN list_transform(es, lambda x, i: x || ' (' || coalesce(eu[i], eu[1]) || ')') ELSE []::VARCHAR[] END AS ev,"
+    " CASE WHEN NOT live OR coalesce(l.skipped, '') = '' THEN []::VARCHAR[] ELSE list_transform(string_split(l.skipped, ';'), lambda x: 'Skipped: ' || x) END AS sk,"
+    " CASE WHEN live AND coalesce(p.safe_errors, '') = '' THEN []::VARCHAR[] WHEN live THEN list_transform(string_split(p.safe_errors, '|'), lambda x: 'Error: ' || x) WHEN outcome = 'places_lookup_failed' THEN ['Error: places_lookup_failed:' || lookup_error] ELSE ['Error: ' || outcome] END AS er,"
+    " CASE WHEN coalesce(p.wall, false) THEN ['Cookie wall detected' || CASE WHEN len(w.signals) > 0 THEN ' (signals: ' || array_to_string(w.signals, ', ') || ')' ELSE '' END || '.'] ELSE []::VARCHAR[] END AS wl,"
+    " CASE WHEN outcome IN ('place_id_not_found', 'website_missing') THEN ['Next action: Paste official website URL to proceed.'] WHEN outcome = 'cookie_wall' THEN ['Next action: Cookie wall detected. Open site manually and retry.'] ELSE []::VARCHAR[] END AS nx,"
+    f" {nonnull('note', "CASE WHEN tagged THEN 'Tags: a, b' END")} AS nt, CASE WHEN outcome IN ('invalid_maps_url', 'place_id_not_found') THEN 'unknown' ELSE 'places' END AS ws"
+    " FROM package_live p LEFT JOIN req_lists l ON l.business_id = p.run_id LEFT JOIN req_wall_best w ON w.business_id = p.run_id"
+)
+
+
 def prev_ctes(used: str) -> list[str]:
     """The CTEs a statement needs, in order of definition depth."""
     order: list[str] = []
@@ -736,6 +806,19 @@ STATEMENTS: dict[str, str] = {
         " UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'Second ' || o_orderkey, '', NULL, NULL, NULL, '', 'greenhouse', '' FROM orders WHERE o_orderkey % 4 = 1"
         " UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'Offer ' || o_orderkey, 'https://r.example/' || o_orderkey, 'Turku', NULL, '2024-03-04', '', 'recruitee', '' FROM orders WHERE o_orderkey % 4 = 2"
     ),
+    "generic_jobs": "SELECT 'P' || page_id AS company_business_id, " + authority("url") + " AS company_domain, job_title, job_url, snippet AS description_snippet, array_to_string(tags, '|') AS tags FROM (SELECT DISTINCT o.page_id, p.url, o.job_title, o.job_url, o.snippet, o.tags FROM opened o JOIN site_pages p ON p.page_id = o.page_id WHERE NOT o.is_consent)",
+    "generic_job_errors": "SELECT page_id, error, count(*) AS n FROM (SELECT page_id, skipped AS error FROM list_skips WHERE skipped IS NOT NULL UNION ALL SELECT page_id, 'cookie_consent' FROM opened WHERE is_consent) GROUP BY 1, 2",
+    "career_suggestion": "SELECT s.business_id, s.name, s.domain AS homepage_domain, c.u AS suggested_base_url, c.source, c.confidence, c.reason FROM sites s JOIN (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY rk, ord) AS rn FROM suggested) c ON c.business_id = s.business_id AND c.rn = 1",
+    "dossier_markdown": (
+        "SELECT run_id, '# ' || coalesce(nullif(dom, ''), 'Unknown company') || CASE WHEN dom <> '' THEN chr(10) || 'Domain: `' || dom || '`' ELSE '' END || CASE WHEN web <> '' THEN chr(10) || 'Website: [' || web || '](' || web || ')' ELSE '' END"
+        " || chr(10) || 'Maps: [Open in Google Maps](' || maps_url || ')' || chr(10) || chr(10) || '**Decision:** ' || upper(hs) || ' (confidence ' || printf('%.2f', hc) || ')'"
+        " || CASE WHEN st <> 'ok' THEN chr(10) || 'Pipeline status: ' || st ELSE '' END || CASE WHEN reason <> 'none' THEN chr(10) || 'Degraded reason: ' || reason ELSE '' END || chr(10) || chr(10)"
+        f" || '## Why' || {NL} || {bullet_lines('why', 'No strong deterministic signals found.')} || {NL} || {NL} || '## Evidence - Hiring' || {NL} || {bullet_lines('ev', 'No evidence captured.')} || {NL} || {NL}"
+        f" || '## Evidence - Industry' || {NL} || '- No evidence captured.' || {NL} || {NL} || '## Evidence - Roles' || {NL} || '- No evidence captured.' || {NL} || {NL}"
+        f" || '## Unknowns & Caveats' || {NL} || {bullet_lines('list_concat(list_concat(wl, sk), list_concat(er, nx))', 'No major caveats recorded.')} || {NL} || {NL}"
+        f" || CASE WHEN len(nt) > 0 THEN '## Notes' || {NL} || {bullet_lines('nt', '')} || {NL} || {NL} ELSE '' END"
+        f" || '## Provenance' || {NL} || '- run_id: ' || run_id || {NL} || '- version: 1.0' || {NL} || '- timestamp: 2024-01-01T00:00:00Z' || {NL} || '- git_sha: ' || {NL} || '- website_source: ' || ws || {NL} AS markdown FROM dossier"
+    ),
     "page_verdict": f"SELECT page_id, signal, confidence, evidence, {joined('ev_snippets')} AS snippets, {joined('ev_urls')} AS urls FROM ats_pages_verdict",
     "evidence_gate": f"SELECT answer_id, signal, confidence, evidence, {joined('es')} AS snippets, {joined('eu')} AS urls FROM verdicts",
     "best_verdict": "SELECT business_key, answer_id, signal, confidence FROM (SELECT *, row_number() OVER (PARTITION BY business_key ORDER BY CASE signal WHEN 'yes' THEN 2 WHEN 'unclear' THEN 1 ELSE 0 END DESC, confidence DESC, answer_id) AS rn FROM verdicts) WHERE rn = 1",
