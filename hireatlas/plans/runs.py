@@ -8,6 +8,7 @@ from hireatlas import rules
 from hireatlas.functions.text import filled
 from hireatlas.operators import analytics, companies as C, jobs as J
 from hireatlas.operators.nearby import nearest_station
+from hireatlas.session import materialize
 from hireatlas.sources.writers import publish_known_jobs, write_tables
 
 
@@ -65,6 +66,11 @@ def company_run(
     return scored.where(kept), scored.where(~kept)
 
 
+def publish_company_run(shortlist: DataFrame, excluded: DataFrame, base: str, run_date: str) -> list[str]:
+    """Write both sides of a company run, one ``run_date`` partition per table."""
+    return write_tables({"Shortlist": shortlist, "Excluded": excluded}, base, run_date)
+
+
 def jobs_run(jobs: DataFrame, known: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """All postings with their flag, the new ones, and the activity, counted after the comparison."""
     flagged = J.flag_new(jobs, known)
@@ -95,7 +101,11 @@ def publish_jobs_run(
 
 
 def analytics_bundle(shortlist: DataFrame, new_jobs: DataFrame, all_jobs: DataFrame, stats: DataFrame | None) -> dict[str, DataFrame]:
-    """The summary tables of a run, by table name."""
+    """The summary tables of a run, by table name.
+
+    All of them read the same rows, so those are stored first where they are not a stored table yet.
+    """
+    shortlist, new_jobs = materialize(shortlist, "shortlist"), materialize(new_jobs, "new-jobs")
     return {
         "KPI": analytics.kpi(new_jobs, shortlist, stats),
         "Stations": analytics.station_summary(shortlist, new_jobs),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from hireatlas.operators.crawl import crawl_counters, merge_counters, stats_from_counters
 from hireatlas.operators.jobs import fingerprint, flag_new, next_state
 from hireatlas.operators.overlay import upsert
-from hireatlas.sources.readers import latest_version, read_overlay
+from hireatlas.schemas import KNOWN_JOB
+from hireatlas.sources.readers import read_optional, read_overlay
 from hireatlas.sources.writers import publish_overlay
 
 
@@ -20,25 +21,25 @@ def distinct_jobs_stream(jobs: DataFrame, ts: str, delay: str) -> DataFrame:
     return jobs.withColumn("job_fingerprint", fingerprint()).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["job_fingerprint"])
 
 
+def _earlier(spark: SparkSession, base: str, batch_id: int, empty: DataFrame) -> DataFrame:
+    """Rows the earlier batches wrote below ``base``; a repeated batch does not meet its own."""
+    stored = read_optional(spark, base)
+    return empty if stored is None else stored.where(F.col("batch") < batch_id).drop("batch")
+
+
 def new_jobs_stream(jobs: DataFrame, state: str, out: str) -> DataStreamWriter:
-    """Every micro-batch compared with the state table, which then keeps all postings seen.
+    """Every micro-batch compared with all postings seen before it.
 
-    A batch writes under its own id, so a repeated batch replaces its rows instead of adding them,
-    and the state version it compares with is the one published before it.
+    The state grows by one part per batch and is never rewritten. A batch writes under its own id, so
+    a repeated batch replaces its rows instead of adding them.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{out}/batch={batch_id}"
-        # Versions count batches: a repeated batch must not meet its own postings.
-        version = min(latest_version(spark, state) or 0, batch_id)
-        if not version:
-            known = spark.createDataFrame([], "job_url string, job_fingerprint string")
-        else:
-            known = spark.read.parquet(f"{state}/version={version}")
-        flag_new(batch, known).write.mode("overwrite").parquet(target)
-        stored = spark.read.parquet(target)
-        next_state(stored, known).write.mode("overwrite").parquet(f"{state}/version={batch_id + 1}")
+        known = _earlier(spark, state, batch_id, spark.createDataFrame([], KNOWN_JOB))
+        flag_new(batch, known).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        flagged = spark.read.parquet(f"{out}/batch={batch_id}")
+        next_state(flagged.where("is_new")).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     return jobs.writeStream.foreachBatch(run)
 
@@ -62,20 +63,18 @@ def sliding_activity_batch(events: DataFrame, key: str, ts: str, days: int = 30)
 def crawl_stats_stream(log: DataFrame, out: str, state: str) -> DataStreamWriter:
     """Statistics per domain, kept up to date batch by batch.
 
-    The state is the counter table, one version per batch. Only the domains a batch touches get new
-    statistics.
+    The state holds the counters of every batch; counters add up. Only the domains a batch touches
+    get new statistics.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counters = crawl_counters(batch)
-        version = min(latest_version(spark, state) or 0, batch_id)
-        if version:
-            counters = merge_counters(spark.read.parquet(f"{state}/version={version}"), counters)
-        counters.write.mode("overwrite").parquet(f"{state}/version={batch_id + 1}")
-        stored = spark.read.parquet(f"{state}/version={batch_id + 1}")
-        touched = batch.select("domain").distinct()
-        stats_from_counters(stored.join(touched, "domain", "left_semi")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        counters.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        own = spark.read.parquet(f"{state}/batch={batch_id}")
+        before = _earlier(spark, state, batch_id, own.limit(0))
+        touched = before.join(own.select("domain").distinct(), "domain", "left_semi")
+        stats_from_counters(merge_counters(touched, own)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return log.writeStream.foreachBatch(run)
 
