@@ -140,7 +140,7 @@ def read_audit(spark: SparkSession, path: str, limit: int) -> DataFrame:
 def read_labelled_pages(spark: SparkSession, labels: str, pages: str) -> DataFrame:
     """Labels (JSON array of file and label) joined to the HTML files they name."""
     truth = spark.read.schema("file string, label string").option("multiLine", True).json(labels)
-    files = spark.read.option("wholetext", True).text(pages).select(
+    files = spark.read.text(pages, wholetext=True).select(
         F.col("_metadata.file_name").alias("file"), F.col("value").alias("html")
     )
     return (
