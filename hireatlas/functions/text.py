@@ -99,7 +99,8 @@ def contains_any(text: Column, words) -> Column:
 
 def words_found(text: Column, words) -> Column:
     """The words present in the text, in rule order."""
-    return F.filter(literal_array(words), lambda w: F.contains(text, w))
+    hits = [F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]
+    return F.array_compact(F.array(*hits)) if hits else literal_array([])
 
 
 def detect_tags(text: Column, rules: dict[str, list[str]]) -> Column:
@@ -112,11 +113,11 @@ def detect_tags(text: Column, rules: dict[str, list[str]]) -> Column:
 def snippets(text: Column, lowered: Column, keywords, limit: int, window: int = 80) -> Column:
     """Distinct excerpts around the first hit of each keyword, in keyword order, at most ``limit``."""
 
-    def excerpt(word: Column) -> Column:
-        at = F.instr(lowered, word)
+    def excerpt(word: str) -> Column:
+        at = F.instr(lowered, F.lit(word))
         first = F.greatest(at - F.lit(window), F.lit(1))
         last = F.least(F.length(text), at - F.lit(1) + F.lit(window))
         return F.when(at > 0, strip(F.substring(text, first, last - first + F.lit(1))))
 
-    found = F.filter(F.transform(literal_array(keywords), excerpt), lambda s: s.isNotNull() & (s != ""))
+    found = F.array_compact(F.array(*[F.nullif(excerpt(word), F.lit("")) for word in keywords]))
     return F.slice(F.array_distinct(found), 1, limit)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hireatlas import rules, schemas
 from hireatlas.functions.text import filled
 from hireatlas.functions.values import parse_bool, parse_list
+from hireatlas.operators.once import compute_once
 
 # What a company package must hold, as path -> allowed values.
 PACKAGE_ENUMS = {
@@ -33,7 +34,8 @@ PACKAGE_REQUIRED = [
 
 def _violations(df: DataFrame, key: str, messages: list[Column]) -> DataFrame:
     """One row per message that is not null."""
-    return df.select(key, F.explode(F.array_compact(F.array(*messages))).alias("violation"))
+    # The outer form evaluates the checks once; rows without a violation are dropped after it.
+    return df.select(key, F.explode_outer(F.array_compact(F.array(*messages))).alias("violation")).where("violation IS NOT NULL")
 
 
 def signal_violations(df: DataFrame, key: str) -> DataFrame:
@@ -65,7 +67,7 @@ def signal_violations(df: DataFrame, key: str) -> DataFrame:
 
 def package_violations(df: DataFrame, key: str = "run_id", package: str = "package") -> DataFrame:
     """Violations of the company package contract; ``package`` is the JSON text of a document."""
-    rows = df.select(key, F.try_parse_json(package).alias("p"))
+    rows = compute_once(df, {"p": F.try_parse_json(package)}).select(key, "p")
 
     def at(path: str, kind: str) -> Column:
         return F.try_variant_get("p", f"$.{path}", kind)

@@ -8,6 +8,7 @@ from hireatlas.functions import html as H
 from hireatlas.functions.text import detect_tags, filled
 from hireatlas.functions.urls import is_listing_url, is_non_job_url, resolve_url, url_key
 from hireatlas.functions.values import json_text
+from hireatlas.operators.once import compute_once
 from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, is_consent_text, page_links
 
 SNIPPET_CHARS = 300  # fixed value: length of the description excerpt of a posting
@@ -23,8 +24,8 @@ def jobs_from_json_ld(pages: DataFrame, crawl_ts: str, vocabulary: Vocabulary =
     A block may be an object, a list, or an object with a graph list. Broken JSON is skipped.
     """
     carried = ["business_id", "name", "domain", "url"]
-    blocks = pages.select(*carried, F.explode(H.ld_json_blocks(F.col("html"))).alias("block"))
-    parsed = blocks.select(*carried, F.try_parse_json("block").alias("data")).where("data IS NOT NULL")
+    blocks = pages.select(*carried, F.explode_outer(H.ld_json_blocks(F.col("html"))).alias("block"))
+    parsed = compute_once(blocks, {"data": F.try_parse_json("block")}).where("data IS NOT NULL")
 
     def as_items(v: Column, path: str) -> Column:
         return F.try_variant_get(v, path, "array<variant>")
@@ -34,7 +35,7 @@ def jobs_from_json_ld(pages: DataFrame, crawl_ts: str, vocabulary: Vocabulary =
     items = F.when(
         F.startswith(F.schema_of_variant(data), F.lit("ARRAY")), as_items(data, "$")
     ).otherwise(F.concat(F.array(data), F.coalesce(as_items(data, "$.@graph"), F.array().cast("array<variant>"))))
-    rows = parsed.select(*carried, F.explode(items).alias("item"))
+    rows = parsed.select(*carried, F.explode_outer(items).alias("item")).where("item IS NOT NULL")
     kinds = F.coalesce(F.try_variant_get("item", "$.@type", "array<string>"), F.array(json_text(F.col("item"), "$.@type")))
     rows = rows.where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")) & F.coalesce(F.array_contains(kinds, "JobPosting"), F.lit(False)))
     item = F.col("item")
@@ -84,13 +85,14 @@ def generic_jobs(
     """
     v = vocabulary
     links = detail_candidates(lists, v, max_detail_pages).withColumn("url_key", url_key(F.col("target")))
-    texts = details.withColumns(
+    texts = compute_once(
+        details,
         {
             "url_key": url_key(F.col("url")),
             "_title": H.first_heading(F.col("html")),
             "_page_title": H.title_text(F.col("html")),
             "_body": H.body_text(F.col("html")),
-        }
+        },
     )
     title = F.coalesce("_title", F.col("url"))
     snippet = F.nullif(F.left("_body", F.lit(SNIPPET_CHARS)), F.lit(""))
@@ -199,7 +201,7 @@ def jobs_from_feeds(feeds: DataFrame, crawl_ts: str, vocabulary: Vocabulary = DE
     items = F.lit(None).cast("array<struct<title:string,url:string,place:string,employment:string,posted:string,description:string>>")
     for kind, layout in FEEDS.items():
         items = F.when(F.col("kind") == kind, items_of(layout)).otherwise(items)
-    rows = feeds.where(F.col("kind").isin(list(FEEDS))).select("kind", "business_id", "name", "domain", F.explode(items).alias("item"))
+    rows = feeds.where(F.col("kind").isin(list(FEEDS))).select("kind", "business_id", "name", "domain", F.explode_outer(items).alias("item")).where("item IS NOT NULL")
     return rows.select(
         F.col("business_id").alias("company_business_id"),
         F.col("name").alias("company_name"),

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas.functions.geo import cell, haversine_km, unit_vector
+from hireatlas.operators.once import compute_once
 from hireatlas.rules import EARTH_RADIUS_KM
 
 # A station list up to this length is compiled into the plan; longer ones meet companies in grid cells.
@@ -28,9 +29,8 @@ def nearest_station(companies: DataFrame, stations: DataFrame, inline_limit: int
     km = haversine_km(near["lat"], near["lon"], F.col("lat"), F.col("lon"))
     # The position of a company is worked out once, not once per station.
     placed = companies.withColumns(dict(zip(["_x", "_y", "_z"], unit_vector(F.col("lat"), F.col("lon")))))
-    return placed.withColumn("_near", _nearest_inline(listed)).withColumns(
-        {"nearest_station": near["station_name"], "distance_km": km}
-    ).drop("_near", "_x", "_y", "_z")
+    found = compute_once(placed, {"_near": _nearest_inline(listed)})
+    return compute_once(found, {"nearest_station": near["station_name"], "distance_km": km}).drop("_near", "_x", "_y", "_z")
 
 
 _POINTS = "array<struct<x:double,y:double,z:double,ord:bigint,station_name:string,lat:double,lon:double>>"

@@ -11,6 +11,7 @@ from hireatlas import rules
 from hireatlas.functions import html as H
 from hireatlas.functions.text import contains_any, words_found
 from hireatlas.functions.urls import is_listing_url, is_non_job_url, resolve_url, url_key
+from hireatlas.operators.once import compute_once
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ DEFAULT_VOCABULARY = Vocabulary()
 def page_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Add ``title`` and the visible ``text``, whole unless a model prompt asks for a limit."""
     text = H.visible_text(F.col("html"))
-    return pages.withColumns({"title": H.title_text(F.col("html")), "text": text if max_chars is None else F.left(text, F.lit(max_chars))})
+    return compute_once(pages, {"title": H.title_text(F.col("html")), "text": text if max_chars is None else F.left(text, F.lit(max_chars))})
 
 
 def page_links(pages: DataFrame, url_hints: list[str], text_hints: list[str]) -> DataFrame:
@@ -54,7 +55,8 @@ def page_links(pages: DataFrame, url_hints: list[str], text_hints: list[str]) ->
 
     found = F.filter(H.links(F.col("html")), wanted)
     targets = F.array_distinct(F.transform(found, lambda link: resolve_url(F.col("url"), link["href"])))
-    return pages.select("page_id", F.posexplode(targets).alias("ord", "target"))
+    # The outer form reads the list once; the plain one would also test its size in a filter below.
+    return pages.select("page_id", F.posexplode_outer(targets).alias("ord", "target")).where("target IS NOT NULL")
 
 
 def url_classes(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY, url: str = "url") -> DataFrame:
@@ -75,13 +77,14 @@ def is_consent_text(lowered: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY
 
 def consent_pages(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     lowered = F.lower(F.concat_ws(" ", H.title_text(F.col("html")), H.body_text(F.col("html"))))
-    return pages.withColumn("_low", lowered).withColumn("is_consent", is_consent_text(F.col("_low"), vocabulary)).drop("_low")
+    return compute_once(pages, {"_low": lowered}).withColumn("is_consent", is_consent_text(F.col("_low"), vocabulary)).drop("_low")
 
 
 def cookie_wall(texts: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Add the cookie-wall columns to rows with ``title`` and ``text``."""
     v, limits = vocabulary, vocabulary.cookie_limits
-    rows = texts.withColumn("_all", F.lower(F.concat_ws(" ", "title", "text"))).withColumn("wall_matches", words_found(F.col("_all"), v.cookie_words))
+    rows = compute_once(texts, {"_all": F.lower(F.concat_ws(" ", "title", "text"))})
+    rows = compute_once(rows, {"wall_matches": words_found(F.col("_all"), v.cookie_words)})
     hits = F.size("wall_matches")
     score = F.least(F.lit(1.0), hits / F.lit(5.0))
     soft = (hits >= limits["hits_min"]) & (score >= limits["score_min"]) & (F.length("text") < limits["text_max_len"])
@@ -150,14 +153,14 @@ def has_job_signal(html: Column, lowered_text: Column, vocabulary: Vocabulary =
 
 
 def job_signal(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    rows = pages.withColumn("_low", F.lower(H.body_text(F.col("html"))))
+    rows = compute_once(pages, {"_low": F.lower(H.body_text(F.col("html")))})
     return rows.withColumn("has_signal", has_job_signal(F.col("html"), F.col("_low"), vocabulary)).drop("_low")
 
 
 def sitemap_urls(sitemaps: DataFrame, keywords: list[str] = rules.SITEMAP_KEYWORDS, limit: int = 200) -> DataFrame:
     """Locations of a sitemap that hold a keyword, the first ``limit`` per sitemap."""
     found = F.filter(H.sitemap_locations(F.col("xml")), lambda u: contains_any(F.lower(u), keywords))
-    return sitemaps.select("domain", F.posexplode(F.slice(found, 1, limit)).alias("ord", "url"))
+    return sitemaps.select("domain", F.posexplode_outer(F.slice(found, 1, limit)).alias("ord", "url")).where("url IS NOT NULL")
 
 
 def career_suggestions(

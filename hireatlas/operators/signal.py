@@ -10,6 +10,7 @@ from hireatlas.functions.text import contains_any, literal_array, snippets, stri
 from hireatlas.functions.urls import is_ats_host, is_first_party
 from hireatlas.functions.values import embedded_json, json_text
 from hireatlas.operators.companies import first_per_key
+from hireatlas.operators.once import compute_once
 from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, detect_ats, has_job_signal
 
 VERDICT = "struct<signal:string,confidence:double,evidence:string,evidence_snippets:array<string>,evidence_urls:array<string>>"
@@ -31,13 +32,12 @@ def page_verdict(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY)
     The ladder: a board, then structured data, then job phrases backed by two excerpts, else unclear.
     """
     v = vocabulary
-    rows = pages
-    if "text" not in rows.columns:
-        rows = rows.withColumn("text", H.visible_text(F.col("html")))
-    if "title" not in rows.columns:
-        rows = rows.withColumn("title", H.title_text(F.col("html")))
-    rows = rows.withColumns({"_low": F.lower("text"), "_body": F.lower(H.body_text(F.col("html"))), "_ats": detect_ats(F.col("url"), F.col("html"))})
-    rows = rows.withColumn("_found", snippets(F.col("text"), F.col("_low"), v.evidence, 3))
+    html = F.col("html")
+    own_text = {"title": H.title_text(html), "text": H.visible_text(html)}
+    absent = {n: c for n, c in own_text.items() if n not in pages.columns}
+    rows = compute_once(pages, absent | {"_body": F.lower(H.body_text(html)), "_ats": detect_ats(F.col("url"), html)})
+    rows = compute_once(rows, {"_low": F.lower("text")})
+    rows = compute_once(rows, {"_found": snippets(F.col("text"), F.col("_low"), v.evidence, 3)})
     none = literal_array([])
     own = F.array("url")
     board = _verdict(
@@ -59,7 +59,8 @@ def page_verdict(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY)
         )
         .otherwise(_verdict("unclear", 0.0, F.lit(""), none, none))
     )
-    return rows.withColumn("_v", ladder).select(*[c for c in rows.columns if not c.startswith("_")], "_v.*")
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    return compute_once(rows, {"_v": ladder}).select(*kept, "_v.*")
 
 
 def parse_answer(text: Column) -> Column:
@@ -87,7 +88,7 @@ def evidence_gate(verdicts: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULA
     def clean(c: str) -> Column:
         return F.filter(F.transform(F.coalesce(F.col(c), none), strip), lambda s: s != "")
 
-    rows = verdicts.withColumns({"_s": F.slice(clean("evidence_snippets"), 1, 6), "_u": clean("evidence_urls"), "signal": F.lower("signal")})
+    rows = compute_once(verdicts.withColumn("signal", F.lower("signal")), {"_s": F.slice(clean("evidence_snippets"), 1, 6), "_u": clean("evidence_urls")})
 
     def backed(words: list[str]) -> Column:
         return F.exists("_s", lambda s: contains_any(F.lower(s), words))

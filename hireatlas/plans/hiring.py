@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas import rules
-from hireatlas.functions import html as H
 from hireatlas.functions.text import filled, literal_array, strip
 from hireatlas.functions.urls import clean_domain, maps_host_allowed, place_id
 from hireatlas.operators.crawl import access_gate, site_candidates
-from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wall
+from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wall, page_text
 from hireatlas.operators.signal import (
     evidence_downgrade, evidence_gate, evidence_pairs, page_verdict, prompt_version, signal_rank,
 )
@@ -58,9 +57,7 @@ def scan(
     ``answers`` (``page_id`` and verdict columns) are model verdicts for pages the heuristics leave open.
     """
     gated = access_gate(site_candidates(companies, pages, paths=paths, limit=max_urls), access_rules, allow_hosts)
-    texts = landed_pages(gated.where("allowed"), pages).select("page_id", "url", "html").withColumns(
-        {"title": H.title_text(F.col("html")), "text": H.visible_text(F.col("html"))}
-    )
+    texts = page_text(landed_pages(gated.where("allowed"), pages).select("page_id", "url", "html"))
     judged = page_verdict(cookie_wall(texts, vocabulary), vocabulary)
     verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
     walls = ["is_wall", "wall_hits", "wall_score", "wall_matches", "wall_signals"]

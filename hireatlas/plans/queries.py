@@ -14,6 +14,7 @@ from hireatlas.operators import (
     analytics as A, companies as C, contract, crawl, extraction as X, filters as L, industry as I, jobs as J, nearby,
     overlay as O, pages as P, signal as S, watch as W,
 )
+from hireatlas.operators.once import compute_once, spread
 from hireatlas.plans import hiring, runs
 from hireatlas.plans.bindings import SITE_PATHS, TAG_RULES, VOCABULARY, bound, table
 from hireatlas.session import configure
@@ -76,7 +77,7 @@ def view(spark, d):
 
 
 def jobs_raw(spark, d):
-    df = bound(spark, d, "jobs_raw")
+    df = spread(bound(spark, d, "jobs_raw"))
     return df.withColumn("tags", detect_tags(F.concat_ws(" ", "job_title", "description_snippet"), TAG_RULES))
 
 
@@ -98,7 +99,7 @@ def activity(spark, d):
 
 
 def fetch_log(spark, d):
-    return bound(spark, d, "fetch_log")
+    return spread(bound(spark, d, "fetch_log"))
 
 
 def stats(spark, d):
@@ -106,7 +107,7 @@ def stats(spark, d):
 
 
 def site_pages(spark, d):
-    return bound(spark, d, "site_pages")
+    return spread(bound(spark, d, "site_pages"))
 
 
 def site_companies(spark, d):
@@ -134,7 +135,7 @@ def access_rules(spark, d):
 
 def answers(spark, d):
     df = bound(spark, d, "model_answers")
-    return df.withColumn("v", S.parse_answer(F.col("answer"))).where("v IS NOT NULL").select("answer_id", "business_key", "turn", "v.*")
+    return compute_once(df, {"v": S.parse_answer(F.col("answer"))}).where("v IS NOT NULL").select("answer_id", "business_key", "turn", "v.*")
 
 
 # --- projections and scalars ------------------------------------------------------------------
@@ -253,7 +254,7 @@ def normalize_tags(spark, d):
 
 @query
 def detect_tags_query(spark, d):
-    df = table(spark, d, "documents")
+    df = spread(table(spark, d, "documents").select("doc_id", "text"))
     return df.select("doc_id", joined(detect_tags(F.col("text"), {"that": ["that", "thth"], "sch": ["sch", "nicht"], "que": [" que "], "data": ["data"]})).alias("tags"))
 
 
@@ -271,7 +272,7 @@ def job_fingerprint(spark, d):
 
 @query
 def snippets_query(spark, d):
-    df = table(spark, d, "documents").withColumn("low", F.lower("text"))
+    df = compute_once(spread(table(spark, d, "documents").select("doc_id", "text")), {"low": F.lower("text")})
     return df.select("doc_id", joined(snippets(F.col("text"), F.col("low"), VOCABULARY.evidence, 4)).alias("snippets"))
 
 
@@ -856,7 +857,7 @@ def json_ld_jobs(spark, d):
 
 @query
 def feed_jobs(spark, d):
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"))
     n = F.col("o_orderkey").cast("string")
     kind = F.when(F.col("o_orderkey") % 4 == 0, "lever").when(F.col("o_orderkey") % 4 == 1, "greenhouse").when(F.col("o_orderkey") % 4 == 2, "recruitee").otherwise("teamtailor")
     lever = F.concat(F.lit('[{"text":"Role '), n, F.lit('","applyUrl":"https://l.example/'), n, F.lit('","categories":{"location":"Lahti","commitment":"Full"},"description":"<p>'), F.col("o_orderpriority"), F.lit('</p>","createdAt":1700000000000}]'))
