@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from hireatlas import rules, schemas
 from hireatlas.functions.geo import haversine_km
@@ -55,9 +55,33 @@ def official_name(names: Column) -> Column:
     return F.get(ranked, F.lit(0))["name"]
 
 
+def _registry_shape(rows: DataFrame) -> DataFrame:
+    """Bring the spellings a registry export may use to one schema.
+
+    The id and the business line may be plain or nested, and lists may come as text.
+    """
+    types = {f.name: f.dataType for f in rows.schema}
+
+    def plain(name: str, field: str) -> list[Column]:
+        kind = types.get(name)
+        if isinstance(kind, T.StructType):
+            return [F.col(name)[field].cast("string")] if field in kind.fieldNames() else []
+        return [F.col(name).cast("string")] if kind is not None else []
+
+    ids = plain("businessId", "value") + plain("business_id", "value")
+    nested = [c for n in ("main_business_line", "mainBusinessLine") if isinstance(types.get(n), T.StructType) for c in plain(n, "type")]
+    flat = [c for n in ("main_business_line", "mainBusinessLine") if not isinstance(types.get(n), T.StructType) for c in plain(n, "type")]
+    fixed = {"businessId": pick_first(*ids), "mainBusinessLine": F.struct(pick_first(*nested, *flat).alias("type"))}
+    for name in ("names", "addresses", "companyForms"):
+        if isinstance(types.get(name), T.StringType):
+            text = F.regexp_replace(name, r":\s*None\b", ": null")
+            fixed[name] = F.from_json(text, schemas.REGISTRY[name].dataType)
+    return schemas.conform(rows.withColumns(fixed).drop("business_id", "main_business_line"), schemas.REGISTRY, keep_extra=True)
+
+
 def normalize_registry(rows: DataFrame, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Flat company rows from nested registry rows."""
-    rows = schemas.conform(rows, schemas.REGISTRY, {"business_id": "businessId"}, keep_extra=True)
+    rows = _registry_shape(rows)
     address = picked_address(F.col("addresses"), F.col("_source_city"))
     shaped = rows.withColumn("_address", address).select(
         filled("businessId").alias("business_id"),

@@ -76,6 +76,11 @@ def watch_list(watched: DataFrame, max_items: int | None = None) -> DataFrame:
     return rows.limit(max_items) if max_items else rows
 
 
+def watch_totals(jobs: DataFrame, watched: DataFrame) -> DataFrame:
+    """One row: new postings before and after the watch filter."""
+    return jobs.agg(F.count("*").alias("new_jobs")).select("new_jobs", watched.agg(F.count("*")).scalar().alias("listed_jobs"))
+
+
 def watch_company_counts(watched: DataFrame) -> DataFrame:
     return (
         watched.groupBy("company_business_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.errors import AnalysisException
@@ -107,8 +108,6 @@ def read_rules(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
 
 def parse_rules(text: str | None) -> dict[str, list[str]]:
     """Rule dictionary from JSON text or from ``name: {prefixes: [..]}`` YAML when PyYAML is there."""
-    import json
-
     if not text:
         return {"other": []}
     try:
@@ -158,18 +157,12 @@ def read_golden_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Highest complete ``version=N`` below the folder, from the listing alone."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    versions = []
-    for entry in fs.listStatus(path):
-        match = re.fullmatch(r"version=(\d+)", entry.getPath().getName())
-        if match and fs.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
-            versions.append(int(match.group(1)))
-    return max(versions, default=None)
+    """Highest published ``version=N`` of a table.
+
+    A version is entered into the list beside the table only after all of its files are written.
+    """
+    published = read_optional(spark, f"{base.rstrip('/')}-published")
+    return None if published is None else published.agg(F.max("version")).first()[0]
 
 
 def snapshot_date(path: Column) -> Column:
@@ -180,6 +173,12 @@ def snapshot_date(path: Column) -> Column:
     return F.coalesce(own, folder)
 
 
+def newest_snapshot(files: DataFrame) -> DataFrame:
+    """The newest file of a listing with ``path`` and ``modificationTime``: by its date, else by its time."""
+    dated = files.select("path", "modificationTime", snapshot_date(F.col("path")).alias("run_date"))
+    return dated.orderBy(F.col("run_date").desc_nulls_last(), F.col("modificationTime").desc(), "path").limit(1)
+
+
 def latest_rows(df: DataFrame, date_column: str) -> DataFrame:
     """Rows of the newest snapshot; on a partition column this prunes to one partition."""
     newest = df.agg(F.max(date_column)).scalar()

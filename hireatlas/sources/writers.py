@@ -31,8 +31,10 @@ def write_jobs(df: DataFrame, path: str) -> None:
 
 def publish_version(df: DataFrame, base: str) -> int:
     """Write the next version of a table. Readers keep the previous one until this is complete."""
-    version = (latest_version(df.sparkSession, base) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/version={version}")
+    spark, base = df.sparkSession, base.rstrip("/")
+    version = (latest_version(spark, base) or 0) + 1
+    df.write.mode("overwrite").parquet(f"{base}/version={version}")
+    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{base}-published")
     return version
 
 
@@ -96,5 +98,11 @@ def geojson_features(df: DataFrame) -> DataFrame:
     )
 
 
+def write_packages(documents: DataFrame, markdown: DataFrame, base: str) -> None:
+    """Company documents: JSON lines keyed by run id, and the rendered text beside them."""
+    documents.write.mode("overwrite").json(f"{base}/json")
+    markdown.write.mode("overwrite").parquet(f"{base}/markdown")
+
+
 def write_geojson(df: DataFrame, path: str) -> None:
     geojson_features(df).write.mode("overwrite").text(path)

@@ -32,6 +32,18 @@ def test_normalize_picks_name_address_and_industry(rows):
     assert (b["business_id"], b["name"], b["city"], b["full_address"], b["industry"]) == ("", "Only", "Hämeenlinna", "Hameenlinna", "other")
 
 
+def test_registry_spellings(rows):
+    df = rows(
+        "ord long, businessId struct<value:string>, name string, names string, main_business_line string, mainBusinessLine string, companyForms string",
+        [{"ord": 1, "businessId": ("7",), "name": "Row", "names": "[{'name': 'Old', 'endDate': '2020-01-01'}, {'name': 'Now', 'type': '1', 'endDate': None}]", "main_business_line": " ", "mainBusinessLine": "62.01", "companyForms": "[{'name': None, 'type': 'As Oy'}]"}],
+    )
+    r = C.normalize_registry(df).first()
+    assert (r["business_id"], r["name"], r["industry"], r["company_form"]) == ("7", "Now", "it", "AS OY")
+    plain = rows("ord long, business_id string, name string, main_business_line struct<type:string>", [{"ord": 1, "business_id": "9", "name": "Row", "main_business_line": ("47",)}])
+    r = C.normalize_registry(plain).first()
+    assert (r["business_id"], r["name"], r["industry"]) == ("9", "Row", "retail")
+
+
 def test_official_name_falls_back_to_ended_names(rows):
     df = rows(f"id long, names {NAMES}", [{"id": 1, "names": [("A", "2", "2019-01-01", "2020-01-01"), ("B", "1", "2001-01-01", "2002-01-01")]}, {"id": 2, "names": []}, {"id": 3, "names": None}])
     got = [r["n"] for r in df.orderBy("id").select(C.official_name(F.col("names")).alias("n")).collect()]

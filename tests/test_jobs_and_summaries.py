@@ -169,6 +169,7 @@ def test_watch_order_unknown_values_pass_and_labels(rows):
     assert W.watch_jobs(jobs, shortlist(rows), restrict_to_view=True).count() == 4
     assert W.watch_jobs(jobs, shortlist(rows), stations=["turku"]).count() == 2
     assert {(r["company_business_id"], r["n_jobs"], r["name"]) for r in W.watch_company_counts(everything).collect()} == {("2", 2, "B"), ("1", 1, "A"), ("9", 1, ""), ("3", 1, "")}
+    assert tuple(W.watch_totals(jobs, watched).first()) == (5, 3)
     block = W.watch_lines(watched, 1).first()["block"]
     assert block.split("\n") == ["- A (1): Job 2", "  tags: Data", "  location: Lahti", "  score=5.0, distance_km=1.0, station=Lahti", "  link: https://a.fi/2"]
 

@@ -184,6 +184,20 @@ def test_snapshot_dates(spark):
     assert [r["d"] for r in df.orderBy("i").select(R.snapshot_date(F.col("p")).alias("d")).collect()] == ["20240101", "20240202", "20240303", None]
 
 
+def test_newest_snapshot_by_date_then_time(spark):
+    files = spark.sql("SELECT * FROM VALUES ('/o/master_20240101.csv', timestamp'2025-01-01'), ('/o/master_20240301.csv', timestamp'2024-01-01'), ('/o/master.csv', timestamp'2026-01-01') t(path, modificationTime)")
+    assert R.newest_snapshot(files).first()["path"] == "/o/master_20240301.csv"
+    assert R.newest_snapshot(files.where("path = '/o/master.csv'")).first()["path"] == "/o/master.csv"
+
+
+def test_a_half_written_version_is_not_read(spark, folder):
+    base = folder("table")
+    assert R.latest_version(spark, base) is None
+    assert W.publish_version(spark.range(3), base) == 1
+    spark.range(9).write.parquet(f"{base}/version=2")
+    assert R.latest_version(spark, base) == 1
+
+
 def test_labelled_pages_and_golden_texts(spark, tmp_path):
     (tmp_path / "labels.json").write_text(json.dumps([{"file": "a.html", "label": "YES"}, {"file": "", "label": "no"}, {"file": "b.html", "label": "no"}]), encoding="utf-8")
     pages = tmp_path / "pages"
