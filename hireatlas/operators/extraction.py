@@ -62,13 +62,15 @@ def jobs_from_json_ld(pages: DataFrame, crawl_ts: str, vocabulary: Vocabulary =
     )
 
 
-def detail_candidates(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY, max_detail_pages: int = 20) -> DataFrame:
+def detail_candidates(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY, max_detail_pages: int | None = None) -> DataFrame:
     """Detail links of list pages with the reason to skip one, if any.
 
-    The number of links looked at per list page is part of the crawl budget.
+    ``max_detail_pages`` is a crawl budget: with it, only the first links of a list page are looked at.
     """
     v = vocabulary
-    found = page_links(pages, v.url_hints, v.text_hints).where(F.col("ord") < max_detail_pages)
+    found = page_links(pages, v.url_hints, v.text_hints)
+    if max_detail_pages is not None:
+        found = found.where(F.col("ord") < max_detail_pages)
     reason = F.when(is_listing_url(F.col("target"), v.listing_paths), F.lit("listing_url_skipped")).when(
         is_non_job_url(F.col("target"), v.non_job_paths, v.non_job_queries), F.lit("non_job_url_skipped")
     )
@@ -76,10 +78,11 @@ def detail_candidates(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABUL
 
 
 def generic_jobs(
-    lists: DataFrame, details: DataFrame, crawl_ts: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY, max_detail_pages: int = 20
+    lists: DataFrame, details: DataFrame, crawl_ts: str, vocabulary: Vocabulary = DEFAULT_VOCABULARY, max_detail_pages: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Postings from the detail pages that list pages link to, and the skipped links as error rows.
 
+    Tags come from the whole text of the detail page; only the stored excerpt is short.
     ``lists`` has ``page_id, url, html`` and the company columns; ``details`` are landed pages. A
     detail page is turned into its few posting columns before it meets the links.
     """
@@ -104,7 +107,7 @@ def generic_jobs(
             title.alias("job_title"),
             snippet.alias("snippet"),
             is_consent_text(F.lower(F.concat_ws(" ", "_page_title", "_body")), v).alias("is_consent"),
-            detect_tags(F.concat_ws(" ", title, snippet), v.tag_rules).alias("tags"),
+            detect_tags(F.concat_ws(" ", title, "_body"), v.tag_rules).alias("tags"),
         ).alias("d"),
     )
     facts = facts.groupBy("url_key").agg(F.min_by("d", "d.page_id").alias("d")).select("url_key", "d.*")

@@ -157,10 +157,10 @@ def job_signal(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) ->
     return rows.withColumn("has_signal", has_job_signal(F.col("html"), F.col("_low"), vocabulary)).drop("_low")
 
 
-def sitemap_urls(sitemaps: DataFrame, keywords: list[str] = rules.SITEMAP_KEYWORDS, limit: int = 200) -> DataFrame:
-    """Locations of a sitemap that hold a keyword, the first ``limit`` per sitemap."""
+def sitemap_urls(sitemaps: DataFrame, keywords: list[str] = rules.SITEMAP_KEYWORDS, limit: int | None = None) -> DataFrame:
+    """Locations of a sitemap that hold a keyword; ``limit`` is the crawl budget per sitemap."""
     found = F.filter(H.sitemap_locations(F.col("xml")), lambda u: contains_any(F.lower(u), keywords))
-    return sitemaps.select("domain", F.posexplode_outer(F.slice(found, 1, limit)).alias("ord", "url")).where("url IS NOT NULL")
+    return sitemaps.select("domain", F.posexplode_outer(found if limit is None else F.slice(found, 1, limit)).alias("ord", "url")).where("url IS NOT NULL")
 
 
 def career_suggestions(

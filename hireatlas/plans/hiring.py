@@ -49,11 +49,12 @@ def scan(
     answers: DataFrame | None = None,
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
     paths: list[str] = rules.SCAN_PATHS,
-    max_urls: int = 2,
+    max_urls: int | None = None,
     allow_hosts: list[str] | None = None,
 ) -> DataFrame:
     """Candidates with their gate, wall and verdict columns: one row per company and candidate.
 
+    ``max_urls`` is the scan budget per company; without it all its candidates are looked at.
     ``answers`` (``page_id`` and verdict columns) are model verdicts for pages the heuristics leave open.
     """
     gated = access_gate(site_candidates(companies, pages, paths=paths, limit=max_urls), access_rules, allow_hosts)
@@ -78,7 +79,7 @@ def scan(
 def scan_summary(scanned: DataFrame) -> DataFrame:
     """Per company: the selected verdict, the addresses looked at, the errors and the strongest wall.
 
-    The lists are as long as the candidate list of a company, which ``max_urls`` bounds.
+    The lists are as long as the candidate list of a company: its website and the fixed paths.
     """
     fetched = F.col("allowed") & F.col("final_url").isNotNull()
     skipped = F.when(~F.col("allowed"), F.col("skip_reason")).when(~fetched, F.lit("fetch_failed"))

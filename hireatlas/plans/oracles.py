@@ -416,7 +416,7 @@ CTES["detail_text"] = (
 )
 CTES["detail_facts"] = (
     "SELECT url_key, url AS job_url, h1 AS job_title, left(body, 300) AS snippet, "
-    + detect("(h1 || ' ' || left(body, 300))", TAG_RULES)
+    + detect("(h1 || ' ' || body)", TAG_RULES)
     + f" AS tags, len({found_words('t', GENERIC_CONSENT)}) >= 2 OR (contains(t, 'thth') AND contains(t, 'ver')) AS is_consent"
     " FROM (SELECT *, lower(title || ' ' || body) AS t, row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS rn FROM detail_text) WHERE rn = 1"
 )

@@ -82,7 +82,7 @@ def jobs_raw(spark, d):
 
 
 def known(spark, d):
-    old = jobs_raw(spark, d).where(F.col("o_orderdate") < F.lit(CUT).cast("timestamp"))
+    old = jobs_raw(spark, d).where(F.col("o_orderdate") < F.lit(CUT).cast("timestamp_ntz"))
     return old.withColumn("job_fingerprint", J.fingerprint()).select("job_url", "job_fingerprint")
 
 

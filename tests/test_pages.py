@@ -168,7 +168,7 @@ def scan_inputs(rows):
 
 def test_hiring_signal_run(rows):
     companies, pages, rules = scan_inputs(rows)
-    summary = hiring.scan_summary(hiring.scan(companies, pages, rules))
+    summary = hiring.scan_summary(hiring.scan(companies, pages, rules, max_urls=2))
     out = {r["business_id"]: r for r in hiring.hiring_signal(companies, summary, RUN).collect()}
     assert {b: (r["signal"], r["evidence"]) for b, r in out.items()} == {"board": ("yes", "ats:lever"), "wall": ("unclear", ""), "shut": ("unclear", ""), "lost": ("unclear", ""), "plain": ("unclear", "")}
     assert out["board"]["signal_url"] == "https://board.fi/careers" and out["board"]["checked_urls"] == "https://board.fi/home;https://board.fi/careers"
@@ -185,7 +185,7 @@ def test_model_answers_fill_open_pages(rows):
         "page_id long, signal string, confidence double, evidence string, evidence_snippets array<string>, evidence_urls array<string>",
         [{"page_id": 6, "signal": "yes", "confidence": 0.8, "evidence": "list", "evidence_snippets": ["we are hiring", "apply"], "evidence_urls": ["https://plain.fi/home"]}, {"page_id": 2, "signal": "no", "confidence": 1.0, "evidence": "x", "evidence_snippets": ["not hiring", "no vacancies"], "evidence_urls": ["u"]}],
     )
-    summary = {r["business_id"]: r for r in hiring.scan_summary(hiring.scan(companies, pages, rules, answers=answers)).collect()}
+    summary = {r["business_id"]: r for r in hiring.scan_summary(hiring.scan(companies, pages, rules, answers=answers, max_urls=2)).collect()}
     assert (summary["plain"]["signal"], summary["plain"]["confidence"]) == ("yes", 0.8)
     assert (summary["board"]["signal"], summary["board"]["evidence"]) == ("yes", "ats:lever")
 
@@ -203,7 +203,7 @@ def test_company_packages_and_dossiers(rows):
     _, pages, rules = scan_inputs(rows)
     resolved = hiring.resolve_requests(requests, websites)
     targets = resolved.where("domain <> ''").select(F.col("run_id").alias("business_id"), "domain", "website_url")
-    packages = hiring.company_packages(resolved, hiring.scan_summary(hiring.scan(targets, pages, rules)), RUN)
+    packages = hiring.company_packages(resolved, hiring.scan_summary(hiring.scan(targets, pages, rules, max_urls=2)), RUN)
     out = {r["run_id"]: r["package"] for r in packages.collect()}
     assert {k: (p["status"], p["degraded_reason"], p["error"]["code"] if p["error"] else None) for k, p in out.items()} == {
         "bad": ("error", "none", "invalid_maps_url"), "noid": ("degraded", "place_id_not_found", "place_id_not_found"), "fail": ("error", "none", "places_lookup_failed"),
