@@ -7,7 +7,9 @@ that Spark SQL and the checking engine share, so both sides start from the same
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+from hireatlas.operators.once import spread
 from hireatlas.operators.pages import Vocabulary
 
 TABLES = [
@@ -263,8 +265,16 @@ TAG_RULES = VOCABULARY.tag_rules
 SITE_PATHS = ["/en/148.html", "/en/414", "/fr/414", "/en/471", "/es/533"]
 
 
+SMALL = {"region", "nation", "supplier", "customer"}
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is looked up in the file once, later reads go without that job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def spark_expr(expr: str) -> str:
@@ -274,7 +284,8 @@ def spark_expr(expr: str) -> str:
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, expressions = BINDINGS[name]
-    return table(spark, sf_dir, source).selectExpr(*[spark_expr(e) for e in expressions])
+    raw = table(spark, sf_dir, source)
+    return (raw if source in SMALL else spread(raw)).selectExpr(*[spark_expr(e) for e in expressions])
 
 
 def bound_sql(name: str) -> str:
