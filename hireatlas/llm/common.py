@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+# Task functions travel with their code, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: `[\x20\x09-\x0D]`, as a set of characters.
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,3 +47,17 @@ def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> Data
 
 def crc_mod(doc_id: str, by: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % by
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
+    """docs with a 0/1 column `label`; of repeated label rows of an id the highest value counts, null labels are left out."""
+    marks = labels.where(F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("label"))
+    return docs.join(small(store(marks, "labels")), doc_id)
+
+
+def fit_rows(rows: DataFrame, doc_id: str, limit: int) -> DataFrame:
+    """About `limit` of the stored labelled rows, chosen by a hash of the id; all of them if there are no more."""
+    count = rows.count()
+    if count <= limit:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(doc_id, F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * limit / count))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, language, line_dedup, quality, toxicity
 
-_MODULES = (line_dedup, exact_dedup)
+_MODULES = (line_dedup, quality, language, toxicity, exact_dedup)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
