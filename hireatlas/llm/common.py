@@ -40,9 +40,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose id is not among the stored ids `dropped`. Rows without an id stay."""
-    return docs.join(small(dropped.select(F.col(dropped.columns[0]).alias(doc_id))), doc_id, "left_anti").select(*docs.columns)
+def body(text: str) -> Column:
+    """Tells apart the texts of rows that share an id; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose id and text are not among the stored `doc_id, body`."""
+    gone = small(dropped.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")))
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (body(text) == F.col("_body")), "left_anti")
 
 
 def crc_mod(doc_id: str, by: int) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, small, store, table, without
+from .common import SPACES, body, small, store, table, without
 
 BITS_PER_ROW = 16
 
@@ -25,6 +25,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
+        body(text).alias("body"),
         F.length(whole).cast("long").alias("length"),
         F.unhex(F.sha2(F.translate(whole, SPACES, ""), 256)).alias("sha"),
     )
@@ -58,7 +59,7 @@ def repeated_bits(prints: DataFrame, words: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id, keep_id, group_size, kept, text_sha256` for every row."""
+    """`doc_id, body, keep_id, group_size, kept, text_sha256` for every row."""
     prints = store(fingerprints(docs, doc_id, text), "exact-prints")
     words = max(64, prints.count() * BITS_PER_ROW // 64)
     repeated = store(repeated_bits(prints, words), "exact-bits")
@@ -67,6 +68,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .join(small(repeated), "word", "left")
         .select(
             "doc_id",
+            "body",
             "length",
             "sha",
             F.coalesce(
@@ -74,16 +76,17 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             ).alias("maybe"),
         )
     )
-    maybe = probed.where("maybe").select("doc_id", "length", "sha")
-    alone = probed.where("NOT maybe").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    maybe = probed.where("maybe").select("doc_id", "body", "length", "sha")
+    alone = probed.where("NOT maybe").select("doc_id", "body", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     # Counted and reduced before the shuffle, so that a group of any size sends one row per task.
     groups = maybe.groupBy("sha").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("without"), F.col("doc_id"))).alias("best"),
     )
-    grouped = maybe.join(groups, "sha").select("doc_id", "sha", F.col("best.doc_id").alias("keep_id"), "group_size")
+    grouped = maybe.join(groups, "sha").select("doc_id", "body", "sha", F.col("best.doc_id").alias("keep_id"), "group_size")
     return grouped.unionByName(alone).select(
         "doc_id",
+        "body",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
@@ -93,21 +96,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns of `docs`. Of rows that repeat an id and a text, one stays."""
-    report = store(exact_duplicates(docs, doc_id, text).select("doc_id", "kept", "group_size"), "exact-report")
-    dropped = report.where("NOT kept").select("doc_id")
-    again = report.where("kept AND group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rest = without(docs, store(dropped, "exact-dropped"), doc_id)
+    report = store(exact_duplicates(docs, doc_id, text), "exact-report")
+    rest = without(docs, store(report.where("NOT kept").select("doc_id", "body"), "exact-dropped"), doc_id, text)
+    again = report.where("kept AND group_size > 1").groupBy("doc_id", "body").count().where("count > 1").select("doc_id", "body")
     again = store(again, "exact-again")
     if again.isEmpty():
         return rest
-    name = again.select(F.col("doc_id").alias(doc_id))
-    return rest.join(small(name), F.col(doc_id).eqNullSafe(name[doc_id]), "left_anti").unionByName(
-        rest.join(small(name), rest[doc_id].eqNullSafe(name[doc_id]), "left_semi").dropDuplicates([doc_id, text])
-    )
+    twice = small(again.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (body(text) == F.col("_body"))
+    return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates([doc_id, text]))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("body")
 
 
 QUERIES = {"op9_exact_dedup": op9_exact_dedup}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, language_model, line_dedup, privacy, quality, toxicity
+from . import decontamination, exact_dedup, language, language_model, line_dedup, near_dedup, privacy, quality, toxicity
 
-_MODULES = (line_dedup, language_model, quality, language, toxicity, exact_dedup, privacy)
+_MODULES = (line_dedup, language_model, decontamination, quality, near_dedup, language, toxicity, exact_dedup, privacy)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fit_rows, labelled, store, table, without
+from .common import body, crc_mod, fit_rows, labelled, store, table, without
 from .tokens import NOT_ALNUM, Words, chunks
 
 FIT_ROWS = 100_000
@@ -211,15 +211,17 @@ def _word_hash(term: str) -> np.uint64:
     return Words(data, np.array([0, len(data)]), NOT_ALNUM).hash[0]
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id, score` of every row."""
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep_body: bool = False) -> DataFrame:
+    """`doc_id, score` of every row, with `body` on request."""
+    own = ["doc_id", "body"] if keep_body else ["doc_id"]
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), pa.array(model.score(batch.column("text")))], ["doc_id", "score"])
+            yield pa.record_batch([*(batch.column(c) for c in own), pa.array(model.score(batch.column("text")))], [*own, "score"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("body"), F.col(text).alias("text")).select(*own, "text")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.mapInArrow(run, f"{kinds}, score double")
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -229,9 +231,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold; rows without an id stay."""
-    bad = store(predict(docs, model, doc_id, text).where(F.col("score") >= threshold).select("doc_id").distinct(), "toxic-ids")
-    return without(docs, bad, doc_id)
+    """The rows of docs that score below the threshold."""
+    bad = predict(docs, model, doc_id, text, keep_body=True).where(F.col("score") >= threshold).select("doc_id", "body")
+    return without(docs, store(bad.distinct(), "toxic-dropped"), doc_id, text)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
