@@ -45,10 +45,15 @@ def body(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def same_row(docs: DataFrame, marks: DataFrame, doc_id: str, text: str) -> Column:
+    """Whether a row of docs has the `doc_id, body` of a row of marks; other columns of docs may have any names."""
+    return docs[doc_id].eqNullSafe(marks["doc_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == marks["body"])
+
+
 def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose id and text are not among the stored `doc_id, body`."""
-    gone = small(dropped.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")))
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (body(text) == F.col("_body")), "left_anti")
+    gone = small(dropped.select("doc_id", "body"))
+    return docs.join(gone, same_row(docs, gone, doc_id, text), "left_anti")
 
 
 def crc_mod(doc_id: str, by: int) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, body, small, store, table, without
+from .common import SPACES, body, same_row, small, store, table, without
 
 BITS_PER_ROW = 16
 
@@ -102,8 +102,8 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     again = store(again, "exact-again")
     if again.isEmpty():
         return rest
-    twice = small(again.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (body(text) == F.col("_body"))
+    twice = small(again)
+    same = same_row(rest, twice, doc_id, text)
     return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates([doc_id, text]))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, store, table
+from .common import body, crc_mod, store, table
 from .tokens import Words, chunks, mix
 
 DEPTH = 4
@@ -52,6 +52,11 @@ def _keys(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
     return (keys << np.uint64(8)) | padded[at], ends
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
 class _Sums:
     """Counts per key, gathered in a task."""
 
@@ -69,7 +74,7 @@ class _Sums:
         keys, counts = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        first = _firsts(keys)
         merged = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         self.parts, self.size = [merged], len(first)
         return merged
@@ -134,11 +139,10 @@ class _Level:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, bit: int, below: _Level | None):
         nodes = keys >> np.uint64(8 - bit)
-        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+        first = _firsts(nodes)
         one = ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
         self.nodes = nodes[first]
-        self.zeros = np.add.reduceat(np.where(one, 0.0, counts), first)
-        self.ones = np.add.reduceat(np.where(one, counts, 0.0), first)
+        self.zeros, self.ones = (np.add.reduceat(np.where(side, counts, 0.0), first) if len(first) else np.zeros(0) for side in (~one, one))
         block = _block(self.zeros, self.ones)
         if below is None:
             self.log_pw, self.weight = block, np.ones(len(first))
@@ -317,7 +321,7 @@ def score_texts(
     if not 2 <= depth <= 6:
         raise ValueError("depth is 2 to 6 bytes")
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("text")
+        F.col(doc_id).alias("doc_id"), body(text).alias("body"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("text")
     )
     counted = store(_count(rows.select("held", "text"), depth), "lm-counts")
     grams, words = counted.where("NOT word").select("key", "n"), counted.where("word").select("key", "n")

@@ -227,7 +227,8 @@ def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, te
                     ["node", "shingles"],
                 )
 
-    texts = docs.join(wanted, F.col(doc_id).eqNullSafe(F.col("_id")) & (body(text) == F.col("_body"))).select("node", F.col(text).alias("text"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("body"), F.col(text).alias("text"))
+    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("node", "text")
     found = store(texts.mapInArrow(sets, "node long, shingles binary"), "near-sets")
 
     def check(batches):

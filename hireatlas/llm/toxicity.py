@@ -85,7 +85,8 @@ class Model:
             docs, at = self.found(data, offsets)
             out.append(np.bincount(docs, self.weights[at], len(offsets) - 1) + self.bias)
         margin = np.concatenate(out) if out else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+        with np.errstate(over="ignore"):  # a margin of -infinity is a score of 0
+            return 1 / (1 + np.exp(-np.minimum(margin, 500)))
 
 
 def _select(rows: DataFrame, features: int) -> np.ndarray:
@@ -199,7 +200,7 @@ def train(rows: DataFrame, features: int = FEATURES, limit: int = FIT_ROWS) -> M
     fit = fit_rows(rows.select("doc_id", "text", "label"), "doc_id", limit).mapInArrow(found, "label int, at array<int>")
     got = fit.toArrow().combine_chunks()
     if not got.num_rows:
-        return Model(model.hashes, np.zeros(len(model.hashes)), -500.0)
+        return Model(model.hashes, np.zeros(len(model.hashes)), -np.inf)
     labels, lists = got["label"].to_numpy().astype(float), got["at"].combine_chunks()
     counts = np.diff(lists.offsets.to_numpy())
     weights, bias = _fit(np.repeat(np.arange(len(labels)), counts), lists.flatten().to_numpy().astype(np.int64), labels, pairs, len(model.hashes))
