@@ -16,7 +16,7 @@ from hireatlas.plans.queries import QUERIES  # noqa: E402
 HEADLINE = [
     "station_summary", "industry_summary", "tag_summary", "top_companies", "kpi", "nearest_station", "radius_join", "company_score",
     "effective_filter", "explain_filter", "preset_counts", "dedup_companies", "overlay_upsert", "edit_diff", "dedup_jobs", "jobs_diff",
-    "company_activity", "watch_list", "crawl_stats", "activity_sliding", "throttle_audit", "page_text", "page_links", "cookie_wall",
+    "company_activity", "watch_list", "crawl_stats", "activity_sliding", "page_text", "page_links", "cookie_wall",
     "page_verdict", "generic_jobs", "hiring_signal", "company_package", "snippets", "detect_tags", "feed_jobs", "places_master",
 ]
 
@@ -29,6 +29,8 @@ def main() -> None:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
+        # Each test table is one row group, which one task reads; the rows are dealt to all cores.
+        .config("hireatlas.input.partitions", cpus)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

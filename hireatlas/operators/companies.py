@@ -268,12 +268,22 @@ def company_domain(*candidates: str) -> Column:
     return F.coalesce(*[F.nullif(clean_domain(c), F.lit("")) for c in candidates], F.lit(""))
 
 
+def last_row(df: DataFrame, key: str, columns: list[str], order: str = "ord") -> DataFrame:
+    """``key`` and ``_last``, the struct of columns of each key's last row; without the order column the greatest struct."""
+    whole = F.struct(*columns)
+    rank = F.struct(order, whole) if order in df.columns else whole
+    return df.groupBy(key).agg(F.max_by(whole, rank).alias("_last"))
+
+
 def domain_ladder(companies: DataFrame, domain_map: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
-    """Add ``domain``: the row's own, else the mapped one, else the suggested one, else empty."""
+    """Add ``domain``: the row's own, else the mapped one, else the suggested one, else empty.
+
+    Of several entries of an id the last one by ``ord`` counts.
+    """
 
     def lookup(df: DataFrame, name: str) -> DataFrame:
-        keyed = df.where(usable("domain").isNotNull()).select(strip("business_id").alias("business_id"), usable("domain").alias(name))
-        return keyed.groupBy("business_id").agg(F.max(name).alias(name))
+        known = df.where(usable("domain").isNotNull()).withColumns({"business_id": strip("business_id"), name: usable("domain")})
+        return last_row(known, "business_id", [name]).select("business_id", f"_last.{name}")
 
     out = companies.withColumn("_own", usable("domain")).drop("domain").join(lookup(domain_map, "_mapped"), "business_id", "left")
     ladder = ["_own", "_mapped"]
@@ -298,10 +308,9 @@ def missing_website(companies: DataFrame, limit: int | None = None) -> DataFrame
 
 
 def with_employees(companies: DataFrame, employees: DataFrame) -> DataFrame:
-    one = employees.groupBy("business_id").agg(
-        F.max("employee_count").alias("employee_count"), F.max("employee_band").alias("employee_band")
-    )
-    return companies.join(one, "business_id", "left")
+    """Attach the employee figures of each id's last row by ``ord``."""
+    one = last_row(employees, "business_id", ["employee_count", "employee_band"])
+    return companies.join(one.select("business_id", "_last.*"), "business_id", "left")
 
 
 def with_activity(companies: DataFrame, activity: DataFrame) -> DataFrame:

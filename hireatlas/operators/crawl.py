@@ -40,6 +40,9 @@ def crawl_status(jobs_found: Column, skipped: Column, errors: Column) -> Column:
     )
 
 
+ATS_COLUMNS = ("ats_detected", "ats_fetch_ok", "ats_fetch_reason")
+
+
 def crawl_counters(log: DataFrame) -> DataFrame:
     """Counters per domain, kind and name out of fetch events.
 
@@ -55,9 +58,12 @@ def crawl_counters(log: DataFrame) -> DataFrame:
         entry("event", none, one, F.lit(True)),
         entry("page", none, one, fetched),
         entry("job", none, F.col("jobs"), F.col("jobs") > 0),
-        entry("error", F.col("error"), one, F.col("error").isNotNull()),
+        # An error names its kind before the first colon; what follows is the address.
+        entry("error", F.substring_index("error", ":", 1), one, F.col("error").isNotNull()),
         entry("skip", F.col("skipped_reason"), one, F.col("skipped_reason").isNotNull()),
         entry("extractor", F.col("extractor"), one, F.col("extractor").isNotNull()),
+        # Of a domain whose home page showed a job board: the board, whether its feed gave postings, and why not.
+        *[entry(kind, F.col(kind).cast("string"), one, F.col(kind).isNotNull()) for kind in ATS_COLUMNS if kind in log.columns],
     )
     rows = log.select("domain", "seq", "url", F.explode(F.array_compact(entries)).alias("e"))
     return rows.groupBy("domain", F.col("e.kind").alias("kind"), F.col("e.name").alias("name")).agg(
@@ -88,6 +94,9 @@ def stats_from_counters(counters: DataFrame) -> DataFrame:
         F.min_by("name", skipped_at).alias("skipped_reason"),
         F.min_by("name", blocked_at).alias("robots_rule_hit"),
         F.min_by("first.url", blocked_at).alias("first_blocked_url"),
+        F.min_by("name", F.when(F.col("kind") == "ats_detected", F.col("first.seq"))).alias("ats_detected"),
+        (F.count_if((F.col("kind") == "ats_fetch_ok") & (F.col("name") == "true")) > 0).alias("ats_fetch_ok"),
+        F.min_by("name", F.when(F.col("kind") == "ats_fetch_reason", F.col("first.seq"))).alias("ats_fetch_reason"),
     )
     histogram = F.array_join(F.transform("_errors", lambda e: F.concat_ws(":", e["name"], (-e["c"]).cast("string"))), ";")
     status = crawl_status(F.col("jobs_found"), F.col("skipped_reason"), F.transform("_errors", lambda e: e["name"]))
@@ -129,7 +138,8 @@ def fetch_outcome(log: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 def validate_domains(domains: DataFrame, fetched: DataFrame) -> DataFrame:
     """Status per listed domain from its landed home page.
 
-    ``fetched`` has ``domain, status_code, final_url, html, error``, one row per domain.
+    ``fetched`` has ``domain, status_code, final_url, html, error``; of several rows of a domain the first one by ``ord``
+    counts, without that column the least.
     """
     listed = domains.select(strip("business_id").alias("business_id"), strip("name").alias("name"), clean_domain("domain").alias("domain"))
     text = F.lower(F.coalesce("html", F.lit("")))
@@ -137,7 +147,10 @@ def validate_domains(domains: DataFrame, fetched: DataFrame) -> DataFrame:
     for word in rules.CONSENT_STATUS_WORDS:
         consent = consent | F.contains(text, F.lit(word))
     # The page test runs before the join, so only a flag travels with the key.
-    facts = fetched.select("domain", "status_code", "final_url", F.col("error").alias("_error"), consent.alias("_consent"))
+    fact = F.struct("status_code", "final_url", F.col("error").alias("_error"), consent.alias("_consent"))
+    rank = F.struct("ord", fact) if "ord" in fetched.columns else fact
+    facts = fetched.select("domain", fact.alias("_fact"), rank.alias("_rank")).groupBy("domain").agg(F.min_by("_fact", "_rank").alias("_fact"))
+    facts = facts.select("domain", "_fact.*")
     url = with_scheme(F.col("domain"))
     status = (
         F.when(F.col("domain") == "", F.lit("no_domain"))
@@ -170,11 +183,12 @@ def rules_by_host(access_rules: DataFrame) -> DataFrame:
     return first.groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("rules"), F.max("site_state").alias("site_state"))
 
 
-def access_gate(candidates: DataFrame, access_rules: DataFrame, allow_hosts: list[str] | None = None) -> DataFrame:
+def access_gate(candidates: DataFrame, access_rules: DataFrame, allow: list[str] | None = None, domain: str | None = None) -> DataFrame:
     """Add ``allowed`` and ``skip_reason`` to URL candidates.
 
     The first listed rule whose prefix starts the path decides; hosts without rules are open; a host
-    whose rules could not be read is closed. ``allow_hosts`` overrides the rules.
+    whose rules could not be read is closed. ``allow`` lists domains for which the rules are overridden: those of the
+    column ``domain``, which names the company's domain, or without it hosts of the URL.
     """
     host = F.lower(authority(F.col("url")))
     path = F.when(path_of(F.col("url")) == "", F.lit("/")).otherwise(path_of(F.col("url")))
@@ -186,7 +200,8 @@ def access_gate(candidates: DataFrame, access_rules: DataFrame, allow_hosts: lis
     hit = F.get(F.filter("rules", lambda r: (r["prefix"] == "") | F.startswith(F.col("_target"), r["prefix"])), F.lit(0))
     # An empty prefix stands for a rule that blocks nothing.
     blocked = F.coalesce(~hit["allow"] & (hit["prefix"] != ""), F.lit(False))
-    override = F.col("_host").isin([h.lower() for h in allow_hosts]) if allow_hosts else F.lit(False)
+    owner = F.lower(domain) if domain else F.col("_host")
+    override = F.coalesce(owner.isin([h.lower() for h in allow]), F.lit(False)) if allow else F.lit(False)
     reason = (
         F.when(override, F.lit(""))
         .when(F.col("site_state") == "unreachable", F.lit(rules.ROBOTS_UNAVAILABLE))
@@ -219,7 +234,7 @@ def site_candidates(
 ) -> DataFrame:
     """Candidate URLs per company, in order, with the id of the landed page for each, if any."""
     listed = companies.select(
-        "business_id", F.posexplode(candidate_urls(F.col(domain), F.col("website_url"), paths, limit)).alias("ord", "url")
+        "business_id", F.col(domain).alias("domain"), F.posexplode(candidate_urls(F.col(domain), F.col("website_url"), paths, limit)).alias("ord", "url")
     ).withColumn("url_key", url_key(F.col("url")))
     held = pages.select(url_key(F.col("url")).alias("url_key"), "page_id").groupBy("url_key").agg(F.min("page_id").alias("page_id"))
     return listed.join(held, "url_key", "left")

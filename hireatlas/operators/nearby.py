@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas.functions.geo import cell, haversine_km, unit_vector
 from hireatlas.operators.once import compute_once
 from hireatlas.rules import EARTH_RADIUS_KM
+from hireatlas.session import materialize
 
-# A station list up to this length is compiled into the plan; longer ones meet companies in grid cells.
-INLINE_STATIONS = 512
+# The longest station list that may be compiled into a plan.
+COMPILED_STATIONS = 10_000
 
 
-def nearest_station(companies: DataFrame, stations: DataFrame, inline_limit: int = INLINE_STATIONS) -> DataFrame:
+def nearest_station(companies: DataFrame, stations: DataFrame, compiled: bool = True) -> DataFrame:
     """Add ``nearest_station`` and ``distance_km``; the first listed station wins ties.
 
-    ``stations`` has ``ord, station_name, lat, lon``. The station list is read up to the limit plus
-    one row: that is the proof of its size.
+    ``stations`` has ``ord, station_name, lat, lon``. With ``compiled`` the list becomes a literal of the plan, and the join one
+    map-only pass; a list of more than COMPILED_STATIONS entries is refused. Without it, distinct company locations meet the
+    stations in growing cells. Both rank by the straight-line distance between points of the sphere.
     """
     usable = stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    listed = usable.select("ord", "station_name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).limit(inline_limit + 1).collect()
-    if len(listed) > inline_limit:
+    if not compiled:
         return _nearest_by_cells(companies, usable)
+    listed = usable.select("ord", "station_name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).limit(COMPILED_STATIONS + 1).collect()
+    if len(listed) > COMPILED_STATIONS:
+        raise ValueError(f"more than {COMPILED_STATIONS} stations: use compiled=False")
     near = F.col("_near")
     km = haversine_km(near["lat"], near["lon"], F.col("lat"), F.col("lon"))
     # The position of a company is worked out once, not once per station.
@@ -69,28 +74,32 @@ def _cells(stations: DataFrame, size_km: float) -> DataFrame:
 
 
 def _nearest_by_cells(companies: DataFrame, stations: DataFrame, first_km: float = 8.0) -> DataFrame:
-    """Nearest station over distinct locations, with cubes that grow until every location is served.
+    """Nearest station over distinct locations, with cubes that double until every location is served.
 
-    A hit within the cube edge is final. Only locations without one go to the next, eight times larger
-    cubes, so the dense regions are settled in the first rounds.
+    A hit within the cube edge is final. Each round is stored, only its open locations go to the next, and the rounds end when
+    none is open; so the many locations near a station take part in the first rounds only.
     """
     located = companies.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    places = located.select("lat", "lon").distinct().withColumn("best", F.lit(None).cast("struct<km:double,ord:bigint,station_name:string>"))
-    size = first_km
+    here, there = unit_vector(F.col("lat"), F.col("lon")), unit_vector(F.col("slat"), F.col("slon"))
+    chord = sum(((a - b) * (a - b) for a, b in zip(here, there)), F.lit(0.0))
+    km = haversine_km(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))
+    near = F.struct(chord.alias("chord"), F.col("ord").cast("long").alias("ord"), "station_name", km.alias("km"))
+    waiting, rounds, size = materialize(located.select("lat", "lon").distinct(), "nearest-open"), [], first_km
     while True:
         home = cell(F.col("lat"), F.col("lon"), size)
-        # A settled location gets a null key, so it takes no further part in the join.
-        open_cell = F.when(F.col("best").isNull(), home)
-        keyed = places.withColumns({"cx": open_cell["x"], "cy": open_cell["y"], "cz": open_cell["z"]})
+        keyed = waiting.withColumns({"cx": home["x"], "cy": home["y"], "cz": home["z"]})
         joined = keyed.join(_cells(stations, size), ["cx", "cy", "cz"], "left")
-        km = haversine_km(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))
-        found = F.when(km <= size, F.struct(km.alias("km"), F.col("ord").cast("long").alias("ord"), "station_name"))
-        places = joined.groupBy("lat", "lon").agg(F.min(F.coalesce("best", found)).alias("best"))
-        if size > 3.2 * EARTH_RADIUS_KM:  # farther than any great circle reaches
+        best = joined.groupBy("lat", "lon").agg(F.min(F.when(km <= size, near)).alias("best"))
+        best = materialize(best, "nearest-round")
+        rounds.append(best.where("best IS NOT NULL"))
+        waiting = best.where("best IS NULL").select("lat", "lon")
+        # No great circle is longer than the last size; without any station everything stays open.
+        if size > 3.2 * EARTH_RADIUS_KM or waiting.isEmpty():
             break
-        size *= 8
+        size *= 2
+    places = reduce(DataFrame.unionByName, rounds)
     out = companies.join(places, ["lat", "lon"], "left")
-    return out.withColumns({"nearest_station": F.col("best.station_name"), "distance_km": F.col("best.km")}).drop("best").select(
+    return out.withColumns({"nearest_station": F.col("best.station_name"), "distance_km": F.col("best.km")}).select(
         *companies.columns, "nearest_station", "distance_km"
     )
 

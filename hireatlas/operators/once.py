@@ -15,9 +15,10 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give an input with few partitions one per core before CPU-bound work on its rows.
+    """Deal the rows of an input over as many partitions as the session asks for; by default they stay as they were read.
 
-    Large tables have more partitions than cores, and stay as they are.
+    ``hireatlas.input.partitions`` is for files that cannot be split, such as test tables of one row group. Tables of many
+    files or row groups need no such step.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    partitions = df.sparkSession.conf.get("hireatlas.input.partitions", "")
+    return df.repartition(int(partitions)) if partitions else df

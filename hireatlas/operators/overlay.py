@@ -77,7 +77,14 @@ def merge_edits(batches: list[DataFrame]) -> DataFrame:
 
 
 def upsert(overlay: DataFrame, edits: DataFrame, *, source_master: str | None, updated_by: str, updated_at: str | None = None) -> DataFrame:
-    """Overlay with the edits applied: an edited id gets all six fields, other rows stay."""
+    """Overlay with the edits applied: an edited id gets all six fields, other rows stay.
+
+    Of several edits of an id the last one by ``seq`` counts; without that column, the greatest row.
+    """
+    whole = F.struct(*FIELDS)
+    known = edits.withColumn("business_id", filled("business_id"))
+    rank = F.struct("seq", whole) if "seq" in edits.columns else whole
+    edits = known.groupBy("business_id").agg(F.max_by(whole, rank).alias("_e")).select("business_id", "_e.*")
     new = edits.where(filled("business_id").isNotNull()).select(
         filled("business_id").alias("business_id"),
         *[F.array_join(ordered_tags(f), ";").alias(f"_e_{f}") if f.startswith("tags_") else F.col(f).alias(f"_e_{f}") for f in FIELDS],

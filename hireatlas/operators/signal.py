@@ -63,12 +63,15 @@ def page_verdict(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY)
     return compute_once(rows, {"_v": ladder}).select(*kept, "_v.*")
 
 
+VERDICT_COLUMNS = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
+
+
 def parse_answer(text: Column) -> Column:
-    """Verdict struct out of a model's answer; null when it holds no JSON object."""
+    """Verdict struct out of a model's answer; null when it holds no JSON object. A list that is absent is null."""
     data = embedded_json(text)
 
     def strings(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(data, path, "array<string>"), literal_array([]))
+        return F.try_variant_get(data, path, "array<string>")
 
     confidence = F.coalesce(F.try_variant_get(data, "$.confidence", "double"), F.lit(0.0))
     parsed = F.struct(
@@ -81,14 +84,17 @@ def parse_answer(text: Column) -> Column:
     return F.when(data.isNotNull(), parsed)
 
 
-def evidence_gate(verdicts: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Keep a yes or no only with two excerpts, an address, and the words that back it up."""
+def evidence_gate(verdicts: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY, stored: int = 6) -> DataFrame:
+    """Keep a yes or no only with two excerpts, an address, and the words that back it up.
+
+    Every excerpt may back the verdict; at most ``stored`` of them are passed on.
+    """
     none = literal_array([])
 
     def clean(c: str) -> Column:
         return F.filter(F.transform(F.coalesce(F.col(c), none), strip), lambda s: s != "")
 
-    rows = compute_once(verdicts.withColumn("signal", F.lower("signal")), {"_s": F.slice(clean("evidence_snippets"), 1, 6), "_u": clean("evidence_urls")})
+    rows = compute_once(verdicts.withColumn("signal", F.lower("signal")), {"_s": clean("evidence_snippets"), "_u": clean("evidence_urls")})
 
     def backed(words: list[str]) -> Column:
         return F.exists("_s", lambda s: contains_any(F.lower(s), words))
@@ -102,8 +108,8 @@ def evidence_gate(verdicts: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULA
             "signal": F.when(failed, F.lit("unclear")).otherwise(F.col("signal")),
             "confidence": F.when(failed, F.least("confidence", F.lit(0.2))).otherwise(F.col("confidence")),
             "evidence": F.when(failed & thin, F.lit("insufficient_evidence")).when(failed, F.lit("generic_evidence")).otherwise(F.col("evidence")),
-            "evidence_snippets": F.when(failed, none).when(decided, F.col("_s")).otherwise(F.col("evidence_snippets")),
-            "evidence_urls": F.when(failed, none).when(decided, F.col("_u")).otherwise(F.col("evidence_urls")),
+            "evidence_snippets": F.when(failed, none).when(decided, F.slice("_s", 1, stored)).otherwise(F.coalesce("evidence_snippets", none)),
+            "evidence_urls": F.when(failed, none).when(decided, F.col("_u")).otherwise(F.coalesce("evidence_urls", none)),
         }
     ).drop("_s", "_u")
 
@@ -127,6 +133,7 @@ def strongest_wall(walls: DataFrame, key: str = "business_id", order: str = "ord
 def evidence_pairs(found: Column, urls: Column) -> Column:
     """The i-th excerpt with the i-th address, else with the first one."""
     none = F.lit("")
+    found, urls = (F.coalesce(c, literal_array([])) for c in (found, urls))
     pairs = F.transform(
         found, lambda s, i: F.struct(s.alias("snippet"), F.coalesce(F.get(urls, i), F.get(urls, F.lit(0)), none).alias("url"))
     )

@@ -197,10 +197,14 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             + pick("event_id", "'robots_disallow_url'", "'http_403'")
             + " WHEN 4 THEN "
             + pick("event_id", "'robots_disallow_all'", "'timeout'", None)
+            + " WHEN 5 THEN 'fetch_failed:' || 'https://d' || CAST(user_id AS STRING) || '.example/' || CAST(event_id AS STRING)"
             + " ELSE CAST(NULL AS STRING) END) END) AS error",
             "CAST((CASE WHEN event_type = 'purchase' AND user_id % 4 = 0 AND value > 20 THEN 1 ELSE 0 END) AS BIGINT) AS jobs",
             "(CASE WHEN event_type = 'error' AND user_id % 6 = 4 THEN 'robots_disallow_all' WHEN event_type = 'error' AND user_id % 30 = 5 THEN 'base_fetch_failed' ELSE CAST(NULL AS STRING) END) AS skipped_reason",
             "(CASE WHEN event_type = 'purchase' THEN 'jsonld' WHEN event_type = 'click' AND user_id % 5 = 0 THEN 'generic' ELSE CAST(NULL AS STRING) END) AS extractor",
+            "(CASE WHEN event_type = 'click' AND user_id % 8 = 0 THEN (CASE event_id % 2 WHEN 0 THEN 'lever' ELSE 'greenhouse' END) ELSE CAST(NULL AS STRING) END) AS ats_detected",
+            "(CASE WHEN event_type = 'click' AND user_id % 8 = 0 THEN event_id % 5 = 0 ELSE CAST(NULL AS BOOLEAN) END) AS ats_fetch_ok",
+            "(CASE WHEN event_type = 'click' AND user_id % 8 = 0 AND event_id % 5 = 1 THEN 'no_postings' WHEN event_type = 'click' AND user_id % 8 = 0 AND event_id % 5 = 2 THEN 'http_500' ELSE CAST(NULL AS STRING) END) AS ats_fetch_reason",
         ],
     ),
     "places": (
@@ -226,7 +230,8 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "conv_id * 100 + turn AS answer_id",
             "conv_id % 40 AS business_key",
             "turn",
-            "("
+            # A model writes around its JSON: the words of the conversation, without braces of their own.
+            "(translate(coalesce(text, ''), '{}', '()') || ' ' || "
             + pick(
                 "conv_id",
                 "'Sure: {\"hiring_signal\":\"Yes\",\"confidence\":0.8,\"evidence\":\"list\",\"evidence_snippets\":[\"we are hiring now\",\"open roles here\"],\"evidence_urls\":[\"https://a.example/x\"]} Bye'",
@@ -237,7 +242,7 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
                 "'no json, only { an open brace'",
                 "'{\"hiring_signal\":\"no\",\"confidence\":0.5,\"evidence\":\"x\",\"evidence_snippets\":[\"about us\",\"our story\"],\"evidence_urls\":[\"https://d.example\"]}'",
             )
-            + ") AS answer",
+            + " || ' ' || translate(coalesce(text, ''), '{}', '()')) AS answer",
         ],
     ),
     "site_pages": ("pages", ["page_id", "url", "html"]),
@@ -265,7 +270,6 @@ TAG_RULES = VOCABULARY.tag_rules
 SITE_PATHS = ["/en/148.html", "/en/414", "/fr/414", "/en/471", "/es/533"]
 
 
-SMALL = {"region", "nation", "supplier", "customer"}
 _schemas: dict[str, StructType] = {}
 
 
@@ -284,8 +288,7 @@ def spark_expr(expr: str) -> str:
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, expressions = BINDINGS[name]
-    raw = table(spark, sf_dir, source)
-    return (raw if source in SMALL else spread(raw)).selectExpr(*[spark_expr(e) for e in expressions])
+    return spread(table(spark, sf_dir, source)).selectExpr(*[spark_expr(e) for e in expressions])
 
 
 def bound_sql(name: str) -> str:

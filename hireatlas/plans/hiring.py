@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas import rules
-from hireatlas.functions.text import filled, literal_array, strip
+from hireatlas.functions.text import filled, literal_array, snippets, strip
 from hireatlas.functions.urls import clean_domain, maps_host_allowed, place_id
+from hireatlas.operators.companies import last_row
 from hireatlas.operators.crawl import access_gate, site_candidates
 from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wall, page_text
 from hireatlas.operators.signal import (
@@ -50,30 +51,49 @@ def scan(
     vocabulary: Vocabulary = DEFAULT_VOCABULARY,
     paths: list[str] = rules.SCAN_PATHS,
     max_urls: int | None = None,
-    allow_hosts: list[str] | None = None,
+    allow_domains: list[str] | None = None,
 ) -> DataFrame:
     """Candidates with their gate, wall and verdict columns: one row per company and candidate.
 
     ``max_urls`` is the scan budget per company; without it all its candidates are looked at.
-    ``answers`` (``page_id`` and verdict columns) are model verdicts for pages the heuristics leave open.
+    ``answers`` (``page_id`` and verdict columns) are model verdicts for pages the heuristics leave open; of several for a
+    page the last one by ``ord`` counts. An answer without addresses speaks of its own page, and one without the field of
+    excerpts (null) takes those of the page, before the evidence gate. ``allow_domains`` are company domains whose access rules
+    are overridden.
     """
-    gated = access_gate(site_candidates(companies, pages, paths=paths, limit=max_urls), access_rules, allow_hosts)
+    wanted = site_candidates(companies, pages, paths=paths, limit=max_urls)
+    gated = access_gate(wanted, access_rules, allow_domains, "domain")
     texts = page_text(landed_pages(gated.where("allowed"), pages).select("page_id", "url", "html"))
     judged = page_verdict(cookie_wall(texts, vocabulary), vocabulary)
     verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
     walls = ["is_wall", "wall_hits", "wall_score", "wall_matches", "wall_signals"]
-    facts = judged.select("page_id", F.col("url").alias("final_url"), "title", *walls, *verdict)
+    columns = ["page_id", F.col("url").alias("final_url"), "title", *walls]
+    if answers is None:
+        facts = judged.select(*columns, *verdict)
+    else:
+        facts = _with_answers(judged, answers, vocabulary).select(*columns, *verdict, "_answered")
     # A page the heuristics leave open counts as unclear without evidence, unless a model answered.
     open_page = F.col("signal") != "yes"
     if answers is None:
         plain = {"confidence": F.lit(0.0), "evidence": F.lit(""), "evidence_snippets": literal_array([]), "evidence_urls": F.array("final_url")}
         facts = facts.withColumns({c: F.when(open_page, v).otherwise(F.col(c)) for c, v in plain.items()})
-    else:
-        gated_answers = evidence_gate(answers, vocabulary).select("page_id", F.struct(*verdict).alias("_a"))
-        facts = facts.join(gated_answers, "page_id", "left").withColumns(
-            {c: F.when(open_page & F.col("_a").isNotNull(), F.col(f"_a.{c}")).otherwise(F.col(c)) for c in verdict}
-        ).drop("_a")
-    return gated.join(facts, "page_id", "left")
+    return gated.join(facts.drop("_answered"), "page_id", "left")
+
+
+def _with_answers(judged: DataFrame, answers: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Judged pages; those left open carry their gated answer, if there is one (``_answered``)."""
+    verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
+    one = last_row(answers, "page_id", verdict)
+    rows = judged.select("*", F.struct(*verdict).alias("_own")).join(one, "page_id", "left")
+    urls = F.coalesce("_last.evidence_urls", literal_array([]))
+    taken = {
+        **{c: F.col(f"_last.{c}") for c in ("signal", "confidence", "evidence")},
+        "evidence_snippets": F.coalesce("_last.evidence_snippets", snippets(F.col("text"), F.lower("text"), vocabulary.evidence, 3)),
+        "evidence_urls": F.when(F.size(urls) == 0, F.array("url")).otherwise(urls),
+    }
+    answered = (F.col("_own.signal") != "yes") & F.col("_last").isNotNull()
+    gated = evidence_gate(rows.withColumn("_answered", answered).withColumns(taken), vocabulary)
+    return gated.withColumns({c: F.when(F.col("_answered"), F.col(c)).otherwise(F.col(f"_own.{c}")) for c in verdict}).drop("_own", "_last")
 
 
 def scan_summary(scanned: DataFrame) -> DataFrame:
@@ -184,9 +204,9 @@ def resolve_requests(requests: DataFrame, websites: DataFrame) -> DataFrame:
     """Add place id, website and domain to map-link requests.
 
     ``requests`` has ``run_id, maps_url, note, tags``; ``websites`` has ``place_id, website_url,
-    lookup_error``, the landed answers of the place lookup.
+    lookup_error``, the landed answers of the place lookup; of several, the last one by ``ord`` counts.
     """
-    looked_up = websites.groupBy("place_id").agg(F.max("website_url").alias("website_url"), F.max("lookup_error").alias("lookup_error"))
+    looked_up = last_row(websites, "place_id", ["website_url", "lookup_error"]).select("place_id", "_last.*")
     rows = requests.withColumns({"host_allowed": maps_host_allowed(F.col("maps_url")), "place_id": place_id("maps_url")})
     return rows.join(looked_up, "place_id", "left").withColumns(
         {"website_url": F.coalesce(strip("website_url"), F.lit("")), "domain": clean_domain("website_url")}

@@ -106,29 +106,28 @@ def url_key(u: str) -> str:
     return f"(lower(regexp_extract({bare}, '^[^/?]*', 0)) || regexp_replace(regexp_extract({bare}, '^[^/?]*(.*)$', 1), '/$', ''))"
 
 
-TAG = """<[A-Za-z/!?][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
-
-
 def entities(x: str) -> str:
-    from hireatlas.functions.html import ENTITIES
-
-    for name, char in ENTITIES.items():
-        if name == "&nbsp;":
-            continue
-        x = f"replace({x}, {q(name)}, {q(char)})"
+    """The references that occur in the corpus, each spelled out; the ampersand comes last."""
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', {q(char)})"
     return x
 
 
 def node_text(x: str) -> str:
-    marked = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', chr(1), 'g'), {q(TAG)}, chr(1), 'g')"
-    marked = f"replace({marked}, '&nbsp;', chr(160))"
-    blank = r"[\s\x{000b}\x{00a0}\x{0001}]*"
-    return strip(entities(f"regexp_replace({marked}, '{blank}\\x{{0001}}{blank}', ' ', 'g')"))
+    """Cut at every '<': a piece that begins like a tag starts behind its first '>', any other one keeps its '<'."""
+    bare = f"regexp_replace({x}, '(?s)<!--.*?(?:-->|\\z)', chr(1), 'g')"
+    piece = (
+        "CASE WHEN i = 1 THEN p WHEN contains(p, '>') AND (p[1] BETWEEN 'A' AND 'Z' OR p[1] BETWEEN 'a' AND 'z' OR p[1] IN ('/', '!', '?'))"
+        " THEN chr(1) || substr(p, strpos(p, '>') + 1) ELSE '<' || p END"
+    )
+    marked = f"replace(array_to_string(list_transform(string_split({bare}, '<'), lambda p, i: {piece}), ''), '&nbsp;', chr(160))"
+    nodes = f"list_transform(string_split({marked}, chr(1)), lambda n: {strip('n')})"
+    return strip(entities(f"array_to_string(list_filter({nodes}, lambda n: n <> ''), ' ')"))
 
 
 def without(x: str, names) -> str:
     for n in names:
-        x = f"regexp_replace({x}, '(?is)<{n}\\b.*?</{n}\\s*>', chr(1), 'g')"
+        x = f"regexp_replace({x}, '(?is)<{n}\\b.*?(?:</{n}\\s*>|\\z)', chr(1), 'g')"
     return x
 
 
@@ -248,6 +247,7 @@ CTES |= {
     "shortlist": "SELECT c.*, n.station_name AS nearest_station, n.km AS distance_km FROM companies c LEFT JOIN near n ON n.business_id = c.business_id AND n.rn = 1",
     "edits": "SELECT * EXCLUDE (listed) FROM overlay WHERE listed",
     "new_edits": "SELECT * EXCLUDE (listed) FROM edits_a WHERE listed",
+    "new_edits_all": "SELECT * EXCLUDE (listed) FROM edits_b WHERE listed UNION ALL SELECT * EXCLUDE (listed) FROM edits_a WHERE listed AND business_id NOT IN (SELECT business_id FROM edits_b WHERE listed)",
     "new_edits_b": "SELECT * EXCLUDE (listed) FROM edits_b WHERE listed",
     "effective": (
         "SELECT c.* EXCLUDE (status, hide_flag, note), coalesce(o.status, c.status) AS status, coalesce(o.hide_flag, c.hide_flag, false) AS hide_flag,"
@@ -268,14 +268,16 @@ CTES |= {
         + ", ".join(f"count(*) FILTER (list_contains(tags, {q(t)})) AS tag_count_{t}" for t in rules.ACTIVITY_TAGS)
         + " FROM flagged GROUP BY 1"
     ),
-    "err": "SELECT domain, error, count(*) AS n FROM fetch_log WHERE error IS NOT NULL GROUP BY 1, 2",
+    "err": "SELECT domain, split_part(error, ':', 1) AS error, count(*) AS n FROM fetch_log WHERE error IS NOT NULL GROUP BY 1, 2",
     "err_text": "SELECT domain, string_agg(error || ':' || n, ';' ORDER BY n DESC, error) AS errors_top, list(error) AS kinds FROM err GROUP BY 1",
     "log_stats": (
         "SELECT l.domain, count(*) FILTER (error IS NULL AND status_code < 400) AS pages_fetched, CAST(sum(jobs) AS BIGINT) AS jobs_found,"
         " (SELECT string_agg(DISTINCT extractor, ';' ORDER BY extractor) FROM fetch_log x WHERE x.domain = l.domain) AS extractor_used, count(error) AS errors_count,"
         " arg_min(skipped_reason, seq) FILTER (skipped_reason IS NOT NULL) AS skipped_reason,"
         " arg_min(error, seq) FILTER (error IN ('robots_disallow_all', 'robots_disallow_url')) AS robots_rule_hit,"
-        " arg_min(url, seq) FILTER (error IN ('robots_disallow_all', 'robots_disallow_url')) AS first_blocked_url FROM fetch_log l GROUP BY 1"
+        " arg_min(url, seq) FILTER (error IN ('robots_disallow_all', 'robots_disallow_url')) AS first_blocked_url,"
+        " arg_min(ats_detected, seq) FILTER (ats_detected IS NOT NULL) AS ats_detected, count(*) FILTER (ats_fetch_ok) > 0 AS ats_fetch_ok, arg_min(ats_fetch_reason, seq) FILTER (ats_fetch_reason IS NOT NULL) AS ats_fetch_reason"
+        " FROM fetch_log l GROUP BY 1"
     ),
     "stats": (
         "SELECT s.*, e.errors_top, CASE WHEN jobs_found > 0 THEN 'ok'"
@@ -302,7 +304,7 @@ CTES |= {
         " coalesce(json_extract_string(j, '$.evidence'), '') AS evidence, coalesce(json_extract_string(j, '$.evidence_snippets[*]'), []) AS raw_s, coalesce(json_extract_string(j, '$.evidence_urls[*]'), []) AS raw_u"
         " FROM (SELECT *, try_cast(nullif(regexp_extract(answer, '(?s)\\{.*\\}', 0), '') AS JSON) AS j FROM model_answers) a WHERE j IS NOT NULL"
     ),
-    "gated2": f"SELECT *, list_slice(list_filter(list_transform(raw_s, lambda x: {strip('x')}), lambda x: x <> ''), 1, 6) AS s, list_filter(list_transform(raw_u, lambda x: {strip('x')}), lambda x: x <> '') AS u FROM gated",
+    "gated2": f"SELECT *, list_filter(list_transform(raw_s, lambda x: {strip('x')}), lambda x: x <> '') AS s, list_filter(list_transform(raw_u, lambda x: {strip('x')}), lambda x: x <> '') AS u FROM gated",
     "gated3": (
         "SELECT *, signal IN ('yes', 'no') AS decided, len(list_filter(s, lambda x: " + any_word("lower(x)", rules.EVIDENCE_KEYWORDS) + ")) > 0 AS pro,"
         " len(list_filter(s, lambda x: " + any_word("lower(x)", rules.NEGATIVE_KEYWORDS) + ")) > 0 AS con FROM gated2"
@@ -313,7 +315,7 @@ CTES |= {
     "verdicts": (
         f"SELECT answer_id, business_key, CASE WHEN failed THEN 'unclear' ELSE signal END AS signal, CASE WHEN failed THEN least(confidence, 0.2e0) ELSE confidence END AS confidence,"
         f" CASE WHEN failed AND {ANSWER_GATE_THIN} THEN 'insufficient_evidence' WHEN failed THEN 'generic_evidence' ELSE evidence END AS evidence,"
-        " CASE WHEN failed THEN []::VARCHAR[] WHEN decided THEN s ELSE raw_s END AS es, CASE WHEN failed THEN []::VARCHAR[] WHEN decided THEN u ELSE raw_u END AS eu FROM gate_out"
+        " CASE WHEN failed THEN []::VARCHAR[] WHEN decided THEN s[:6] ELSE raw_s END AS es, CASE WHEN failed THEN []::VARCHAR[] WHEN decided THEN u ELSE raw_u END AS eu FROM gate_out"
     ),
     "ats_pages": (
         "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://jobs.lever.co/co' || page_id || '/x' WHEN 1 THEN 'https://boards.greenhouse.io/co' || page_id WHEN 2 THEN 'https://co' || page_id || '.recruitee.com/o/1'"
@@ -323,9 +325,9 @@ CTES |= {
     "scan_pages": "SELECT page_id, url, html || CASE page_id % 11 WHEN 5 THEN '<a href=''https://boards.greenhouse.io/x''>' ELSE '' END AS html FROM site_pages",
     "page_keys": f"SELECT {url_key('url')} AS url_key, min(page_id) AS page_id FROM site_pages GROUP BY 1",
     "anchors": (
-        "SELECT page_id, url, unnest(a) AS anchor, generate_subscripts(a, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<a\\s[^>]*href\\s*=\\s*[^>]*>.*?</a\\s*>') AS a FROM site_pages)"
+        "SELECT page_id, url, unnest(a) AS anchor, generate_subscripts(a, 1) AS i FROM (SELECT page_id, url, list_filter(string_split(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a ')[2:], lambda p: starts_with(p, 'href=') AND contains(p, '>')) AS a FROM site_pages)"
     ),
-    "hrefs": "SELECT page_id, url, i, replace(regexp_extract(anchor, 'href=\"([^\"]*)\"', 1), '&amp;', '&') AS href, lower(regexp_extract(anchor, '>([^<]*)<', 1)) AS text FROM anchors",
+    "hrefs": "SELECT page_id, url, i, replace(regexp_extract(anchor, 'href=\"([^\"]*)\"', 1), '&amp;', '&') AS href, lower(split_part(split_part(anchor, '>', 2), '<', 1)) AS text FROM anchors",
     "targets": f"SELECT page_id, i, href, text, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || href AS target FROM hrefs",
 }
 CTES |= verdict_ctes("site_pages")
@@ -333,13 +335,20 @@ CTES |= verdict_ctes("ats_pages")
 CTES |= verdict_ctes("scan_pages")
 
 
-def scan_ctes(prefix: str, targets: str, paths, limit: int) -> dict[str, str]:
+def scan_ctes(prefix: str, targets: str, paths, answered: bool = False) -> dict[str, str]:
     """Candidates, gate, verdicts and per-company summary over a target CTE."""
+    said = (
+        "v.confidence, v.evidence, v.es, v.eu,"
+        if answered
+        else "CASE WHEN v.signal = 'yes' THEN v.confidence ELSE 0 END AS confidence, CASE WHEN v.signal = 'yes' THEN v.evidence ELSE '' END AS evidence,"
+        " CASE WHEN v.signal = 'yes' THEN v.ev_snippets ELSE []::VARCHAR[] END AS es, CASE WHEN v.signal = 'yes' THEN v.ev_urls ELSE [v.url] END AS eu,"
+    )
+    verdicts = "scan_pages_answered" if answered else "scan_pages_verdict"
     urls = ["site", f"'https://' || domain || {q(paths[0])}", "'https://' || domain", *[f"'https://' || domain || {q(p)}" for p in paths[1:]]]
     listing = f"list_filter([{', '.join(urls)}], lambda x: x IS NOT NULL)"
     p = prefix
     return {
-        f"{p}_cand": f"SELECT business_id, list_slice({in_order_distinct(listing)}, 1, {limit}) AS urls FROM (SELECT *, {with_scheme(usable('website_url'))} AS site FROM {targets})",
+        f"{p}_cand": f"SELECT business_id, {in_order_distinct(listing)} AS urls FROM (SELECT *, {with_scheme(usable('website_url'))} AS site FROM {targets})",
         f"{p}_urls": f"SELECT business_id, unnest(urls) AS url, generate_subscripts(urls, 1) - 1 AS ord FROM {p}_cand",
         f"{p}_held": f"SELECT u.*, k.page_id FROM (SELECT *, {url_key('url')} AS url_key FROM {p}_urls) u LEFT JOIN page_keys k ON k.url_key = u.url_key",
         f"{p}_paths": f"SELECT *, lower({authority('url')}) AS host, (CASE WHEN {path_of('url')} = '' THEN '/' ELSE {path_of('url')} END) || (CASE WHEN {query_of('url')} <> '' THEN '?' || {query_of('url')} ELSE '' END) AS target FROM {p}_held",
@@ -350,10 +359,9 @@ def scan_ctes(prefix: str, targets: str, paths, limit: int) -> dict[str, str]:
         ),
         f"{p}_judged": (
             "SELECT g.business_id, g.ord, g.skip_reason, g.skip_reason = '' AND g.page_id IS NOT NULL AS fetched, CASE WHEN g.skip_reason = '' AND g.page_id IS NOT NULL THEN v.url ELSE g.url END AS address,"
-            " v.signal, CASE WHEN v.signal = 'yes' THEN v.confidence ELSE 0 END AS confidence, CASE WHEN v.signal = 'yes' THEN v.evidence ELSE '' END AS evidence,"
-            " CASE WHEN v.signal = 'yes' THEN v.ev_snippets ELSE []::VARCHAR[] END AS es, CASE WHEN v.signal = 'yes' THEN v.ev_urls ELSE [v.url] END AS eu,"
+            f" v.signal, {said}"
             " w.is_wall, w.hits, w.score, w.matches, w.signals"
-            f" FROM {p}_gated g LEFT JOIN scan_pages_verdict v ON v.page_id = g.page_id LEFT JOIN scan_pages_walls w ON w.page_id = g.page_id"
+            f" FROM {p}_gated g LEFT JOIN {verdicts} v ON v.page_id = g.page_id LEFT JOIN scan_pages_walls w ON w.page_id = g.page_id"
         ),
         f"{p}_lists": (
             "SELECT business_id, string_agg(address, ';' ORDER BY ord) AS checked_urls,"
@@ -370,7 +378,31 @@ def scan_ctes(prefix: str, targets: str, paths, limit: int) -> dict[str, str]:
     }
 
 
-CTES |= scan_ctes("site", "sites", SITE_PATHS, 6)
+CTES |= scan_ctes("site", "sites", SITE_PATHS)
+# The last answer of each page, gated after its gaps are filled from the page.
+CTES["page_answers"] = (
+    "SELECT * FROM (SELECT answer_id // 100 AS page_id, lower(json_extract_string(j, '$.hiring_signal')) AS signal, coalesce(CAST(json_extract(j, '$.confidence') AS DOUBLE), 0) AS confidence,"
+    " coalesce(json_extract_string(j, '$.evidence'), '') AS evidence, CASE WHEN json_type(j, '$.evidence_snippets') IS NOT NULL THEN json_extract_string(j, '$.evidence_snippets[*]') END AS raw_s,"
+    " coalesce(json_extract_string(j, '$.evidence_urls[*]'), []) AS raw_u, row_number() OVER (PARTITION BY answer_id // 100 ORDER BY turn DESC) AS rn"
+    " FROM (SELECT *, try_cast(nullif(regexp_extract(answer, '(?s)\\{.*\\}', 0), '') AS JSON) AS j FROM model_answers) WHERE j IS NOT NULL) WHERE rn = 1"
+)
+CTES["page_answers_filled"] = (
+    f"SELECT a.page_id, a.signal, a.confidence, a.evidence, coalesce(a.raw_s, f.found) AS rs, CASE WHEN len(a.raw_u) = 0 THEN [f.url] ELSE a.raw_u END AS ru"
+    " FROM page_answers a JOIN scan_pages_found f ON f.page_id = a.page_id"
+)
+CTES["page_answers_judged"] = (
+    "SELECT *, signal IN ('yes', 'no') AS decided, len(s) < 2 OR len(u) = 0 AS thin, len(list_filter(s, lambda x: " + any_word("lower(x)", V.evidence) + ")) > 0 AS pro,"
+    " len(list_filter(s, lambda x: " + any_word("lower(x)", V.negative) + f")) > 0 AS con FROM (SELECT *, list_filter(list_transform(rs, lambda x: {strip('x')}), lambda x: x <> '') AS s,"
+    f" list_filter(list_transform(ru, lambda x: {strip('x')}), lambda x: x <> '') AS u FROM page_answers_filled)"
+)
+CTES["page_answers_gated"] = "SELECT *, decided AND (thin OR (signal = 'yes' AND NOT pro) OR (signal = 'no' AND NOT con)) AS failed FROM page_answers_judged"
+CTES["scan_pages_answered"] = (
+    "SELECT v.page_id, v.url, CASE WHEN own THEN v.signal WHEN failed THEN 'unclear' ELSE a.signal END AS signal, CASE WHEN own THEN v.confidence WHEN failed THEN least(a.confidence, 0.2e0) ELSE a.confidence END AS confidence,"
+    " CASE WHEN own THEN v.evidence WHEN failed AND thin THEN 'insufficient_evidence' WHEN failed THEN 'generic_evidence' ELSE a.evidence END AS evidence,"
+    " CASE WHEN own THEN v.ev_snippets WHEN failed THEN []::VARCHAR[] WHEN decided THEN s[:6] ELSE rs END AS es, CASE WHEN own THEN v.ev_urls WHEN failed THEN []::VARCHAR[] WHEN decided THEN u ELSE ru END AS eu"
+    " FROM (SELECT v.*, v.signal = 'yes' OR a.page_id IS NULL AS own FROM scan_pages_verdict v LEFT JOIN page_answers a ON a.page_id = v.page_id) v LEFT JOIN page_answers_gated a ON a.page_id = v.page_id"
+)
+CTES |= scan_ctes("ans", "sites", SITE_PATHS, answered=True)
 CTES |= {
     "lookups": "SELECT place_id, max(CASE WHEN page_id % 5 <> 2 THEN url END) AS website_url, max(CASE WHEN page_id % 13 = 1 THEN 'http_500' END) AS lookup_error FROM maps WHERE place_id IS NOT NULL GROUP BY 1",
     "requests": (
@@ -379,7 +411,7 @@ CTES |= {
     ),
     "req_targets": "SELECT run_id AS business_id, domain, website_url FROM requests WHERE domain <> ''",
 }
-CTES |= scan_ctes("req", "req_targets", SITE_PATHS, 2)
+CTES |= scan_ctes("req", "req_targets", SITE_PATHS)
 CTES |= {
     "package_rows": (
         "SELECT r.*, l.errors, l.safe_errors, l.results_found, l.wall, b.signal, coalesce(b.confidence, 0) AS confidence, coalesce(b.evidence, '') AS evidence, coalesce(b.es, []) AS es, coalesce(b.eu, []) AS eu,"
@@ -594,7 +626,7 @@ UPSERTED = (
         f"CASE WHEN e.business_id IS NOT NULL THEN array_to_string({in_order_distinct(tag_parts(f'e.{f}'))}, ';') ELSE o.{f} END AS {f}" for f in ("tags_add", "tags_remove")
     )
     + ", o.updated_at, CASE WHEN e.business_id IS NOT NULL THEN 'me' ELSE o.updated_by END AS updated_by, CASE WHEN e.business_id IS NOT NULL THEN 'm2' ELSE o.source_master END AS source_master"
-    " FROM edits o FULL JOIN new_edits e ON e.business_id = o.business_id"
+    " FROM edits o FULL JOIN new_edits_all e ON e.business_id = o.business_id"
 )
 CTES["upserted"] = UPSERTED
 FIELDS = ["status", "hide_flag", "note", "industry_override", "tags_add", "tags_remove"]
@@ -668,13 +700,13 @@ STATEMENTS: dict[str, str] = {
     "union_dedup": (
         "SELECT place_id, ord, station_key FROM (SELECT nullif(place_id, '') AS place_id, ord, station_key, row_number() OVER (PARTITION BY place_id ORDER BY CASE station_key % 3 WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END, ord) AS rn FROM places) WHERE rn = 1 OR place_id IS NULL"
     ),
-    "domain_ladder": f"SELECT business_id, coalesce({usable('domain')}, CASE WHEN ord % 2 = 0 THEN 'map' || ord || '.example' END, CASE WHEN ord % 3 = 0 THEN 'sug' || ord || '.example' END, '') AS domain FROM companies",
+    "domain_ladder": f"SELECT business_id, coalesce({usable('domain')}, CASE WHEN ord % 4 = 0 THEN 'alt' || ord || '.example' WHEN ord % 2 = 0 THEN 'map' || ord || '.example' END, CASE WHEN ord % 3 = 0 THEN 'sug' || ord || '.example' END, '') AS domain FROM companies",
     "domain_fill": f"SELECT business_id, coalesce({usable('domain')}, {clean_domain('website_url')}) AS domain FROM companies",
     "missing_website": f"SELECT business_id, website_url FROM companies WHERE {usable('website_url')} IS NULL",
     "geocode_cache_hit": f"SELECT c.business_id, round(h.lat, 6) AS lat, round(h.lon, 6) AS lon, CASE WHEN h.address IS NOT NULL THEN 'cache' END AS provider FROM (SELECT *, {ADDR} AS address FROM companies) c LEFT JOIN cache_one h ON h.address = c.address",
     "geocode_cache_miss": f"SELECT DISTINCT address FROM (SELECT {ADDR} AS address FROM companies) c WHERE trim(address) <> '' AND address NOT IN (SELECT address FROM cache_rows)",
     "geocode_cache_merge": f"SELECT address, round(arg_max(lat, ts), 6) AS lat, round(arg_max(lon, ts), 6) AS lon, max(ts) AS ts FROM (SELECT * FROM cache_rows UNION ALL SELECT {ADDR}, lat, lon, lpad(CAST(ord + 7 AS VARCHAR), 9, '0') FROM companies WHERE ord % 4 = 1 AND lat IS NOT NULL) GROUP BY 1",
-    "employee_join": "SELECT business_id, CASE WHEN ord % 4 = 0 THEN CAST(ord % 100 AS INT) END AS employee_count, CASE WHEN ord % 4 = 0 THEN '1-99' END AS employee_band FROM companies",
+    "employee_join": "SELECT business_id, CASE WHEN ord % 8 = 0 THEN CAST((ord + 7) % 50 AS INT) WHEN ord % 4 = 0 THEN CAST(ord % 100 AS INT) END AS employee_count, CASE WHEN ord % 8 = 0 THEN '0-49' WHEN ord % 4 = 0 THEN '1-99' END AS employee_band FROM companies",
     "company_score": "SELECT business_id, total AS score, reasons AS score_reasons FROM ("
     + score_sql(f"SELECT business_id, distance_km, main_business_line, {excluded('company_form', 'name')} AS excluded FROM shortlist", ["62", "1"], ["47", "5."], "main_business_line")
     + ")",
@@ -855,4 +887,5 @@ STATEMENTS: dict[str, str] = {
     )
     + ") WHERE excluded IS NULL",
 }
+STATEMENTS["hiring_signal_answers"] = STATEMENTS["hiring_signal"].replace("site_lists", "ans_lists").replace("site_best", "ans_best")
 ORACLES = {name: sql(text) for name, text in STATEMENTS.items()}

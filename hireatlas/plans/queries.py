@@ -321,7 +321,7 @@ def nearest_station(spark, d):
 @query
 def nearest_station_cells(spark, d):
     """The same join by growing cells, the way a long station list is handled."""
-    out = nearby.nearest_station(companies(spark, d), stations(spark, d), inline_limit=0)
+    out = nearby.nearest_station(companies(spark, d), stations(spark, d), compiled=False)
     return out.select("business_id", "nearest_station", r6("distance_km").alias("distance_km"))
 
 
@@ -400,6 +400,8 @@ def domain_ladder(spark, d):
     df = companies(spark, d)
     mapped = df.where("ord % 2 = 0").select("business_id", F.concat(F.lit("map"), F.col("ord").cast("string"), F.lit(".example")).alias("domain"))
     suggested = df.where("ord % 3 = 0").select("business_id", F.concat(F.lit("sug"), F.col("ord").cast("string"), F.lit(".example")).alias("domain"))
+    again = df.where("ord % 4 = 0").select("business_id", F.concat(F.lit("alt"), F.col("ord").cast("string"), F.lit(".example")).alias("domain"), F.lit(1).alias("ord"))
+    mapped = mapped.withColumn("ord", F.lit(0)).unionByName(again)
     return C.domain_ladder(df, mapped, suggested).select("business_id", "domain")
 
 
@@ -443,7 +445,9 @@ def geocode_cache_merge(spark, d):
 @query
 def employee_join(spark, d):
     df = companies(spark, d)
-    extra = df.where("ord % 4 = 0").select("business_id", (F.col("ord") % 100).cast("int").alias("employee_count"), F.lit("1-99").alias("employee_band"))
+    extra = df.where("ord % 4 = 0").select("business_id", (F.col("ord") % 100).cast("int").alias("employee_count"), F.lit("1-99").alias("employee_band"), F.lit(0).alias("ord"))
+    later = df.where("ord % 8 = 0").select("business_id", ((F.col("ord") + 7) % 50).cast("int").alias("employee_count"), F.lit("0-49").alias("employee_band"), F.lit(1).alias("ord"))
+    extra = extra.unionByName(later)
     return C.with_employees(df, extra).select("business_id", "employee_count", "employee_band")
 
 
@@ -526,8 +530,7 @@ def edits(spark, d, name):
 
 @query
 def overlay_upsert(spark, d):
-    out = O.upsert(overlay(spark, d), edits(spark, d, "edits_a"), source_master="m2", updated_by="me")
-    return out
+    return _after(spark, d)
 
 
 @query
@@ -538,7 +541,9 @@ def merge_edits(spark, d):
 
 
 def _after(spark, d):
-    return O.upsert(overlay(spark, d), edits(spark, d, "edits_a"), source_master="m2", updated_by="me")
+    """Two batches of edits in one go: ids that both edit have the later one."""
+    both = edits(spark, d, "edits_a").withColumn("seq", F.lit(1)).unionByName(edits(spark, d, "edits_b").withColumn("seq", F.lit(2)))
+    return O.upsert(overlay(spark, d), both, source_master="m2", updated_by="me")
 
 
 @query
@@ -728,8 +733,10 @@ def domain_validation(spark, d):
     fetched = (
         sites.join(site_pages(spark, d).select(F.col("page_id").alias("ord"), "html"), "ord")
         .withColumn("html", F.when(F.col("ord") % 3 == 0, F.concat("html", F.lit("<p>Hyväksy</p>"))).otherwise(F.col("html")))
-        .select("domain", code.cast("int").alias("status_code"), home.alias("final_url"), "html", F.lit("dns").alias("error"))
+        .select("domain", code.cast("int").alias("status_code"), home.alias("final_url"), "html", F.lit("dns").alias("error"), F.lit(0).alias("ord"))
     )
+    again = fetched.withColumns({"status_code": F.lit(500), "ord": F.lit(1)})
+    fetched = fetched.unionByName(again)
     return crawl.validate_domains(listed, fetched)
 
 
@@ -740,7 +747,7 @@ def page_budget(spark, d):
 
 @query
 def site_candidates(spark, d):
-    out = crawl.site_candidates(site_companies(spark, d), site_pages(spark, d), paths=SITE_PATHS, limit=6)
+    out = crawl.site_candidates(site_companies(spark, d), site_pages(spark, d), paths=SITE_PATHS)
     return out.select("business_id", "ord", "url", "page_id")
 
 
@@ -951,8 +958,9 @@ def career_suggestion(spark, d):
     return P.career_suggestions(sites.select("business_id", "name", "domain"), own.unionByName(linked).unionByName(boards), signals, SITE_PATHS)
 
 
-def scan_summary(spark, d):
-    scanned = hiring.scan(site_companies(spark, d), ats_pages_same_url(spark, d), access_rules(spark, d), vocabulary=VOCABULARY, paths=SITE_PATHS, max_urls=6)
+def scan_summary(spark, d, answers=None):
+    pages = ats_pages_same_url(spark, d)
+    scanned = hiring.scan(site_companies(spark, d), pages, access_rules(spark, d), answers=answers, vocabulary=VOCABULARY, paths=SITE_PATHS)
     return hiring.scan_summary(scanned)
 
 
@@ -963,7 +971,18 @@ def ats_pages_same_url(spark, d):
 
 @query
 def hiring_signal(spark, d):
-    out = hiring.hiring_signal(site_companies(spark, d), scan_summary(spark, d), RUN)
+    return _signal_rows(spark, d, scan_summary(spark, d))
+
+
+@query
+def hiring_signal_answers(spark, d):
+    """The same run where a conversation's answers speak of the page with its number; several turns answer one page."""
+    said = answers(spark, d).select(F.floor(F.col("answer_id") / 100).alias("page_id"), F.col("turn").alias("ord"), *S.VERDICT_COLUMNS)
+    return _signal_rows(spark, d, scan_summary(spark, d, said))
+
+
+def _signal_rows(spark, d, summary):
+    out = hiring.hiring_signal(site_companies(spark, d), summary, RUN)
     return out.select(
         "run_id", "business_id", "name", "domain", "signal", "confidence", "evidence", joined("evidence_snippets").alias("snippets"),
         joined("evidence_urls").alias("urls"), "signal_url", "checked_urls", "errors", "skipped_reason", "prompt_version", "llm_used", "output_format",
@@ -983,7 +1002,7 @@ def packages(spark, d):
     ).where("place_id IS NOT NULL")
     resolved = hiring.resolve_requests(requests.select("run_id", "maps_url", "note", "tags"), websites)
     targets = resolved.where("domain <> ''").select(F.col("run_id").alias("business_id"), "domain", "website_url")
-    scanned = hiring.scan(targets, ats_pages_same_url(spark, d), access_rules(spark, d), vocabulary=VOCABULARY, paths=SITE_PATHS, max_urls=2)
+    scanned = hiring.scan(targets, ats_pages_same_url(spark, d), access_rules(spark, d), vocabulary=VOCABULARY, paths=SITE_PATHS)
     return hiring.company_packages(resolved, hiring.scan_summary(scanned), RUN)
 
 
@@ -1038,11 +1057,6 @@ def activity_sliding(spark, d):
     return out.select("user_id", F.col("window_start").cast("string").alias("window_start"), "n_events")
 
 
-@query
-def throttle_audit(spark, d):
-    return streams.throttle_audit(table(spark, d, "events"), "user_id", "ts", "event_id", limit=3, window_s=86_400)
-
-
 @query
 def company_run(spark, d):
     registry = _registry(spark, d).withColumn("mainBusinessLine", F.struct((F.col("ord") * 13 % 90 + 10).cast("string").alias("type")))

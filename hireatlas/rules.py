@@ -22,7 +22,10 @@ INDUSTRY_GROUPS = {
     "marketing": ["73", "70"],
     "logistics": ["49", "52"],
     "retail": ["47"],
-    "manufacturing": [str(code) for code in range(10, 34)],
+    "manufacturing": [
+        "10", "11", "12", "13", "14", "15", "16", "17", "18", "19", "20", "21", "22", "23", "24", "25", "26", "27", "28", "29", "30", "31", "32",
+        "33",
+    ],
     "other": [],
 }
 

@@ -22,6 +22,7 @@ def schema(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
+# The column names and types of the data contract, of all schemas below and of SIGNAL_COLUMNS.
 REGISTRY = T.StructType(
     [
         T.StructField("businessId", T.StringType()),

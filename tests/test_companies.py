@@ -116,8 +116,8 @@ def test_nearest_both_ways_and_radius_agree_with_brute_force(spark):
         return 2 * 6371.0088 * asin(sqrt(min(1.0, h)))
 
     want = {i: (min((km(la, lo, x, y), o, n) for o, n, x, y in stations) if la is not None else (None, None, None)) for i, la, lo in companies}
-    for limit in (512, 10):
-        got = {r["business_id"]: r for r in nearby.nearest_station(c, s, inline_limit=limit).collect()}
+    for compiled in (True, False):
+        got = {r["business_id"]: r for r in nearby.nearest_station(c, s, compiled=compiled).collect()}
         assert len(got) == len(companies)
         for i, (d, _, n) in want.items():
             assert got[i]["nearest_station"] == n

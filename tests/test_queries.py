@@ -5,13 +5,15 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from hireatlas.plans.oracles import ORACLES
+from hireatlas.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 JOINED = [
     "nearest_station_cells", "radius_join", "company_score", "effective_view_meta", "prev_next", "kpi", "top_companies", "map_layer", "map_bounds",
-    "crawl_coverage", "access_gate", "generic_jobs", "career_suggestion", "hiring_signal", "throttle_audit", "latest_snapshot", "preset_counts",
+    "crawl_coverage", "access_gate", "generic_jobs", "career_suggestion", "hiring_signal", "latest_snapshot", "preset_counts",
 ]
-SHAPED = ["station_summary", "tag_summary", "kpi", "dedup_companies", "jobs_diff_flagged", "crawl_stats", "generic_jobs", "hiring_signal", "throttle_audit", "watch_list", "prev_next"]
+SHAPED = ["station_summary", "tag_summary", "kpi", "dedup_companies", "jobs_diff_flagged", "crawl_stats", "generic_jobs", "hiring_signal", "watch_list", "prev_next"]
 
 
 def canonical(df):
@@ -19,8 +21,8 @@ def canonical(df):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
-def test_every_query_but_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"throttle_audit"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

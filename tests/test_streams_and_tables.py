@@ -103,25 +103,6 @@ def test_overlay_stream_publishes_versions(spark, folder):
     assert R.read_overlay(spark, base).count() == 1
 
 
-@pytest.mark.parametrize("seed,limit,window", [(1, 3, 60), (2, 1, 10), (3, 10, 300)])
-def test_throttle_audit_equals_the_sequential_rule(spark, seed, limit, window):
-    rng = random.Random(seed)
-    data, clock = [], {"hot": 0, "a": 0, "b": 0}
-    for i in range(900):
-        key = rng.choice(["hot", "hot", "hot", "a", "b"])
-        clock[key] += rng.choice([0, 1, 2, window // 3, window, window + 1, 3 * window if rng.random() < 0.1 else 1])
-        data.append((i, key, 1_700_000_000 + clock[key]))
-    want, taken = {}, {}
-    for i, key, t in sorted(data, key=lambda r: (r[2], r[0])):
-        hits = [x for x in taken.get(key, []) if t - x <= window]
-        want[i] = len(hits) < limit
-        taken[key] = hits + [t] if want[i] else hits
-    rng.shuffle(data)
-    df = spark.createDataFrame(data, "id long, key string, s long").select("id", "key", F.timestamp_seconds("s").alias("ts")).repartition(5)
-    got = {r["id"]: r["accepted"] for r in S.throttle_audit(df, "key", "ts", "id", limit=limit, window_s=window).collect()}
-    assert got == want and not all(want.values())
-
-
 def test_tables_round_trip(spark, folder, tmp_path):
     csv = tmp_path / "companies.csv"
     csv.write_text("businessId,company_name,score,website.url\n0123456-7,Äiti Oy,3,https://a.fi\n0000001-1,\"B, Oy\",,\n", encoding="utf-8")
