@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hireatlas.functions.text import usable
 from hireatlas.operators.median import grouped_median
 from hireatlas.rules import MAP_FALLBACK_CENTER
+from hireatlas.session import materialize
 
 
 def jobs_per_company(jobs: DataFrame) -> DataFrame:
@@ -38,8 +39,13 @@ def _joined(sep: str) -> Column:
     return F.nullif(F.array_join(F.transform("_l", lambda e: e["t"]), sep), F.lit(""))
 
 
+def _summary_rows(shortlist: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The narrow rows that counts, medians and lists of a summary share, stored once."""
+    return materialize(shortlist.where(F.col(key).isNotNull()).select("business_id", "recruiting_active", key, *columns), "summary-rows")
+
+
 def _group_summary(shortlist: DataFrame, new_jobs: DataFrame | None, key: str, medians: dict[str, str]) -> DataFrame:
-    rows = shortlist.where(F.col(key).isNotNull())
+    rows = shortlist
     if new_jobs is None:
         rows = rows.withColumn("n_jobs", F.lit(0).cast("long"))
     else:
@@ -49,12 +55,13 @@ def _group_summary(shortlist: DataFrame, new_jobs: DataFrame | None, key: str, m
         F.count_if("recruiting_active").alias("_recruiting"),
         F.coalesce(F.sum("n_jobs"), F.lit(0)).cast("long").alias("new_jobs_total"),
     )
-    middles = grouped_median(shortlist.where(F.col(key).isNotNull()), [key], medians)
+    middles = grouped_median(shortlist, [key], medians)
     return counts.join(middles, key, "left")
 
 
 def station_summary(shortlist: DataFrame, new_jobs: DataFrame | None = None) -> DataFrame:
     """Per station: companies, recruiting companies, new postings, median score and distance."""
+    shortlist = _summary_rows(shortlist, "nearest_station", ["score", "distance_km"])
     out = _group_summary(shortlist, new_jobs, "nearest_station", {"median_score": "score", "median_distance_km": "distance_km"})
     return out.select(
         F.col("nearest_station").alias("station"),
@@ -68,6 +75,7 @@ def station_summary(shortlist: DataFrame, new_jobs: DataFrame | None = None) ->
 
 def industry_summary(shortlist: DataFrame, new_jobs: DataFrame | None = None) -> DataFrame:
     """Per industry: the same counts, the median distance and the three most frequent stations."""
+    shortlist = _summary_rows(shortlist, "industry", ["nearest_station", "distance_km"])
     out = _group_summary(shortlist, new_jobs, "industry", {"median_distance_km": "distance_km"})
     stations = (
         shortlist.where("industry IS NOT NULL AND nearest_station IS NOT NULL")
@@ -99,6 +107,7 @@ def tag_summary(jobs: DataFrame, companies: DataFrame | None = None) -> DataFram
     else:
         side = companies.select("business_id", F.col("distance_km").alias("_theirs"))
         rows = rows.join(side, "business_id", "left").withColumn("distance_km", F.coalesce("_own", "_theirs"))
+    rows = materialize(rows.select("tag", "business_id", "distance_km"), "summary-rows")
     counts = rows.groupBy("tag").agg(F.count("*").alias("new_jobs"), F.countDistinct("business_id").alias("unique_companies"))
     middles = grouped_median(rows, ["tag"], {"median_distance_km": "distance_km"})
     return counts.join(middles, "tag", "left").orderBy(F.col("new_jobs").desc(), "tag")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hireatlas import rules
 from hireatlas.functions.text import filled, fold_nordic, literal_array
 from hireatlas.operators.companies import is_housing_name
+from hireatlas.session import materialize
 
 CITY_COLUMNS = ["city", "address_city", "_source_city", "domicile"]
 SEARCH_COLUMNS = ["name", "business_id", "website_url", "note"]
@@ -262,23 +263,23 @@ def retained(df: DataFrame, ts: str, as_of: Column, max_age_days: int) -> DataFr
     return df.where(F.col(ts) >= as_of - F.make_dt_interval(F.lit(max_age_days)))
 
 
-def neighbours(df: DataFrame, order: str, key: str, bucket_rows: int = 100_000) -> DataFrame:
-    """Previous and next key of every row in the order of a unique number.
+def neighbours(df: DataFrame, order: list[Column], key: str) -> DataFrame:
+    """Previous and next key of every row in the given order; the unique key decides between equal rows.
 
-    The order is cut into ranges, each a window of its own. Only the first and last key of every
-    range cross the borders, so no task ever holds the whole order.
+    The rows are dealt out by ranges of the order and stored with the number of their range, each a window of its own. Only
+    the first and last key of every range cross the borders: one row per partition, in one small window.
     """
-    bucket = F.floor(F.col(order) / bucket_rows)
-    cut = df.select(F.col(key), F.col(order), bucket.alias("_b"))
-    inside = Window.partitionBy("_b").orderBy(order)
-    rows = cut.withColumns({"_prev": F.lag(key).over(inside), "_next": F.lead(key).over(inside)})
-    borders = cut.groupBy("_b").agg(F.min_by(key, order).alias("_first"), F.max_by(key, order).alias("_last"))
-    # One row per range of `bucket_rows` positions: small enough for a single ordered window.
+    total = [*order, F.col(key).asc()]
+    dealt = df.repartitionByRange(*total).withColumn("_b", F.spark_partition_id())
+    inside = Window.partitionBy("_b").orderBy(*total)
+    rows = materialize(dealt, "ranges").withColumns({"_prev": F.lag(key).over(inside), "_next": F.lead(key).over(inside)})
+    rows = rows.select(key, "_b", "_prev", "_next")
+    borders = rows.groupBy("_b").agg(
+        F.max(F.when(F.col("_prev").isNull(), F.col(key))).alias("_first"), F.max(F.when(F.col("_next").isNull(), F.col(key))).alias("_last")
+    )
     across = Window.orderBy("_b")
     borders = borders.select("_b", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
-    return rows.join(borders, "_b").select(
-        key, order, F.coalesce("_prev", "_before").alias("prev_id"), F.coalesce("_next", "_after").alias("next_id")
-    )
+    return rows.join(borders, "_b").select(key, F.coalesce("_prev", "_before").alias("prev_id"), F.coalesce("_next", "_after").alias("next_id"))
 
 
 def company_jobs(jobs: DataFrame, business_id: str) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hireatlas.session import materialize
+
 _ACCURACY = 10_000
-# The sketch is off by at most 1 / _ACCURACY of the ranks, on either side.
-_MARGIN = 3.0 / _ACCURACY
+# The sketch is off by about 1 / _ACCURACY of the ranks on either side. A group whose median lies outside the bracket is
+# counted again with a wider one; the last holds every value.
+_MARGINS = (3.0 / _ACCURACY, 100.0 / _ACCURACY, 0.5)
 
 
 def grouped_median(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
@@ -20,23 +25,34 @@ def grouped_median(df: DataFrame, keys: list[str], values: dict[str, str]) -> Da
     entries = F.array(
         *[F.struct(F.lit(i).alias("i"), F.col(values[n]).cast("double").alias("v")) for i, n in enumerate(names)]
     )
-    long = (
+    long = materialize(
         df.select(*keys, F.explode(entries).alias("e"))
         .select(*keys, F.col("e.i").alias("_i"), F.col("e.v").alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v")),
+        "median-values",
     )
-    probe = F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY)
-    bracket = long.groupBy(*keys, "_i").agg(F.count("*").alias("_n"), probe.alias("_p"))
-    bracket = bracket.select(*keys, "_i", "_n", F.col("_p")[0].alias("_lo"), F.col("_p")[1].alias("_hi"))
+    found, rest = [], long
+    for margin in _MARGINS:
+        medians = materialize(_bracketed(rest, [*keys, "_i"], margin), "medians")
+        found.append(medians.where("_m IS NOT NULL"))
+        missed = medians.where("_m IS NULL").drop("_m")
+        if missed.isEmpty():
+            break
+        rest = long.join(missed, [*keys, "_i"], "left_semi")
+    return reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(n) for i, n in enumerate(names)])
+
+
+def _bracketed(rows: DataFrame, keys: list[str], margin: float) -> DataFrame:
+    """Median of ``_v`` per key as ``_m``, null where it lies outside the sketched bracket."""
+    probe = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], _ACCURACY)
+    bracket = rows.groupBy(*keys).agg(F.count("*").alias("_n"), probe.alias("_p"))
+    bracket = bracket.select(*keys, "_n", F.col("_p")[0].alias("_lo"), F.col("_p")[1].alias("_hi"))
     # All values below the bracket fall into one null entry, which only carries their count.
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
     counted = (
-        long.join(bracket, [*keys, "_i"])
-        .where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, "_i", "_n", inside.alias("_x"))
-        .agg(F.count("*").alias("_c"))
+        rows.join(bracket, keys).where(F.col("_v") <= F.col("_hi")).groupBy(*keys, "_n", inside.alias("_x")).agg(F.count("*").alias("_c"))
     )
-    running = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_upto", F.sum("_c").over(running))
     low_rank, high_rank = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
 
@@ -44,11 +60,4 @@ def grouped_median(df: DataFrame, keys: list[str], values: dict[str, str]) -> Da
         held = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
         return F.max(F.when(held, F.col("_x")))
 
-    middle = (at(low_rank) + at(high_rank)) / 2
-    medians = ranked.groupBy(*keys, "_i").agg(middle.alias("_m"))
-    checked = F.when(F.col("_m").isNull(), F.raise_error("the sketch bracket missed a median").cast("double")).otherwise(F.col("_m"))
-    return (
-        medians.withColumn("_m", checked)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(n) for i, n in enumerate(names)])
-    )
+    return ranked.groupBy(*keys).agg(((at(low_rank) + at(high_rank)) / 2).alias("_m"))

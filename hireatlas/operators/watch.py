@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hireatlas.functions.text import clean_tags, contains_any, filled, literal_array, usable
 from hireatlas.operators.analytics import ranked_text, side_by_side
 from hireatlas.rules import MARKER_RADIUS
+from hireatlas.session import materialize
 
 
 def _lookup(companies: DataFrame) -> DataFrame:
@@ -179,8 +180,10 @@ def map_layer(companies: DataFrame, new_jobs: DataFrame, scale: str = "log", siz
     note = filled("note")
     short_note = F.when(F.length(note) > 120, F.concat(F.left(note, F.lit(117)), F.lit("..."))).otherwise(note)
     layers = F.concat_ws(",", F.lit("all"), F.when(recruiting, F.lit("recruiting")), F.when(fresh > 0, F.lit("new_jobs")))
+    # The postings are counted and listed, so what a diff gave is worked out once.
+    fresh_jobs = materialize(new_jobs.select("company_business_id", "ord", "job_title", "tags"), "map-jobs")
     joined = companies.where("lat IS NOT NULL AND lon IS NOT NULL").join(
-        popup_jobs(new_jobs).withColumnRenamed("company_business_id", "business_id"), "business_id", "left"
+        popup_jobs(fresh_jobs).withColumnRenamed("company_business_id", "business_id"), "business_id", "left"
     )
     popup = F.concat_ws(
         "\n",

@@ -15,6 +15,7 @@ from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wal
 from hireatlas.operators.signal import (
     evidence_downgrade, evidence_gate, evidence_pairs, page_verdict, prompt_version, signal_rank,
 )
+from hireatlas.session import materialize
 
 PACKAGE_SCHEMA_VERSION = "0.1"  # fixed value
 
@@ -61,8 +62,10 @@ def scan(
     excerpts (null) takes those of the page, before the evidence gate. ``allow_domains`` are company domains whose access rules
     are overridden.
     """
-    wanted = site_candidates(companies, pages, paths=paths, limit=max_urls)
-    gated = access_gate(wanted, access_rules, allow_domains, "domain")
+    # Addresses are matched over a narrow stored table; the HTML is read once, for the pages that are asked for.
+    keys = materialize(pages.select("page_id", "url"), "page-keys")
+    wanted = site_candidates(companies, keys, paths=paths, limit=max_urls)
+    gated = materialize(access_gate(wanted, access_rules, allow_domains, "domain"), "scan-candidates")
     texts = page_text(landed_pages(gated.where("allowed"), pages).select("page_id", "url", "html"))
     judged = page_verdict(cookie_wall(texts, vocabulary), vocabulary)
     verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]

@@ -721,7 +721,7 @@ STATEMENTS: dict[str, str] = {
     "scan_targets": "SELECT business_id, domain FROM shortlist WHERE lower(nearest_station) = 'nation_3' AND distance_km <= 40 AND trim(domain) <> ''",
     "retention_split": "SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS purged FROM events GROUP BY 1",
     "filter_values": "SELECT DISTINCT 'city' AS kind, trim(v) AS value FROM (SELECT city AS v FROM effective UNION ALL SELECT _source_city FROM effective UNION ALL SELECT domicile FROM effective) WHERE trim(v) <> '' UNION ALL SELECT DISTINCT 'industry', industry_effective FROM effective",
-    "prev_next": "SELECT business_id, ord, lag(business_id) OVER (ORDER BY ord) AS prev_id, lead(business_id) OVER (ORDER BY ord) AS next_id FROM shortlist",
+    "prev_next": "SELECT business_id, lag(business_id) OVER o AS prev_id, lead(business_id) OVER o AS next_id FROM shortlist WINDOW o AS (ORDER BY score DESC NULLS LAST, name, business_id)",
     "company_jobs_semi": "SELECT ord, company_business_id FROM jobs_raw WHERE company_business_id IN (SELECT business_id FROM companies WHERE recruiting_active)",
     "key_violations": "SELECT key, CASE WHEN key = '' THEN 'blank' ELSE 'duplicate' END AS problem, count(*) AS n_rows FROM (SELECT CASE WHEN ord % 97 = 0 THEN '' ELSE company_business_id END AS key FROM jobs_raw) GROUP BY 1 HAVING key = '' OR count(*) > 1",
     "overlay_upsert": "SELECT * FROM upserted",

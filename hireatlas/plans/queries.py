@@ -17,7 +17,7 @@ from hireatlas.operators import (
 from hireatlas.operators.once import compute_once, spread
 from hireatlas.plans import hiring, runs
 from hireatlas.plans.bindings import SITE_PATHS, TAG_RULES, VOCABULARY, bound, table
-from hireatlas.session import configure
+from hireatlas.session import configure, materialize
 from hireatlas.sources import writers
 from hireatlas.sources.readers import latest_rows, snapshot_date
 from hireatlas.streaming import streams
@@ -110,20 +110,25 @@ def site_pages(spark, d):
     return bound(spark, d, "site_pages")
 
 
-def site_companies(spark, d):
+def page_keys(spark, d):
+    """Number and address of every page, stored, for inputs that several parts of a query derive from them."""
+    return materialize(site_pages(spark, d).select("page_id", "url"), "site-keys")
+
+
+def site_companies(spark, d, pages=None):
     """One company per host, with its first page as website."""
     host = U.authority(F.col("url"))
     return (
-        site_pages(spark, d)
+        (pages or site_pages(spark, d))
         .groupBy(host.alias("domain"))
         .agg(F.min("page_id").alias("ord"), F.min_by("url", "page_id").alias("website_url"))
         .select(F.concat(F.lit("H-"), "domain").alias("business_id"), F.concat(F.lit("Site "), "domain").alias("name"), "domain", "website_url", "ord")
     )
 
 
-def access_rules(spark, d):
+def access_rules(spark, d, pages=None):
     """Rules per host out of the page table: a few closed paths, a blocked site, an unreachable one."""
-    p = site_pages(spark, d).select("page_id", U.authority(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"))
+    p = (pages or site_pages(spark, d)).select("page_id", U.authority(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"))
     some = p.where("page_id % 5 = 0").select(
         "host", F.col("page_id").cast("int").alias("ord"), F.substring("path", 1, 5).alias("path_prefix"), (F.col("page_id") % 3 == 0).alias("allow")
     )
@@ -222,7 +227,7 @@ def url_party(spark, d):
     )
 
 
-def maps_links(spark, d):
+def maps_links(spark, d, pages=None):
     n = F.col("page_id").cast("string")
     link = (
         F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("https://www.google.com/maps?place_id=PL"), n, F.lit("&x=1")))
@@ -232,7 +237,7 @@ def maps_links(spark, d):
         .when(F.col("page_id") % 6 == 4, F.lit("https://goo.gl/maps/abc"))
         .otherwise(F.concat(F.lit(" https://google.com/maps?placeid=W"), n, F.lit("&place_id= ")))
     )
-    return site_pages(spark, d).withColumn("maps_url", link)
+    return (pages or site_pages(spark, d)).withColumn("maps_url", link)
 
 
 @query
@@ -510,7 +515,8 @@ def filter_values(spark, d):
 
 @query
 def prev_next(spark, d):
-    return L.neighbours(shortlist(spark, d), "ord", "business_id", bucket_rows=64)
+    view_ = shortlist(spark, d).select("business_id", "score", "name")
+    return L.neighbours(view_, [F.col("score").desc_nulls_last(), F.col("name").asc()], "business_id")
 
 
 @query
@@ -958,9 +964,9 @@ def career_suggestion(spark, d):
     return P.career_suggestions(sites.select("business_id", "name", "domain"), own.unionByName(linked).unionByName(boards), signals, SITE_PATHS)
 
 
-def scan_summary(spark, d, answers=None):
+def scan_summary(spark, d, keys, answers=None):
     pages = ats_pages_same_url(spark, d)
-    scanned = hiring.scan(site_companies(spark, d), pages, access_rules(spark, d), answers=answers, vocabulary=VOCABULARY, paths=SITE_PATHS)
+    scanned = hiring.scan(site_companies(spark, d, keys), pages, access_rules(spark, d, keys), answers=answers, vocabulary=VOCABULARY, paths=SITE_PATHS)
     return hiring.scan_summary(scanned)
 
 
@@ -971,18 +977,20 @@ def ats_pages_same_url(spark, d):
 
 @query
 def hiring_signal(spark, d):
-    return _signal_rows(spark, d, scan_summary(spark, d))
+    keys = page_keys(spark, d)
+    return _signal_rows(spark, d, keys, scan_summary(spark, d, keys))
 
 
 @query
 def hiring_signal_answers(spark, d):
     """The same run where a conversation's answers speak of the page with its number; several turns answer one page."""
     said = answers(spark, d).select(F.floor(F.col("answer_id") / 100).alias("page_id"), F.col("turn").alias("ord"), *S.VERDICT_COLUMNS)
-    return _signal_rows(spark, d, scan_summary(spark, d, said))
+    keys = page_keys(spark, d)
+    return _signal_rows(spark, d, keys, scan_summary(spark, d, keys, said))
 
 
-def _signal_rows(spark, d, summary):
-    out = hiring.hiring_signal(site_companies(spark, d), summary, RUN)
+def _signal_rows(spark, d, keys, summary):
+    out = hiring.hiring_signal(site_companies(spark, d, keys), summary, RUN)
     return out.select(
         "run_id", "business_id", "name", "domain", "signal", "confidence", "evidence", joined("evidence_snippets").alias("snippets"),
         joined("evidence_urls").alias("urls"), "signal_url", "checked_urls", "errors", "skipped_reason", "prompt_version", "llm_used", "output_format",
@@ -991,7 +999,8 @@ def _signal_rows(spark, d, summary):
 
 def packages(spark, d):
     """One request per page; the place lookup leads to the site of the page's host."""
-    requests = maps_links(spark, d).select(
+    keys = page_keys(spark, d)
+    requests = maps_links(spark, d, keys).select(
         F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("run_id"), "maps_url", "page_id", "url",
         F.when(F.col("page_id") % 5 == 0, F.lit("call")).alias("note"), F.when(F.col("page_id") % 4 == 0, F.array(F.lit("a"), F.lit("b"))).alias("tags"),
     )
@@ -1002,7 +1011,7 @@ def packages(spark, d):
     ).where("place_id IS NOT NULL")
     resolved = hiring.resolve_requests(requests.select("run_id", "maps_url", "note", "tags"), websites)
     targets = resolved.where("domain <> ''").select(F.col("run_id").alias("business_id"), "domain", "website_url")
-    scanned = hiring.scan(targets, ats_pages_same_url(spark, d), access_rules(spark, d), vocabulary=VOCABULARY, paths=SITE_PATHS)
+    scanned = hiring.scan(targets, ats_pages_same_url(spark, d), access_rules(spark, d, keys), vocabulary=VOCABULARY, paths=SITE_PATHS)
     return hiring.company_packages(resolved, hiring.scan_summary(scanned), RUN)
 
 

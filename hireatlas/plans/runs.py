@@ -71,19 +71,20 @@ def publish_company_run(shortlist: DataFrame, excluded: DataFrame, base: str, ru
     return write_tables({"Shortlist": shortlist, "Excluded": excluded}, base, run_date)
 
 
-def jobs_run(jobs: DataFrame, known: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+def jobs_run(jobs: DataFrame, known: DataFrame, as_of: Column) -> dict[str, DataFrame | Column]:
     """All postings with their flag, the new ones, and the activity, counted after the comparison."""
     flagged = J.flag_new(jobs, known)
-    return {"jobs_all": flagged, "jobs_new": flagged.where("is_new"), "activity": J.company_activity(flagged, as_of)}
+    return {"jobs_all": flagged, "jobs_new": flagged.where("is_new"), "activity": J.company_activity(flagged, as_of), "as_of": as_of}
 
 
 def publish_jobs_run(
-    run: dict[str, DataFrame], base: str, run_date: str, *, shortlist: DataFrame | None = None, excluded: DataFrame | None = None,
+    run: dict[str, DataFrame | Column], base: str, run_date: str, *, shortlist: DataFrame | None = None, excluded: DataFrame | None = None,
     crawl_stats: DataFrame | None = None, keep_history: DataFrame | None = None,
 ) -> list[str]:
     """Write the run's tables, then the state the next run compares with.
 
-    The flagged postings are written once and read back for the rest, so nothing is computed twice.
+    The flagged postings are written once and read back for the rest, so nothing is computed twice. ``activity`` of the run
+    is replaced by the same counts over the stored postings, which need the run's ``as_of``.
     """
     spark = run["jobs_all"].sparkSession
     written = write_tables({"Jobs_All": run["jobs_all"]}, base, run_date)
@@ -91,7 +92,7 @@ def publish_jobs_run(
     written += write_tables(
         {
             "Shortlist": shortlist, "Excluded": excluded, "Jobs_New": stored.where("is_new"), "Crawl_Stats": crawl_stats,
-            "Company_Activity": run["activity"],
+            "Company_Activity": J.company_activity(stored, run["as_of"]) if "as_of" in run else run["activity"],
         },
         base,
         run_date,

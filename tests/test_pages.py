@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from hireatlas.functions import html as H
 from hireatlas.operators import analytics as A, contract, extraction as X, pages as P, signal as S
 from hireatlas.plans import hiring
 
@@ -15,7 +16,7 @@ def page(i, html, url=None, **values):
 LABELLED = [
     ("yes_list", "yes", "<html><head><title>Careers</title></head><body><h1>Open positions</h1><p>Apply today and join us.</p></body></html>"),
     ("yes_data", "yes", "<html><head><title>Jobs</title></head><body><script type='application/ld+json'>{\"@type\":\"JobPosting\",\"title\":\"Cook\"}</script><p>A cook is wanted.</p></body></html>"),
-    ("yes_board", "yes", "<html><body><a href='https://boards.greenhouse.io/acme'>Careers</a></body></html>"),
+    ("yes_board", "yes", "<html><body><a href='https://boards.greenhouse.io/fjordbakery'>Careers</a></body></html>"),
     ("yes_finnish", "yes", "<html><head><title>Tyopaikat</title></head><body><h1>Avoimet tyopaikat</h1><p>Hae tahan.</p></body></html>"),
     ("no_about", "no", "<html><head><title>About</title></head><body><p>We repair bicycles.</p></body></html>"),
     ("unclear_home", "unclear", "<html><head><title>Welcome</title></head><body><p>Welcome in.</p></body></html>"),
@@ -32,7 +33,7 @@ def test_labelled_pages_give_the_expected_verdicts_and_metrics(rows):
 
 
 def test_golden_texts(rows):
-    golden = [("https://example.com/careers", "Open positions: apply today.", "yes"), ("https://example.com/about", "We repair bicycles.", "no"), ("https://boards.greenhouse.io/acme", "Careers portal.", "yes"), ("https://example.com/news", "Press releases.", "no")]
+    golden = [("https://example.com/careers", "Open positions: apply today.", "yes"), ("https://example.com/about", "We repair bicycles.", "no"), ("https://boards.greenhouse.io/fjordbakery", "Careers portal.", "yes"), ("https://example.com/news", "Press releases.", "no")]
     df = rows("page_id long, url string, html string, label string", [{"page_id": i, "url": u, "html": f"<html><body>{t}</body></html>", "label": lab} for i, (u, t, lab) in enumerate(golden)])
     out = S.page_verdict(df)
     assert [r["signal"] for r in out.orderBy("page_id").collect()] == ["unclear", "unclear", "yes", "unclear"]
@@ -49,9 +50,9 @@ def test_long_page_with_keywords_is_a_yes(rows):
 
 def test_board_detection(rows):
     cases = [
-        ("https://jobs.lever.co/acme/1", "", ("lever", "acme")), ("https://www.clever.com/x", "", None), ("https://a.fi", "<script src='https://hire.lever.co/x'>", ("lever", "hire")),
-        ("https://boards.greenhouse.io/acme", "", ("greenhouse", "acme")), ("https://a.fi", "boards.greenhouse.io/z", ("greenhouse", None)), ("https://acme.recruitee.com/o/1", "", ("recruitee", "acme")),
-        ("https://acme.teamtailor.com", "", ("teamtailor", "acme")), ("https://a.fi", "nothing", None),
+        ("https://jobs.lever.co/fjordbakery/1", "", ("lever", "fjordbakery")), ("https://www.clever.com/x", "", None), ("https://a.fi", "<script src='https://hire.lever.co/x'>", ("lever", "hire")),
+        ("https://boards.greenhouse.io/fjordbakery", "", ("greenhouse", "fjordbakery")), ("https://a.fi", "boards.greenhouse.io/z", ("greenhouse", None)), ("https://fjordbakery.recruitee.com/o/1", "", ("recruitee", "fjordbakery")),
+        ("https://fjordbakery.teamtailor.com", "", ("teamtailor", "fjordbakery")), ("https://a.fi", "nothing", None),
     ]
     df = rows("id long, url string, html string", [{"id": i, "url": u, "html": h} for i, (u, h, _) in enumerate(cases)])
     got = [tuple(r["a"]) if r["a"] else None for r in df.orderBy("id").select(P.detect_ats(F.col("url"), F.col("html")).alias("a")).collect()]
@@ -240,3 +241,32 @@ def test_career_suggestions_prefer_boards_then_paths_then_links(rows):
     signals = rows("url_key string", [{"url_key": k} for k in ("a.fi/careers", "b.fi/rekry", "b.fi/ura", "c.fi/x")])
     out = {r["business_id"]: (r["suggested_base_url"], r["source"], r["confidence"]) for r in P.career_suggestions(companies, links, signals).collect()}
     assert out == {"a": ("https://boards.greenhouse.io/a", "ats", "high"), "b": ("https://b.fi/rekry", "common_path", "med"), "c": ("https://c.fi/x", "homepage_link", "med")}
+
+
+BROKEN = {
+    "unbalanced quote": ('<img alt="19" screen">' + '<a href="/x">l</a>' * 20_000, ("l " * 20_000).strip(), 20_000),
+    "many quoted values": ("<p " + " ".join(f'a{i}="v{i}"' for i in range(20_000)) + ">hi</p>", "hi", 0),
+    "unquoted apostrophe": ("<p title=it's>hello</p><p>don't</p> tail", "hello don't tail", 0),
+    "unclosed script": ("a<script>var x = '<p>';", "a", 0),
+    "unclosed comments": ("a" + "<!--" * 50_000, "a", 0),
+    "tags without an end": ("a" + "<b " * 50_000, "a" + ("<b " * 50_000).strip(), 0),
+    "blanks": ("<p>x" + " " * 100_000 + "y", "x" + " " * 100_000 + "y", 0),
+    "references": ("&egrave;&laquo;&#x0001F600;&#55357;&#38;lt;&#0000065;&#150;&#x110000;&#99999999999;&none;&amp;lt;", "è«\U0001f600�&lt;A–��&none;&lt;", 0),
+}
+
+
+def test_broken_pages_keep_their_text(spark):
+    names = list(BROKEN)
+    df = spark.createDataFrame([(n, BROKEN[n][0]) for n in names], "name string, html string")
+    got = {r["name"]: r for r in df.select("name", H.visible_text(F.col("html")).alias("t"), F.size(H.links(F.col("html"))).alias("n")).collect()}
+    for n in names:
+        assert (got[n]["t"], got[n]["n"]) == BROKEN[n][1:], n
+
+
+def test_links_of_unclosed_and_odd_anchors(spark):
+    page = (
+        '<a href="/one">one<a href=/two>Two</a> <a data-href="/no" href="/yes">y</a><a title="a>b" href=\'/q\'>Q</a>'
+        "<a class=x HREF = \"/r&amp;s\">R &lt;</a><a name=z>none</a><a href='/last'>tail <b"
+    )
+    got = spark.createDataFrame([(page,)], "html string").select(H.links(F.col("html")).alias("l")).first()["l"]
+    assert [(a["href"], a["text"]) for a in got] == [("/one", "one"), ("/two", "two"), ("/yes", "y"), ("/q", "q"), ("/r&s", "r <"), ("/last", "tail")]

@@ -79,7 +79,7 @@ def test_preset_counts_match_the_presets(rows):
 
 def test_neighbours_across_ranges(spark):
     df = spark.createDataFrame([(i * 3, f"b{i}") for i in range(50)], "ord long, business_id string").repartition(5)
-    out = {r["business_id"]: (r["prev_id"], r["next_id"]) for r in L.neighbours(df, "ord", "business_id", bucket_rows=10).collect()}
+    out = {r["business_id"]: (r["prev_id"], r["next_id"]) for r in L.neighbours(df, [F.col("ord").asc()], "business_id").collect()}
     assert out == {f"b{i}": (f"b{i - 1}" if i else None, f"b{i + 1}" if i < 49 else None) for i in range(50)}
 
 
