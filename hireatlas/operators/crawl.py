@@ -209,7 +209,7 @@ def access_gate(candidates: DataFrame, access_rules: DataFrame, allow: list[str]
         .when(blocked, F.lit(rules.ROBOTS_URL))
         .otherwise(F.lit(""))
     )
-    return joined.withColumn("skip_reason", reason).withColumn("allowed", F.col("skip_reason") == "").drop(
+    return joined.withColumn("skip_reason", skip_reason(reason)).withColumn("allowed", F.col("skip_reason") == "").drop(
         "_host", "_target", "rules", "site_state"
     )
 

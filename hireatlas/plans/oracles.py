@@ -887,5 +887,23 @@ STATEMENTS: dict[str, str] = {
     )
     + ") WHERE excluded IS NULL",
 }
+CTES["run_ladder"] = (
+    f"SELECT c.business_id, c.name, c.ord, CAST(NULL AS VARCHAR) AS website_url, coalesce({usable("CASE WHEN c.ord % 5 = 0 THEN c.domain END")}, s.domain, '') AS domain, c.nearest_station, c.distance_km"
+    " FROM shortlist c LEFT JOIN sites s ON s.ord = c.ord"
+)
+CTES["run_targets"] = "SELECT * FROM run_ladder WHERE lower(nearest_station) = 'nation_3' AND distance_km <= 400 AND trim(domain) <> ''"
+CTES |= scan_ctes("run", "run_targets", SITE_PATHS)
+STATEMENTS |= {
+    "domain_map_rows": f"SELECT business_id, {clean_domain('website_url')} AS domain FROM companies WHERE ord % 10 <> 0 AND {clean_domain('website_url')} <> ''",
+    "station_rows": "SELECT n_name AS station_name, round(60e0 + n_nationkey * 0.2e0, 6) AS lat FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 5 <> 0",
+    "signal_csv_rows": "SELECT answer_id, CAST(to_json(es) AS VARCHAR) AS evidence_snippets, CAST(to_json(eu) AS VARCHAR) AS evidence_urls FROM verdicts",
+    "known_jobs_state": "SELECT job_url, fp AS job_fingerprint FROM distinct_jobs UNION SELECT job_url, fp FROM known",
+    "outreach_rows": "SELECT business_id, name FROM shortlist WHERE score >= 5",
+    "audit_row": "SELECT '2024-02-01T00:00:00' AS ts, 'b1' AS batch_id, count(*) FILTER (len(fields) > 0) AS changed_rows, 'm2' AS source_master, 'overlay' AS curation_path, CAST(NULL AS VARCHAR) AS backup_path FROM changed",
+    "scan_run": (
+        "SELECT s.business_id, s.domain, coalesce(b.signal, 'unclear') AS signal, coalesce(b.confidence, 0e0) AS confidence, l.checked_urls, l.errors, CASE WHEN l.results_found THEN '' ELSE l.skipped END AS skipped_reason"
+        " FROM run_targets s JOIN run_lists l ON l.business_id = s.business_id LEFT JOIN run_best b ON b.business_id = s.business_id"
+    ),
+}
 STATEMENTS["hiring_signal_answers"] = STATEMENTS["hiring_signal"].replace("site_lists", "ans_lists").replace("site_best", "ans_best")
 ORACLES = {name: sql(text) for name, text in STATEMENTS.items()}

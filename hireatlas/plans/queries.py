@@ -18,7 +18,7 @@ from hireatlas.operators.once import compute_once, spread
 from hireatlas.plans import hiring, runs
 from hireatlas.plans.bindings import SITE_PATHS, TAG_RULES, VOCABULARY, bound, table
 from hireatlas.session import configure, materialize
-from hireatlas.sources import writers
+from hireatlas.sources import readers, writers
 from hireatlas.sources.readers import latest_rows, snapshot_date
 from hireatlas.streaming import streams
 
@@ -1057,6 +1057,64 @@ def contract_violations(spark, d):
     return contract.signal_violations(bad, "answer_id")
 
 
+# --- shaping of sources and sinks -------------------------------------------------------------
+
+
+@query
+def domain_map_rows(spark, d):
+    """The mapping as it is landed: blank ids and domains, addresses in place of domains."""
+    blank = F.col("ord") % 10 == 0
+    df = companies(spark, d).select(F.when(~blank, F.concat(F.lit(" "), "business_id")).otherwise(F.lit(" ")).alias("business_id"), "name", F.col("website_url").alias("domain"))
+    return readers.domain_map_rows(df).select("business_id", "domain")
+
+
+@query
+def station_rows(spark, d):
+    n = F.col("n_nationkey")
+    df = table(spark, d, "nation").select(
+        F.col("n_name").alias("station_name"), F.when(n % 5 != 0, F.lit(60.0) + n * 0.2).alias("lat"), F.lit(22.0).alias("lon"),
+        F.when(n % 2 == 0, F.lit("FI")).when(n % 3 == 0, F.lit("SE")).alias("country"),
+    )
+    return readers.station_rows(df).select("station_name", r6("lat").alias("lat"))
+
+
+@query
+def signal_csv_rows(spark, d):
+    df = S.evidence_gate(answers(spark, d)).select("answer_id", "evidence_snippets", "evidence_urls")
+    return writers.csv_rows(df)
+
+
+@query
+def known_jobs_state(spark, d):
+    """State after a run that keeps the older postings."""
+    return J.next_state(flagged(spark, d), known(spark, d)).select("job_url", "job_fingerprint")
+
+
+@query
+def outreach_rows(spark, d):
+    return writers.outreach(shortlist(spark, d).where("score >= 5"), {"filter": "score >= 5"})["outreach"].select("business_id", "name")
+
+
+@query
+def audit_row(spark, d):
+    diff = O.edit_diff(overlay(spark, d), _after(spark, d))
+    out = writers.audit_event(diff, ts="2024-02-01T00:00:00", batch_id="b1", source_master="m2", overlay_path="overlay", backup=None)
+    return out.select("ts", "batch_id", "changed_rows", "source_master", "curation_path", "backup_path")
+
+
+@query
+def scan_run(spark, d):
+    """From companies to contract rows: mapped domains, one station within a distance, candidates, gate, verdicts."""
+    keys = page_keys(spark, d)
+    hosts = site_companies(spark, d, keys)
+    located = shortlist(spark, d).withColumn("website_url", F.lit(None).cast("string")).withColumn("domain", F.when(F.col("ord") % 5 == 0, F.col("domain")))
+    mapped = hosts.select(F.col("ord").alias("page_id"), F.col("domain")).join(companies(spark, d).select(F.col("ord").alias("page_id"), "business_id"), "page_id")
+    chosen = L.scan_targets(C.domain_ladder(located, mapped.select("business_id", "domain")), station="nation_3", max_distance_km=400.0)
+    scanned = hiring.scan(chosen, ats_pages_same_url(spark, d), access_rules(spark, d, keys), vocabulary=VOCABULARY, paths=SITE_PATHS)
+    out = hiring.hiring_signal(chosen, hiring.scan_summary(scanned), RUN)
+    return out.select("business_id", "domain", "signal", "confidence", "checked_urls", "errors", "skipped_reason")
+
+
 # --- recurring runs ---------------------------------------------------------------------------
 
 

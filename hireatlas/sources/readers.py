@@ -61,20 +61,26 @@ def read_crawl_stats(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_domain_map(spark: SparkSession, path: str) -> DataFrame:
+    return domain_map_rows(conform(read_table(spark, path), schemas.DOMAIN_MAP, {"businessId": "business_id"}))
+
+
+def domain_map_rows(df: DataFrame) -> DataFrame:
     """Id to domain, without rows that have no id or no domain."""
-    df = conform(read_table(spark, path), schemas.DOMAIN_MAP, {"businessId": "business_id"})
     return df.select(filled("business_id").alias("business_id"), "name", clean_domain("domain").alias("domain")).where(
         F.col("business_id").isNotNull() & (F.col("domain") != "")
     )
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    """Stations with coordinates; the country filter applies only where the code FI occurs at all."""
     sep = ","
     header = spark.read.text(path).limit(1).collect()
     if header and header[0][0].count(";") > header[0][0].count(","):
         sep = ";"
-    df = conform(read_table(spark, path, sep=sep), schemas.STATION, schemas.STATION_ALIASES)
+    return station_rows(conform(read_table(spark, path, sep=sep), schemas.STATION, schemas.STATION_ALIASES))
+
+
+def station_rows(df: DataFrame) -> DataFrame:
+    """Stations with coordinates; the country filter applies only where the code FI occurs at all."""
     finnish = df.where(F.col("country") == "FI").agg(F.count("*")).scalar()
     return df.where((finnish == 0) | (F.col("country") == "FI")).na.drop(subset=["lat", "lon"])
 

@@ -51,14 +51,18 @@ def publish_known_jobs(df: DataFrame, base: str) -> int:
     return publish_version(df.select("job_url", "job_fingerprint"), base)
 
 
+def csv_rows(df: DataFrame) -> DataFrame:
+    """Hiring-signal rows with their list columns as JSON text."""
+    lists = ["evidence_snippets", "evidence_urls"]
+    return df.withColumns({c: F.to_json(c) for c in lists if dict(df.dtypes)[c].startswith("array")})
+
+
 def write_signal_rows(df: DataFrame, path: str, output_format: str = "csv") -> None:
     """Hiring-signal rows; CSV carries the list columns as JSON text."""
     if output_format == "jsonl":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
         return
-    lists = ["evidence_snippets", "evidence_urls"]
-    flat = df.withColumns({c: F.to_json(c) for c in lists if dict(df.dtypes)[c].startswith("array")})
-    flat.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    csv_rows(df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def append_audit(events: DataFrame, path: str) -> None:
