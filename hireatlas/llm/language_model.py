@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import body, crc_mod, store, table
 from .tokens import Words, chunks, mix
 
-DEPTH = 4
+DEPTH = 5
 HEAVY = 1 << 17
 #: Keys of the model that may be sent to every task (12 bytes each).
 TABLE_ROWS = 4_000_000
@@ -250,38 +250,48 @@ def _log_table(grams: DataFrame, depth: int) -> DataFrame:
 
 
 class _Lookup:
-    """An open-addressing table from 64-bit keys to numbers; built and read for all keys at once."""
+    """An open-addressing table from 64-bit keys to numbers, read for all keys of a batch at once.
+
+    Only the keys and numbers travel; a worker process builds the table when it first needs it.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
-        size = 1 << self.bits
-        self.keys, self.taken, self.values = np.zeros(size, np.uint64), np.zeros(size, bool), np.zeros(size, values.dtype)
-        left = np.arange(len(keys))
-        slot = self._slot(keys)
-        while len(left):
-            free = left[~self.taken[slot[left]]]
-            _, first = np.unique(slot[free], return_index=True)
-            own = free[first]
-            self.keys[slot[own]], self.values[slot[own]], self.taken[slot[own]] = keys[own], values[own], True
-            placed = np.zeros(len(keys), bool)
-            placed[own] = True
-            left = left[~placed[left]]
-            slot[left] = (slot[left] + 1) & (size - 1)
+        self.own = keys, values
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = None
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _build(self):
+        keys, values = self.own
+        size = 1 << self.bits
+        held, taken, numbers = np.zeros(size, np.uint64), np.zeros(size, bool), np.zeros(size, values.dtype)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(~taken[slot])
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]  # one key per free slot
+            held[slot[own]], numbers[slot[own]], taken[slot[own]] = keys[left[own]], values[left[own]], True
+            rest = np.ones(len(left), bool)
+            rest[own] = False
+            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
+        self.slots = held, taken, numbers
+
     def get(self, keys: np.ndarray, default) -> np.ndarray:
+        if self.slots is None:
+            self._build()
+        held, taken, numbers = self.slots
         slot = self._slot(keys)
-        hit = self.taken[slot] & (self.keys[slot] == keys)
-        out = np.where(hit, self.values[slot], default)
-        left = np.flatnonzero(~hit & self.taken[slot])
+        hit = taken[slot] & (held[slot] == keys)
+        out = np.where(hit, numbers[slot], default)
+        left = np.flatnonzero(~hit & taken[slot])
         slot = slot[left]
         while len(left):
-            slot = (slot + 1) & (len(self.keys) - 1)
-            hit = self.taken[slot] & (self.keys[slot] == keys[left])
-            out[left[hit]] = self.values[slot[hit]]
-            more = ~hit & self.taken[slot]
+            slot = (slot + 1) & (len(held) - 1)
+            hit = taken[slot] & (held[slot] == keys[left])
+            out[left[hit]] = numbers[slot[hit]]
+            more = ~hit & taken[slot]
             left, slot = left[more], slot[more]
         return out
 
