@@ -1,4 +1,4 @@
-"""Readers: explicit schemas, text ids, no inference."""
+"""Readers: explicit schemas, text ids; columns are looked up only where a table may have more than the known ones."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from hireatlas import schemas
 from hireatlas.functions.text import filled
@@ -14,16 +15,20 @@ from hireatlas.functions.urls import clean_domain
 from hireatlas.schemas import conform, require
 
 
-def read_table(spark: SparkSession, path: str, *, sep: str = ",") -> DataFrame:
-    """A table by its file suffix; a folder is read as parquet. CSV columns stay text."""
+def read_table(spark: SparkSession, path: str, *, sep: str = ",", multi_line: bool = False, schema: StructType | None = None) -> DataFrame:
+    """A table by its file suffix; a folder is read as parquet. CSV columns stay text.
+
+    ``multi_line`` allows line breaks inside quoted CSV values; one task then reads a file whole. JSON without a ``schema`` is read
+    once more to find its columns.
+    """
     suffix = re.search(r"\.(\w+)/?$", path)
     kind = suffix.group(1).lower() if suffix else "parquet"
     if kind == "csv":
         return spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option(
-            "multiLine", True
+            "multiLine", multi_line
         ).csv(path)
     if kind in ("json", "jsonl"):
-        return spark.read.json(path)
+        return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported table format: {path}")
