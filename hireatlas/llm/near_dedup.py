@@ -9,9 +9,10 @@ as it takes to make the runs that small: the depth adapts to how crowded a regio
 nodes a region has, and no task needs a whole region: rows are range-partitioned by region and order.
 
 Compared pairs whose signatures agree in at least `AGREE` of the values are candidates (four standard deviations below what a
-similarity of 0.75 gives). In a crowded run the first round passes on the strongest spanning forest of its candidates and each node's best
-partners. After these are confirmed on the full sets, a second round passes on every other candidate whose nodes are not yet in one
-component. Confirmation counts the common shingles of the two whole sets: 100 * intersection >= 75 * union.
+similarity of 0.75 gives). In a run of more than `SMALL` nodes the first round passes on the strongest spanning forest of its candidates and
+each node's best partners only. After these are confirmed, a second round takes the full sets to the runs that hold nodes of
+different components, and confirms every other candidate there until its nodes are connected; so the rows that leave a run
+never grow with the square of a group. Confirmation counts the common shingles of the two whole sets: 100 * intersection >= 75 * union.
 
 With 24 trees of depth 3 a pair at exactly 0.75 is compared with probability 1 - (1 - 0.75^3)^24 > 0.999997; in crowded regions, where a run
 shares more values, the probability is lower for pairs close to 0.75 that have no other connection.
@@ -32,8 +33,9 @@ from .components import components
 from .tokens import Words, chunks, mix
 
 SHINGLE, PERCENT = 5, 75
-HASHES, ORDERS, LEAST_DEPTH, BLOCK, SMALL, BEST = 128, 24, 3, 256, 16, 3
+HASHES, ORDERS, LEAST_DEPTH, BLOCK, SMALL, BEST = 128, 24, 3, 256, 4, 2
 AGREE = 0.594
+_LEAST = int(np.ceil(AGREE * HASHES))
 
 _random = np.random.default_rng(7)
 _FACTORS = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,30 +144,48 @@ def _forest_edges(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def _compare(sig: np.ndarray, group: np.ndarray, all_pairs: bool, least: int):
-    """Candidate pairs of rows among one run; group tells what is connected already."""
+def _agreement(sig: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Agreeing values of each pair of rows above the diagonal; 0 for rows that are no candidates or connected already."""
     agree = np.zeros((len(sig), len(sig)), np.int16)
     for i in range(len(sig) - 1):
         agree[i, i + 1 :] = (sig[i + 1 :] == sig[i]).sum(1)
-    agree[agree < least] = 0
+    agree[agree < _LEAST] = 0
     agree[group[:, None] == group[None, :]] = 0
+    return agree
+
+
+def _strongest(agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of a run: all of them if they are few, else a strongest spanning forest and the best partners of each row."""
     one, two = np.nonzero(agree)
-    if all_pairs or len(one) <= 4 * len(sig):
+    if len(one) <= 2 * len(agree):
         return one, two
     agree = np.maximum(agree, agree.T)
     tree = _forest_edges(agree)
     top = np.argpartition(-agree, BEST, axis=1)[:, :BEST]
-    near = np.repeat(np.arange(len(sig)), BEST), top.ravel()
+    near = np.repeat(np.arange(len(agree)), BEST), top.ravel()
     real = agree[near] > 0
     return np.concatenate([tree[0], near[0][real]]), np.concatenate([tree[1], near[1][real]])
 
 
-def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
-    """`a, b` from stored rows `region, place, node, sig, group`."""
-    least = int(np.ceil(AGREE * HASHES))
+def _linked(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(two) < len(one):
+        one, two = two, one
+    if not len(one):
+        return False
+    common = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+    return 100 * common >= PERCENT * (len(one) + len(two) - common)
+
 
-    def compare(region, node, sig, group, ended: bool):
-        """Pairs of the runs of a sorted stretch, and how many rows at its end are to be seen again with what follows."""
+def _by_runs(batches, read, work):
+    """Cut sorted rows into runs of a region, long ones into overlapping stretches of BLOCK, and yield the node pairs of `work`.
+
+    `read` gives the columns of a batch as arrays, the region and the node first; `work` gets them with the starts and sizes of
+    the runs, and returns two arrays of row numbers.
+    """
+
+    def pairs(columns, ended: bool):
+        region, node = columns[:2]
         starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
         sizes = np.diff(np.append(starts, len(region)))
         keep = 0
@@ -174,48 +194,98 @@ def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
             keep = min(size, BLOCK // 2) if size > BLOCK else size
             if size <= BLOCK:
                 starts, sizes = starts[:-1], sizes[:-1]
-        ones, twos = [], []
+        long = sizes > BLOCK
+        cuts = [np.arange(at, at + size - BLOCK // 2, BLOCK // 2) for at, size in zip(starts[long], sizes[long])]
+        ends = [np.minimum(cut + BLOCK, at + size) for cut, at, size in zip(cuts, starts[long], sizes[long])]
+        begins = np.concatenate([starts[~long], *cuts])
+        spans = np.concatenate([sizes[~long], *(end - cut for end, cut in zip(ends, cuts))])
+        one, two = work(columns, begins, spans)
+        found = np.unique(np.stack([np.minimum(node[one], node[two]), np.maximum(node[one], node[two])], 1), axis=0)
+        return pa.record_batch({"a": found[:, 0], "b": found[:, 1]}), keep
+
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            columns = read(batch)
+            if held:
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            found, keep = pairs(columns, False)
+            held = [x[len(x) - keep :] for x in columns]
+            yield found
+    if held and len(held[0]):
+        yield pairs(held, True)[0]
+
+
+def _join(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *x]) for x in zip(*parts)) if parts else (none, none)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """`a, b` from stored rows `region, place, node, sig`: pairs to confirm, a bounded number per row."""
+
+    def read(batch):
+        return [batch.column("region").to_numpy(), batch.column("node").to_numpy(), _matrix(batch.column("sig"), np.uint8)]
+
+    def work(columns, begins, spans):
+        _, node, sig = columns
+        parts = []
         for size in range(2, SMALL + 1):
-            at = starts[sizes == size]
-            if len(at):
-                i, j = np.triu_indices(size, 1)
-                one, two = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                for k in range(0, len(one), 1 << 14):
-                    p, q = one[k : k + (1 << 14)], two[k : k + (1 << 14)]
-                    good = ((sig[p] == sig[q]).sum(1) >= least) & (group[p] != group[q])
-                    ones.append(p[good])
-                    twos.append(q[good])
-        for at, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-            for begin in range(int(at), int(at + size), BLOCK // 2):
-                end = min(begin + BLOCK, int(at + size))
-                one, two = _compare(sig[begin:end], group[begin:end], all_pairs, least)
-                ones.append(begin + one)
-                twos.append(begin + two)
-                if end == at + size:
-                    break
-        one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ones, twos))
-        return np.unique(np.stack([np.minimum(node[one], node[two]), np.maximum(node[one], node[two])], 1), axis=0), keep
+            at = begins[spans == size]
+            i, j = np.triu_indices(size, 1)
+            one, two = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            for k in range(0, len(one), 1 << 14):
+                p, q = one[k : k + (1 << 14)], two[k : k + (1 << 14)]
+                good = (sig[p] == sig[q]).sum(1) >= _LEAST
+                parts.append((p[good], q[good]))
+        for begin, size in zip(begins[spans > SMALL], spans[spans > SMALL]):
+            own = slice(begin, begin + size)
+            one, two = _strongest(_agreement(sig[own], node[own]))
+            parts.append((begin + one, begin + two))
+        return _join(parts)
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("region", "node", "group")] + [_matrix(batch.column("sig"), np.uint8)]
-            region, node, group, sig = (np.concatenate(x) for x in zip(held, new)) if held else new
-            pairs, keep = compare(region, node, sig, group, False)
-            held = [x[len(region) - keep :] for x in (region, node, group, sig)]
-            yield pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
-        if held and len(held[0]):
-            pairs, _ = compare(held[0], held[1], held[3], held[2], True)
-            yield pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
+    ordered = rows.repartitionByRange("region", "place", "node").sortWithinPartitions("region", "place", "node")
+    return ordered.select("region", "node", "sig").mapInArrow(lambda batches: _by_runs(batches, read, work), "a long, b long").distinct()
+
+
+def links_in_runs(rows: DataFrame) -> DataFrame:
+    """`a, b` from stored rows `region, place, node, group, sig, shingles`: confirmed links between rows of different groups.
+
+    Every candidate of a run is looked at, the strongest first, unless its rows are connected by then; so the links of a run form a forest.
+    """
+
+    def read(batch):
+        sets = np.empty(batch.num_rows, object)
+        sets[:] = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+        return [*(batch.column(c).to_numpy() for c in ("region", "node", "group")), _matrix(batch.column("sig"), np.uint8), sets]
+
+    def work(columns, begins, spans):
+        _, _, group, sig, sets = columns
+        parts = []
+        for begin, size in zip(begins[spans > 1], spans[spans > 1]):
+            own = slice(begin, begin + size)
+            agree, root, inside = _agreement(sig[own], group[own]), group[own].copy(), sets[own]
+            one, two = np.nonzero(agree)
+            found = []
+            for k in np.argsort(-agree[one, two], kind="stable"):
+                i, j = one[k], two[k]
+                if root[i] != root[j] and _linked(inside[i], inside[j]):
+                    root[root == root[j]] = root[i]
+                    found.append((i, j))
+            if found:
+                i, j = np.array(found).T
+                parts.append((begin + i, begin + j))
+        return _join(parts)
 
     ordered = rows.repartitionByRange("region", "place", "node").sortWithinPartitions("region", "place", "node")
-    return ordered.select("region", "node", "group", "sig").mapInArrow(run, "a long, b long").distinct()
+    columns = ordered.select("region", "node", "group", "sig", "shingles")
+    return columns.mapInArrow(lambda batches: _by_runs(batches, read, work), "a long, b long").distinct()
 
 
-def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """The stored pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first.*"), "node")
-    wanted = small(store(wanted, "near-wanted").select("node", F.col("doc_id").alias("_id"), F.col("body").alias("_body")))
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
+    """`node, shingles`: the full sorted sets of the wanted nodes, from the text of each node's first document."""
+    listed = store(wanted.select("node").distinct().join(nodes.select("node", "first.*"), "node"), "near-wanted")
+    listed = small(listed.select("node", F.col("doc_id").alias("_id"), F.col("body").alias("_body")))
 
     def sets(batches):
         for batch in batches:
@@ -228,22 +298,21 @@ def confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, te
                 )
 
     own = docs.select(F.col(doc_id).alias("doc_id"), body(text).alias("body"), F.col(text).alias("text"))
-    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("node", "text")
-    found = store(texts.mapInArrow(sets, "node long, shingles binary"), "near-sets")
+    texts = own.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body"))).select("node", "text")
+    return store(texts.mapInArrow(sets, "node long, shingles binary"), "near-sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
 
     def check(batches):
         for batch in batches:
-            good = []
-            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
-                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                if len(two) < len(one):
-                    one, two = two, one
-                common = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
-                good.append(100 * common >= PERCENT * (len(one) + len(two) - common))
+            both = zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())
+            good = [_linked(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)) for one, two in both]
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(
-        found.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b"
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b"
     )
     return both.select("a", "b", "one", "two").mapInArrow(check, "a long, b long").distinct()
 
@@ -270,22 +339,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     brief = nodes.select("node", "sig").mapInArrow(narrow, "node long, sig binary")
     live = store(rows.join(crowds, "region").join(brief, "node"), "near-live")
 
-    pairs = store(candidates(live.withColumn("group", F.col("node")), False), "near-pairs")
-    links = store(confirm(docs, nodes, pairs, doc_id, text, shingle), "near-links")
-    roots = components(links)
-    crowded = live.where(F.col("crowd") > SMALL)
+    pairs = store(candidates(live), "near-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    roots = components(store(confirm(pairs, shingle_sets(docs, nodes, ends, doc_id, text, shingle)), "near-links"))
+
+    # Runs of which only some candidates were passed on, as far as they hold nodes of different components.
+    known = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    crowded = live.where(F.col("crowd") > SMALL).join(known, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    crowded = store(crowded, "near-crowded")
+    mixed = crowded.groupBy("region").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("region")
+    crowded = store(crowded.join(mixed, "region", "left_semi"), "near-mixed")
     if not crowded.isEmpty():
-        known = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        grouped_rows = crowded.join(known, "node", "left").withColumn("group", F.coalesce("root", "node"))
-        more = store(candidates(store(grouped_rows, "near-crowded"), True).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        if not more.isEmpty():
-            again = confirm(docs, nodes, more, doc_id, text, shingle)
-            roots = components(again.union(roots.select("u", "v")).toDF("a", "b"))
+        sets = shingle_sets(docs, nodes, crowded, doc_id, text, shingle)
+        again = links_in_runs(crowded.join(sets, "node"))
+        roots = components(again.union(roots.select("u", "v")).toDF("a", "b"))
 
     least = F.struct(F.col("first.without"), F.col("first.doc_id").alias("doc_id"))
     rooted = nodes.join(roots, nodes["node"] == roots["u"], "left").select("h1", "h2", F.coalesce("v", "node").alias("root"), least.alias("least"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("lowest"))
-    named = store(rooted.join(lowest, "root").select("h1", "h2", F.col("lowest.doc_id").alias("component_id")), "near-components")
+    lowest = store(rooted.groupBy("root").agg(F.min("least").alias("lowest")), "near-lowest")
+    named = store(rooted.join(small(lowest), "root").select("h1", "h2", F.col("lowest.doc_id").alias("component_id")), "near-components")
     own = signed.select("doc_id", "body", "n_shingles", "h1", "h2")
     linked = own.where("n_shingles > 0").join(named, ["h1", "h2"]).select("doc_id", "body", "n_shingles", "component_id")
     alone = own.where("n_shingles = 0").select("doc_id", "body", "n_shingles", F.col("doc_id").alias("component_id"))
