@@ -71,10 +71,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
                         if len(sums) > 64 and names[first + i] not in sums:
                             yield from rows()
                         counts = sums.setdefault(names[first + i], np.zeros(BUCKETS + 1, np.int64))
-                        if end > start:
-                            np.add.at(counts, buckets[start:end], 1) if end - start < 64 else counts.__iadd__(
-                                np.bincount(buckets[start:end], minlength=BUCKETS + 1)
-                            )
+                        if end - start < 64:
+                            np.add.at(counts, buckets[start:end], 1)
+                        else:
+                            counts += np.bincount(buckets[start:end], minlength=BUCKETS + 1)
                         counts[BUCKETS] += order == 1  # documents, for the prior
         yield from rows()
 

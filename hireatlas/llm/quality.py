@@ -135,7 +135,7 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
                 products[k] += own.T @ np.concatenate([own, y[fold == k, None]], 1)
         for k in range(FOLDS):
             flat = pa.array(products[k].ravel())
-            starts = pa.array(np.arange(0, flat.__len__() + 1, width + 1, dtype=np.int32))
+            starts = pa.array(np.arange(0, len(flat) + 1, width + 1, dtype=np.int32))
             yield pa.record_batch(
                 [pa.array([k] * width, pa.int32()), pa.array(np.arange(width, dtype=np.int32)), pa.ListArray.from_arrays(starts, flat)],
                 ["fold", "i", "sums"],
