@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, store, table
+from .common import SPACES, ascii_lower, small, store, table
 
 MIN_CHARS, MIN_DOCS = 1, 10
 #: Sub-keys per line hash.
@@ -68,7 +68,8 @@ def keep_bitmaps(
 ) -> DataFrame:
     """`doc_id, body, n_dropped, keep` for documents that lose lines; keep maps a word number to its bits."""
     lines = store(line_hashes(docs, doc_id, text, min_chars), "line-hashes")
-    keys = shared_keys(lines, min_docs, splits)
+    # Stored, so that the join with a key that a third of all documents share can be dealt out anew, or needs no shuffle at all.
+    keys = small(store(shared_keys(lines, min_docs, splits), "line-keys"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(63))
     words = (
         lines.join(keys, ["h1", "h2"], "left_semi")
