@@ -79,11 +79,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     maybe = probed.where("maybe").select("doc_id", "body", "length", "sha")
     alone = probed.where("NOT maybe").select("doc_id", "body", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     # Counted and reduced before the shuffle, so that a group of any size sends one row per task.
-    groups = maybe.groupBy("sha").agg(
+    groups = store(maybe.groupBy("sha").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("without"), F.col("doc_id"))).alias("best"),
-    )
-    grouped = maybe.join(groups, "sha").select("doc_id", "body", "sha", F.col("best.doc_id").alias("keep_id"), "group_size")
+    ), "exact-groups")
+    # Stored, so that the join with the rows of a large group can be dealt out anew, or needs no shuffle at all.
+    grouped = maybe.join(small(groups), "sha").select("doc_id", "body", "sha", F.col("best.doc_id").alias("keep_id"), "group_size")
     return grouped.unionByName(alone).select(
         "doc_id",
         "body",
