@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.once import compute_once
 from .common import LOWER, SPACES, UPPER, body, small, store, table
 
 BINS, SMOOTHING, STEPS, TOLERANCE = 16, 1.0, 24, 1e-4
@@ -66,14 +67,20 @@ class Classifier:
     def __init__(self, domains: list[str], priors: list[float], tables: list[list[list[float]]]):
         self.domains, self.priors, self.tables = domains, priors, tables
 
-    def posterior(self) -> Column:
-        """array<double> over the domains, from the column `bins`."""
+    def posterior(self, rows: DataFrame) -> DataFrame:
+        """rows with `p` in place of `bins`: array<double> over the domains."""
+        if not self.domains:
+            return rows.withColumn("p", F.array().cast("array<double>")).drop("bins")
         scores = []
         for k, prior in enumerate(self.priors):
             logs = [F.element_at(F.array(*(F.lit(x) for x in part[k])), F.col("bins")[i] + 1) for i, part in enumerate(self.tables)]
             scores.append(reduce(lambda a, b: a + b, logs, F.lit(prior)))
-        powers = F.transform(F.array(*scores), lambda s: F.exp(s - F.array_max(F.array(*scores))))
-        return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+        # Each step refers to the values of the one before it, which are worked out once per row.
+        rows = compute_once(rows, {"_scores": F.array(*scores)})
+        powers = [F.exp(F.col("_scores")[k] - F.array_max("_scores")) for k in range(len(scores))]
+        rows = compute_once(rows, {"_powers": F.array(*powers)})
+        total = reduce(lambda a, b: a + b, (F.col("_powers")[k] for k in range(len(scores))))
+        return compute_once(rows, {"p": F.array(*(F.col("_powers")[k] / total for k in range(len(scores))))}).drop("bins", "_scores", "_powers")
 
 
 def learn(rows: DataFrame) -> Classifier:
@@ -124,7 +131,7 @@ def membership(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", tex
     stats = store(statistics(docs, text, [F.col(doc_id).alias("doc_id"), body(text).alias("body")]), "mixing-statistics")
     marks = small(store(labelled.select("doc_id", "domain").where("domain IS NOT NULL").distinct(), "mixing-labels"))
     model = learn(stats.join(marks, "doc_id"))
-    return stats.withColumn("p", model.posterior() if model.domains else F.array().cast("array<double>")).drop("bins"), model
+    return model.posterior(stats), model
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,7 +142,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], do
         return docs.withColumn("rate", F.lit(1.0))
     # The rate follows from the row's own text, so no join has to bring it to the texts.
     kept = [c for c in docs.columns if c != "rate"]
-    rows = statistics(docs, text, [F.struct(*kept).alias("_row")]).withColumn("p", model.posterior())
+    rows = model.posterior(statistics(docs, text, [F.struct(*kept).alias("_row")]))
     return rows.select("_row.*", rate(steps).alias("rate"))
 
 
