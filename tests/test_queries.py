@@ -1,5 +1,6 @@
 """The registered queries: names, oracle coverage, plan rules, and independence from partitioning."""
 
+import pathlib
 import re
 
 import pytest
@@ -50,3 +51,10 @@ def test_plans_hold_no_cross_join_and_no_row_python(spark):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_the_library_stands_without_the_training_text_operators():
+    package = pathlib.Path(entry.__file__).parent / "hireatlas"
+    for path in package.rglob("*.py"):
+        if "llm" not in path.relative_to(package).parts:
+            assert not re.search(r"hireatlas\.llm|from \.+llm|import llm", path.read_text(encoding="utf-8")), path
