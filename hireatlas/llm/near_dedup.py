@@ -105,12 +105,27 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     return rows.mapInArrow(run, f"doc_id {kind}, body long, n_shingles long, h1 long, h2 long, sig binary")
 
 
+def narrow(nodes: DataFrame) -> DataFrame:
+    """`node, sig`: one byte of each mixed value, so that other values agree by chance in one of 256 at any text length."""
+
+    def run(batches):
+        for batch in batches:
+            short = (mix(_matrix(batch.column("sig"), np.uint32).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+            ends = pa.py_buffer((np.arange(len(short) + 1) * HASHES).astype(np.int32))
+            yield pa.record_batch([batch.column("node"), pa.Array.from_buffers(pa.binary(), len(short), [None, ends, pa.py_buffer(short)])], ["node", "sig"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "node long, sig binary")
+
+
 def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
 def tree_rows(nodes: DataFrame) -> DataFrame:
-    """`region, place, node`: for every tree the region of a node and a number that sorts it by its next eight values."""
+    """`region, place, node`: for every tree the region of a node and a number that sorts it by its next eight values.
+
+    A byte of a mixed value stands for the value: the top byte of a minimum over many shingles is 0 for nearly every text.
+    """
 
     def run(batches):
         for batch in batches:
@@ -121,7 +136,7 @@ def tree_rows(nodes: DataFrame) -> DataFrame:
                     region = mix(region * _POSITION[60] + sig[:, k])
                 place = np.zeros(len(sig), np.uint64)
                 for k in order[LEAST_DEPTH : LEAST_DEPTH + 8]:
-                    place = (place << np.uint64(8)) | (sig[:, k] >> np.uint64(24))
+                    place = (place << np.uint64(8)) | (mix(sig[:, k]) >> np.uint64(56))
                 yield pa.record_batch({"region": region.view(np.int64), "place": place.view(np.int64), "node": batch.column("node")})
 
     return nodes.select("node", "sig").mapInArrow(run, "region long, place long, node long")
@@ -330,14 +345,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = store(tree_rows(nodes), "near-trees")
     crowds = rows.groupBy("region").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
 
-    def narrow(batches):
-        for batch in batches:
-            short = (_matrix(batch.column("sig"), np.uint32) >> np.uint32(24)).astype(np.uint8)
-            ends = pa.py_buffer((np.arange(len(short) + 1) * HASHES).astype(np.int32))
-            yield pa.record_batch([batch.column("node"), pa.Array.from_buffers(pa.binary(), len(short), [None, ends, pa.py_buffer(short)])], ["node", "sig"])
-
-    brief = nodes.select("node", "sig").mapInArrow(narrow, "node long, sig binary")
-    live = store(rows.join(crowds, "region").join(brief, "node"), "near-live")
+    live = store(rows.join(crowds, "region").join(narrow(nodes), "node"), "near-live")
 
     pairs = store(candidates(live), "near-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))

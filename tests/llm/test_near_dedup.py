@@ -77,6 +77,15 @@ def test_crowds_larger_than_a_block_are_compared_in_overlapping_runs(spark, monk
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_bytes_of_a_signature_tell_long_texts_apart(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(2_000))) for i in range(40)]
+    nodes = near_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string")).withColumnRenamed("doc_id", "node")
+    assert len({r.place for r in near_dedup.tree_rows(nodes).collect()}) > 900  # of 960
+    sig = [bytes(r.sig) for r in near_dedup.narrow(nodes).collect()]
+    assert max(sum(x == y for x, y in zip(a, b)) for a, b in combinations(sig, 2)) < 13  # of 128
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
