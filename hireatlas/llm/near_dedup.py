@@ -4,9 +4,8 @@ A document's set is its distinct shingles of `SHINGLE` words (words as `[^\\x20\
 shingle; no words give no set, and no links. Documents with equal sets are one node. A signature has `HASHES` minimum values. The forest has
 `ORDERS` trees; each reads the signature in an order of its own. Nodes that share the first `LEAST_DEPTH` values of a tree form a
 region. In a region the nodes stand in the tree's order, so that neighbours have the longest common prefixes; a region of up to
-`BLOCK` nodes is compared within itself, a larger one in overlapping runs of BLOCK neighbours, which share as many more values
-as it takes to make the runs that small: the depth adapts to how crowded a region is. So work per node and tree is bounded however many
-nodes a region has, and no task needs a whole region: rows are range-partitioned by region and order.
+`BLOCK` nodes is compared within itself, a larger one first in overlapping runs of BLOCK neighbours, which share as many more
+values as it takes to make the runs that small; no task needs a whole region: rows are range-partitioned by region and order.
 
 Compared pairs whose signatures agree in at least `AGREE` of the values are candidates (four standard deviations below what a
 similarity of 0.75 gives). In a run of more than `SMALL` nodes the first round passes on the strongest spanning forest of its candidates and
@@ -14,8 +13,13 @@ each node's best partners only. After these are confirmed, a second round takes
 different components, and confirms every other candidate there until its nodes are connected; so the rows that leave a run
 never grow with the square of a group. Confirmation counts the common shingles of the two whole sets: 100 * intersection >= 75 * union.
 
-With 24 trees of depth 3 a pair at exactly 0.75 is compared with probability 1 - (1 - 0.75^3)^24 > 0.999997; in crowded regions, where a run
-shares more values, the probability is lower for pairs close to 0.75 that have no other connection.
+With 24 trees of depth 3 a pair at exactly 0.75 is compared with probability 1 - (1 - 0.75^3)^24 > 0.999997 if its regions have up to
+BLOCK nodes. Nodes of larger regions that still hold different components go through an exact join (`exact_links`): shingles
+are ordered from rare to frequent, a linked pair shares one of the rarest n - ceil(6n/7) + 1 of its smaller set and n - ceil(3n/4) + 1 of
+its larger one, and sizes and positions must allow the similarity. Only pairs of different components are formed, those of
+frequent shingles in salted parts, and of two components `TRIES` pairs are confirmed before the others. So in such regions every pair
+that shares one is found, whatever the crowd's similarity; a crowd below 0.75 shares its passage behind the rare shingles,
+where it is no key. The cost grows with the pairs of different components that sizes and positions allow.
 
 Null and empty texts have size 0 and their own component. Repeated rows have equal sets and are linked. A null id never is
 a component's id unless all its ids are null. An empty table gives an empty result; other columns are not read.
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, small, store, table, without
@@ -35,6 +39,8 @@ from .tokens import Words, chunks, mix
 SHINGLE, PERCENT = 5, 75
 HASHES, ORDERS, LEAST_DEPTH, BLOCK, SMALL, BEST = 128, 24, 3, 256, 4, 2
 AGREE = 0.594
+#: The exact join: buckets of shingle counts, rows of a shingle per salted part, pairs of two components confirmed first.
+BUCKETS, PART, TRIES = 1 << 20, 2_000, 4
 _LEAST = int(np.ceil(AGREE * HASHES))
 
 _random = np.random.default_rng(7)
@@ -332,6 +338,91 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(check, "a long, b long").distinct()
 
 
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each bucket; it orders them, and a bucket with one shingle links nobody."""
+
+    def count(batches):
+        sums = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for value in batch.column("shingles"):
+                at = np.frombuffer(value.as_buffer(), np.uint64) % np.uint64(BUCKETS)
+                np.add.at(sums, at.astype(np.int64), 1)
+        at = np.flatnonzero(sums)
+        yield pa.record_batch({"bucket": at, "n": sums[at]})
+
+    found = sets.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """`shingle, node, group, n, at, short` from stored `node, group, shingles`: the rarest shingles that a link needs.
+
+    `at` is the place in the order from rare to frequent; `short` marks those needed towards sets that are not smaller.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                values = np.frombuffer(batch.column("shingles")[row].as_buffer(), np.uint64)
+                often = counts.value[(values % np.uint64(BUCKETS)).astype(np.int64)]
+                n = len(values)
+                order = np.lexsort((values, often))[: n - (PERCENT * n + 99) // 100 + 1]
+                at = np.flatnonzero(often[order] > 1)
+                both = 100 + PERCENT
+                short = at < n - (2 * PERCENT * n + both - 1) // both + 1
+                same = lambda c: np.full(len(at), batch.column(c)[row].as_py(), np.int64)
+                yield pa.record_batch(
+                    {"shingle": values[order[at]].view(np.int64), "node": same("node"), "group": same("group"), "n": np.full(len(at), n), "at": at, "short": short}
+                )
+
+    return sets.select("node", "group", "shingles").mapInArrow(run, "shingle long, node long, group long, n long, at long, short boolean")
+
+
+def exact_pairs(sets: DataFrame) -> DataFrame:
+    """`a, b, one_group, two_group`: every pair of different groups that may be similar enough, from stored `node, group, shingles`."""
+    posted = store(_postings(sets), "near-postings")
+    sizes = posted.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("short"))
+    keys = (
+        sizes.groupBy("shingle")
+        .agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"), F.max("short").alias("short"))
+        .where("groups > 1 AND short")
+        .select("shingle", "main", F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    )
+    live = store(posted.join(keys, "shingle").withColumn("is_main", F.col("group") == F.col("main")).drop("main"), "near-keys")
+    # Pairs within the largest group of a shingle are never formed; those within another group are left out below.
+    salt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    left = live.where("short").select("shingle", salt.alias("part"), *(F.col(c).alias(f"{c}_1") for c in ("node", "group", "n", "at", "is_main")))
+    spread = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    right = live.select("shingle", spread, *(F.col(c).alias(f"{c}_2") for c in ("node", "group", "n", "at", "is_main")))
+    sides = (left.where("is_main_1"), right.where("NOT is_main_2")), (left.where("NOT is_main_1"), right)
+    may = (
+        "group_1 <> group_2 AND (n_1 < n_2 OR (n_1 = n_2 AND node_1 < node_2)) "
+        f"AND 100 * n_1 >= {PERCENT} * n_2 AND {100 + PERCENT} * least(n_1 - at_1, n_2 - at_2) >= {PERCENT} * (n_1 + n_2)"
+    )
+    one, two = (x.join(y, ["shingle", "part"]).where(may).select("node_1", "node_2", "group_1", "group_2") for x, y in sides)
+    return one.union(two).distinct().toDF("a", "b", "one_group", "two_group")
+
+
+def exact_links(sets: DataFrame) -> DataFrame:
+    """`a, b` from stored `node, group, shingles`: links that connect all groups with a link between them."""
+    pairs = store(exact_pairs(sets), "near-exact")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    low, high = F.least("one_group", "two_group"), F.greatest("one_group", "two_group")
+    ranked = pairs.withColumn("try", F.row_number().over(Window.partitionBy(low, high).orderBy(F.xxhash64("a", "b"), "a", "b")))
+    first = store(confirm(ranked.where(F.col("try") <= TRIES).select("a", "b"), sets), "near-links")
+    # The others matter only where their groups are not connected by now.
+    ends = sets.select("node", "group").join(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "node").select("node", "group")
+    grouped = first.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    joined = components(store(grouped.distinct(), "near-joined"), "x", "y")
+    rest = pairs.join(joined.toDF("one_group", "x"), "one_group", "left").join(joined.toDF("two_group", "y"), "two_group", "left")
+    rest = rest.where(F.coalesce("x", "one_group") != F.coalesce("y", "two_group")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    return first.union(confirm(store(rest, "near-rest"), sets))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """`doc_id, body, n_shingles, component_id, kept` of every row."""
     signed = store(signatures(docs, doc_id, text, shingle), "near-signatures")
@@ -362,6 +453,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         again = links_in_runs(crowded.join(sets, "node"))
         roots = components(again.union(roots.select("u", "v")).toDF("a", "b"))
 
+    # Regions that runs cannot compare whole, as far as they hold nodes of different components.
+    known = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    wide = live.where(F.col("crowd") > BLOCK).select("region", "node").join(known, "node", "left")
+    wide = store(wide.select("region", "node", F.coalesce("root", "node").alias("group")), "near-wide")
+    open_ = wide.groupBy("region").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("region")
+    wide = store(wide.join(open_, "region", "left_semi").select("node", "group").distinct(), "near-open")
+    if not wide.isEmpty():
+        sets = store(wide.join(shingle_sets(docs, nodes, wide, doc_id, text, shingle), "node"), "near-open-sets")
+        roots = components(exact_links(sets).union(roots.select("u", "v")).toDF("a", "b"))
+
     least = F.struct(F.col("first.without"), F.col("first.doc_id").alias("doc_id"))
     rooted = nodes.join(roots, nodes["node"] == roots["u"], "left").select("h1", "h2", F.coalesce("v", "node").alias("root"), least.alias("least"))
     lowest = store(rooted.groupBy("root").agg(F.min("least").alias("lowest")), "near-lowest")

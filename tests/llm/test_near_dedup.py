@@ -77,6 +77,32 @@ def test_crowds_larger_than_a_block_are_compared_in_overlapping_runs(spark, monk
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_a_crowd_below_the_limit_hides_no_pairs(spark, monkeypatch):
+    """400 texts that share a passage at 0.7 or at 0.74, among them pairs at 0.754 and a link between two linked groups."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PART", 50)
+    rng = random.Random(3)
+    words = lambda n: [f"n{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows = []
+    for shared, own, mine in ((164, 36, 8), (170, 30, 2)):
+        passage = [f"t{i}" for i in range(shared + 4)]
+        crowd = [passage + words(own) for _ in range(200)]
+        for i in range(0, 40, 2):  # the shared words of a pair stand after the passage
+            crowd[i + 1] = crowd[i][: len(passage) + mine] + words(own - mine)
+        for i in range(50, 70):  # two groups at more than 0.9, with a bridge
+            crowd[i] = crowd[50 + i // 60 * 10][:-4] + words(4) if i % 10 else crowd[i]
+        crowd[69] = crowd[50][:-18] + crowd[60][-18:]
+        rows += crowd
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    listed = [(i, " ".join(rows[k])) for i, k in enumerate(order)]
+    sets = [shingles(text) for _, text in listed]
+    expected = brute(listed)
+    got = near_dedup.near_duplicates(spark.createDataFrame(listed, "doc_id long, text string")).collect()
+    assert 50 < len(listed) - len({c for _, _, c in expected}) < 200 and len(sets[0]) >= 190
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == expected
+
+
 def test_bytes_of_a_signature_tell_long_texts_apart(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(2_000))) for i in range(40)]
