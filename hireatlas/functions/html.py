@@ -1,153 +1,45 @@
-"""Text, links and embedded blocks of HTML, by JVM regular expressions.
+"""Text, links and embedded blocks of HTML as columns; see `markup` for what they hold.
 
-The contract: comments and script/style elements never count as text, and an unclosed one reaches to the end of the page; a tag is
-``<`` followed by a letter, ``/``, ``!`` or ``?`` up to the matching ``>``, where a quote counts only behind ``=`` and a quoted value may
-hold ``>``; the text nodes are trimmed and joined by one space; entities are decoded once, after the tags are gone. Every
-repetition is possessive or lazy over single characters, so that no page makes the matcher recurse, and behind the last ``>`` no tag
-is looked for, so that none reads the rest of a page in vain.
+Each function reads one part. An operator that needs several takes them from one `page_parts` column, so that a page is
+tokenized once.
 """
 
 from __future__ import annotations
 
-from functools import cache
-from html.entities import html5
-
-from pyspark.sql import Column, functions as F
-
-from hireatlas.functions.text import strip
-
-_REST_OF_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
-TAG = rf"<[A-Za-z/!?]{_REST_OF_TAG}"
-_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-_MARK = "\u0001"
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
-#: An anchor with its text, which ends at its end tag or at the next anchor.
-_ANCHOR = rf"(?i)<a(?=[\s/]){_REST_OF_TAG}(?:[^<]++|<(?!/?a[\s/>]))*+"
-#: Up to the value of the first attribute that is called href.
-_BEFORE_HREF = rf"(?i)^<a(?:[\s/]*+(?!href[\s=])[^\s/>=]++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]*+href\s*+=\s*+"
-
-# What the HTML standard reads for numeric references to these code points.
-_REMAPPED = {
-    0: 0xFFFD, 0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021, 0x88: 0x02C6,
-    0x89: 0x2030, 0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152, 0x8E: 0x017D, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D,
-    0x95: 0x2022, 0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A, 0x9C: 0x0153, 0x9E: 0x017E,
-    0x9F: 0x0178,
-}
-
-
-def _element(name: str) -> str:
-    return rf"(?is)<{name}\b.*?(?:</{name}\s*+>|\z)"
-
-
-@cache
-def _named() -> str:
-    """All named references of the standard that end in a semicolon, by first letter, as JSON for one literal."""
-    import json
-
-    table: dict[str, dict[str, str]] = {}
-    for name, value in html5.items():
-        if name.endswith(";"):
-            table.setdefault(name[0], {})[name[:-1]] = value
-    return json.dumps(table)
-
-
-def decode_entities(text: Column) -> Column:
-    """Decode numeric and named references in one pass; what a reference stands for is not decoded again."""
-    named = F.from_json(F.lit(_named()), "map<string,map<string,string>>")
-    remapped = F.create_map(*(F.lit(x) for pair in _REMAPPED.items() for x in pair))
-
-    def decoded(piece: Column, position: Column) -> Column:
-        body = F.regexp_extract(piece, r"^(#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*+);", 1)
-        rest = F.substring(piece, F.length(body) + F.lit(2), F.length(piece))
-        hexadecimal = F.lower(F.substring(body, 2, 1)) == "x"
-        digits = F.ltrim(F.substring(body, F.when(hexadecimal, 3).otherwise(2), F.length(body)), F.lit("0"))
-        # Eight digits or more are beyond the last code point in either base.
-        value = (
-            F.when(F.length(digits) > 7, F.lit(0x110000))
-            .when(digits == "", F.lit(0))
-            .when(hexadecimal, F.conv(digits, 16, 10).try_cast("int"))
-            .otherwise(digits.try_cast("int"))
-        )
-        outside = (value > 0x10FFFF) | value.between(0xD800, 0xDFFF)
-        point = F.when(outside, F.lit(0xFFFD)).otherwise(F.coalesce(F.try_element_at(remapped, value), value))
-        numeric = F.decode(F.unhex(F.lpad(F.hex(point.cast("long")), 8, "0")), "UTF-32")
-        name = F.try_element_at(F.try_element_at(named, F.substring(body, 1, 1)), body)
-        char = F.when(F.startswith(body, F.lit("#")), numeric).otherwise(name)
-        return F.when(position == 0, piece).when((body != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
-
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), decoded), "")).otherwise(text)
-
-
-def _tail(markup: Column) -> Column:
-    """What follows the last ``>``."""
-    return F.substring_index(markup, ">", -1)
-
-
-def node_text(markup: Column) -> Column:
-    """Text nodes of a markup fragment, trimmed and joined by one space."""
-    plain = F.regexp_replace(markup, _COMMENT, _MARK)
-    tail = _tail(plain)
-    marked = F.concat(F.regexp_replace(F.left(plain, F.length(plain) - F.length(tail)), TAG, _MARK), tail)
-    # A hard space at the edge of a text node is trimmed too, so it has to be one before the join.
-    spaced = F.regexp_replace(marked, "&nbsp;|&#160;|&#[xX][aA]0;", "\u00a0")
-    joined = F.regexp_replace(spaced, rf"(?<![\s\u00a0])[\s\u00a0]*+{_MARK}[\s\u00a0{_MARK}]*+", " ")
-    return strip(decode_entities(joined))
-
-
-def _without(html: Column, names) -> Column:
-    for name in names:
-        html = F.regexp_replace(html, _element(name), _MARK)
-    return html
+from pyspark.sql import Column
+
+from hireatlas.functions.markup import page_parts
 
 
 def visible_text(html: Column) -> Column:
     """Page text without scripts, styles and noscript blocks."""
-    return node_text(_without(html, ["script", "style", "noscript"]))
+    return page_parts(html, "text")["text"]
 
 
 def body_text(html: Column) -> Column:
     """Page text that keeps noscript blocks, as the consent and job-signal tests read it."""
-    return node_text(_without(html, ["script", "style"]))
+    return page_parts(html, "body")["body"]
 
 
 def title_text(html: Column) -> Column:
-    return node_text(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+    return page_parts(html, "title")["title"]
 
 
 def first_heading(html: Column) -> Column:
     """Text of the first ``h1``, null when the page has none."""
-    markup = F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 0)
-    return F.when(markup != "", node_text(markup))
+    return page_parts(html, "heading")["heading"]
 
 
 def links(html: Column) -> Column:
-    """``array<struct<href,text>>`` of the anchors, in document order; text in lower case."""
-    plain = F.regexp_replace(html, _COMMENT, "")
-    tail = _tail(plain)
-    closed = F.concat(F.left(plain, F.length(plain) - F.length(tail)), F.substring_index(tail, "<", 1))
-    anchors = F.regexp_extract_all(closed, F.lit(_ANCHOR), 0)
-
-    def parts(anchor: Column) -> Column:
-        tag = F.regexp_extract(anchor, rf"(?i)^<a{_REST_OF_TAG}", 0)
-        value = F.regexp_extract(F.regexp_replace(tag, _BEFORE_HREF, _MARK), rf"^{_MARK}({_VALUE})", 1)
-        bare = F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
-        has = F.startswith(F.regexp_replace(tag, _BEFORE_HREF, _MARK), F.lit(_MARK))
-        return F.struct(F.when(has, decode_entities(bare)).alias("href"), F.lower(node_text(anchor)).alias("text"))
-
-    return F.filter(F.transform(anchors, parts), lambda a: a["href"].isNotNull())
+    """``array<struct<href,text>>`` of the anchors with an address, in document order; text in lower case."""
+    return page_parts(html, "links")["links"]
 
 
 def ld_json_blocks(html: Column) -> Column:
     """Bodies of the ``application/ld+json`` scripts."""
-    return F.regexp_extract_all(
-        html, F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""), 1
-    )
+    return page_parts(html, "data_blocks")["data_blocks"]
 
 
 def sitemap_locations(xml: Column) -> Column:
-    return F.filter(
-        F.transform(
-            F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1), lambda u: decode_entities(strip(u))
-        ),
-        lambda u: u != "",
-    )
+    """The addresses of a sitemap, in order; blank ones are left out."""
+    return page_parts(xml, "locations")["locations"]

@@ -97,21 +97,18 @@ def contains_any(text: Column, words) -> Column:
     return found
 
 
-def words_found(text: Column, words) -> Column:
-    """The words present in the text, in rule order."""
-    hits = [F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]
-    return F.array_compact(F.array(*hits)) if hits else literal_array([])
-
-
 def detect_tags(text: Column, rules: dict[str, list[str]]) -> Column:
-    """Tags whose rule has a keyword inside the text, in rule order."""
+    """Tags whose rule has a keyword inside a short text, in rule order; `keywords.tags_at` reads long ones once."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
     hits = [F.when(contains_any(lowered, [w.lower() for w in words]), F.lit(tag)) for tag, words in rules.items()]
     return F.array_compact(F.array(*hits)) if hits else literal_array([])
 
 
 def snippets(text: Column, lowered: Column, keywords, limit: int, window: int = 80) -> Column:
-    """Distinct excerpts around the first hit of each keyword, in keyword order, at most ``limit``."""
+    """Distinct excerpts around the first hit of each of a few keywords, in keyword order, at most ``limit``.
+
+    `keywords.snippets_at` takes the places of any number of keywords from one pass over the text.
+    """
 
     def excerpt(word: str) -> Column:
         at = F.instr(lowered, F.lit(word))

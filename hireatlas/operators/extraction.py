@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas.functions import html as H
+from hireatlas.functions.keywords import keyword_places, rule_words, tags_at
+from hireatlas.functions.markup import page_parts
 from hireatlas.functions.text import detect_tags, filled
 from hireatlas.functions.urls import is_listing_url, is_non_job_url, resolve_url, url_key
 from hireatlas.functions.values import json_text
@@ -88,17 +90,17 @@ def generic_jobs(
     """
     v = vocabulary
     links = detail_candidates(lists, v, max_detail_pages).withColumn("url_key", url_key(F.col("target")))
+    texts = compute_once(details, {"url_key": url_key(F.col("url")), "_page": page_parts(F.col("html"), "heading", "title", "body")})
+    title = F.coalesce("_page.heading", F.col("url"))
+    consent_words = [*v.consent_words, *v.consent_pair]
     texts = compute_once(
-        details,
+        texts,
         {
-            "url_key": url_key(F.col("url")),
-            "_title": H.first_heading(F.col("html")),
-            "_page_title": H.title_text(F.col("html")),
-            "_body": H.body_text(F.col("html")),
+            "_consent": keyword_places(F.lower(F.concat_ws(" ", "_page.title", "_page.body")), consent_words),
+            "_tags": keyword_places(F.lower(F.concat_ws(" ", title, "_page.body")), rule_words(v.tag_rules)),
         },
     )
-    title = F.coalesce("_title", F.col("url"))
-    snippet = F.nullif(F.left("_body", F.lit(SNIPPET_CHARS)), F.lit(""))
+    snippet = F.nullif(F.left("_page.body", F.lit(SNIPPET_CHARS)), F.lit(""))
     facts = texts.select(
         "url_key",
         F.struct(
@@ -106,8 +108,8 @@ def generic_jobs(
             F.col("url").alias("job_url"),
             title.alias("job_title"),
             snippet.alias("snippet"),
-            is_consent_text(F.lower(F.concat_ws(" ", "_page_title", "_body")), v).alias("is_consent"),
-            detect_tags(F.concat_ws(" ", title, "_body"), v.tag_rules).alias("tags"),
+            is_consent_text(F.col("_consent"), v).alias("is_consent"),
+            tags_at(F.col("_tags"), v.tag_rules).alias("tags"),
         ).alias("d"),
     )
     facts = facts.groupBy("url_key").agg(F.min_by("d", "d.page_id").alias("d")).select("url_key", "d.*")

@@ -14,6 +14,11 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def with_fields(df: DataFrame, struct: Column) -> DataFrame:
+    """Add the fields of a struct as columns; its expression is worked out exactly once per row."""
+    return df.select("*", F.inline_outer(F.array(struct)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of an input over as many partitions as the session asks for; by default they stay as they were read.
 

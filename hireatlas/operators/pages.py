@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas import rules
 from hireatlas.functions import html as H
-from hireatlas.functions.text import contains_any, words_found
+from hireatlas.functions.keywords import any_of, keyword_places, listed
+from hireatlas.functions.markup import page_parts
+from hireatlas.functions.text import contains_any
 from hireatlas.functions.urls import is_listing_url, is_non_job_url, resolve_url, url_key
-from hireatlas.operators.once import compute_once
+from hireatlas.operators.once import compute_once, with_fields
 
 
 @dataclass(frozen=True)
@@ -40,8 +42,8 @@ DEFAULT_VOCABULARY = Vocabulary()
 
 def page_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Add ``title`` and the visible ``text``, whole unless a model prompt asks for a limit."""
-    text = H.visible_text(F.col("html"))
-    return compute_once(pages, {"title": H.title_text(F.col("html")), "text": text if max_chars is None else F.left(text, F.lit(max_chars))})
+    rows = with_fields(pages, page_parts(F.col("html"), "title", "text"))
+    return rows if max_chars is None else rows.withColumn("text", F.left("text", F.lit(max_chars)))
 
 
 def page_links(pages: DataFrame, url_hints: list[str], text_hints: list[str]) -> DataFrame:
@@ -69,26 +71,29 @@ def url_classes(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY, u
     )
 
 
-def is_consent_text(lowered: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> Column:
-    """Two words of the consent list, or both words of the deciding pair."""
-    pair = reduce(lambda a, b: a & b, [F.contains(lowered, F.lit(w)) for w in vocabulary.consent_pair])
-    return (F.size(words_found(lowered, vocabulary.consent_words)) >= 2) | pair
+def is_consent_text(places: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    """Two words of the consent list, or both words of the deciding pair, among the words of a page (`keyword_places`)."""
+    pair = reduce(lambda a, b: a & b, [any_of(places, [w]) for w in vocabulary.consent_pair])
+    return (F.size(listed(places, vocabulary.consent_words)) >= 2) | pair
 
 
 def consent_pages(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    lowered = F.lower(F.concat_ws(" ", H.title_text(F.col("html")), H.body_text(F.col("html"))))
-    return compute_once(pages, {"_low": lowered}).withColumn("is_consent", is_consent_text(F.col("_low"), vocabulary)).drop("_low")
+    page = compute_once(pages, {"_page": page_parts(F.col("html"), "title", "body")})
+    words = [*vocabulary.consent_words, *vocabulary.consent_pair]
+    rows = compute_once(page, {"_words": keyword_places(F.lower(F.concat_ws(" ", "_page.title", "_page.body")), words)})
+    return rows.withColumn("is_consent", is_consent_text(F.col("_words"), vocabulary)).drop("_page", "_words")
 
 
 def cookie_wall(texts: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Add the cookie-wall columns to rows with ``title`` and ``text``."""
     v, limits = vocabulary, vocabulary.cookie_limits
-    rows = compute_once(texts, {"_all": F.lower(F.concat_ws(" ", "title", "text"))})
-    rows = compute_once(rows, {"wall_matches": words_found(F.col("_all"), v.cookie_words)})
+    words = [*v.cookie_words, *(w for group in v.cookie_signals.values() for w in group)]
+    rows = compute_once(texts, {"_words": keyword_places(F.lower(F.concat_ws(" ", "title", "text")), words)})
+    rows = compute_once(rows, {"wall_matches": listed(F.col("_words"), v.cookie_words)})
     hits = F.size("wall_matches")
     score = F.least(F.lit(1.0), hits / F.lit(5.0))
     soft = (hits >= limits["hits_min"]) & (score >= limits["score_min"]) & (F.length("text") < limits["text_max_len"])
-    signals = F.array_compact(F.array(*[F.when(contains_any(F.col("_all"), words), F.lit(name)) for name, words in v.cookie_signals.items()]))
+    signals = F.array_compact(F.array(*[F.when(any_of(F.col("_words"), group), F.lit(name)) for name, group in v.cookie_signals.items()]))
     return rows.withColumns(
         {
             "wall_hits": hits,
@@ -96,7 +101,7 @@ def cookie_wall(texts: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -
             "is_wall": soft | (hits >= limits["hits_hard"]),
             "wall_signals": signals,
         }
-    ).drop("_all")
+    ).drop("_words")
 
 
 def _host_hit(text: Column, name: str) -> Column:
@@ -148,13 +153,14 @@ def ats_link_kind(link: Column) -> Column:
     return out
 
 
-def has_job_signal(html: Column, lowered_text: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> Column:
-    return F.contains(F.lower(html), F.lit(vocabulary.structured_marker)) | contains_any(lowered_text, vocabulary.job_phrases)
+def has_job_signal(html: Column, places: Column, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    """Structured data, or a job phrase among the words of the body text (`keyword_places`)."""
+    return F.contains(F.lower(html), F.lit(vocabulary.structured_marker)) | any_of(places, vocabulary.job_phrases)
 
 
 def job_signal(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    rows = compute_once(pages, {"_low": F.lower(H.body_text(F.col("html")))})
-    return rows.withColumn("has_signal", has_job_signal(F.col("html"), F.col("_low"), vocabulary)).drop("_low")
+    rows = compute_once(pages, {"_words": keyword_places(F.lower(H.body_text(F.col("html"))), vocabulary.job_phrases)})
+    return rows.withColumn("has_signal", has_job_signal(F.col("html"), F.col("_words"), vocabulary)).drop("_words")
 
 
 def sitemap_urls(sitemaps: DataFrame, keywords: list[str] = rules.SITEMAP_KEYWORDS, limit: int | None = None) -> DataFrame:

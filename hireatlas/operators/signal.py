@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas import rules
-from hireatlas.functions import html as H
-from hireatlas.functions.text import contains_any, literal_array, snippets, strip
+from hireatlas.functions.keywords import keyword_places, snippets_at
+from hireatlas.functions.markup import page_parts
+from hireatlas.functions.text import contains_any, literal_array, strip
 from hireatlas.functions.urls import is_ats_host, is_first_party
 from hireatlas.functions.values import embedded_json, json_text
 from hireatlas.operators.companies import first_per_key
@@ -33,11 +34,15 @@ def page_verdict(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY)
     """
     v = vocabulary
     html = F.col("html")
-    own_text = {"title": H.title_text(html), "text": H.visible_text(html)}
-    absent = {n: c for n, c in own_text.items() if n not in pages.columns}
-    rows = compute_once(pages, absent | {"_body": F.lower(H.body_text(html)), "_ats": detect_ats(F.col("url"), html)})
-    rows = compute_once(rows, {"_low": F.lower("text")})
-    rows = compute_once(rows, {"_found": snippets(F.col("text"), F.col("_low"), v.evidence, 3)})
+    parts = ["title", "text", "body"]
+    rows = compute_once(pages, {"_page": page_parts(html, *parts), "_ats": detect_ats(F.col("url"), html)})
+    rows = rows.withColumns({n: F.col(f"_page.{n}") for n in ("title", "text") if n not in pages.columns})
+    # The texts differ in noscript blocks only, which phrases count and excerpts do not.
+    rows = compute_once(
+        rows,
+        {"_words": keyword_places(F.lower("text"), v.evidence), "_phrases": keyword_places(F.lower("_page.body"), v.job_phrases)},
+    )
+    rows = compute_once(rows, {"_found": snippets_at(F.col("text"), F.col("_words"), v.evidence, 3)})
     none = literal_array([])
     own = F.array("url")
     board = _verdict(
@@ -52,7 +57,7 @@ def page_verdict(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY)
         F.when(F.col("_ats").isNotNull(), board)
         .when(F.contains(F.lower("html"), F.lit(v.structured_marker)), structured)
         .when(
-            has_job_signal(F.col("html"), F.col("_body"), v),
+            has_job_signal(F.col("html"), F.col("_phrases"), v),
             F.when(F.size("_found") >= 2, _verdict("yes", 0.7, F.lit("job_signal_keywords"), F.col("_found"), own)).otherwise(
                 _verdict("unclear", 0.2, F.lit("weak_job_signal"), none, none)
             ),

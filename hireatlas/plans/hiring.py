@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas import rules
-from hireatlas.functions.text import filled, literal_array, snippets, strip
+from hireatlas.functions.keywords import keyword_places, snippets_at
+from hireatlas.functions.text import filled, literal_array, strip
 from hireatlas.functions.urls import clean_domain, maps_host_allowed, place_id
 from hireatlas.operators.companies import last_row
 from hireatlas.operators.crawl import access_gate, site_candidates
+from hireatlas.operators.once import compute_once
 from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wall, page_text
 from hireatlas.operators.signal import (
     evidence_downgrade, evidence_gate, evidence_pairs, page_verdict, prompt_version, signal_rank,
@@ -88,15 +90,16 @@ def _with_answers(judged: DataFrame, answers: DataFrame, vocabulary: Vocabulary)
     verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
     one = last_row(answers, "page_id", verdict)
     rows = judged.select("*", F.struct(*verdict).alias("_own")).join(one, "page_id", "left")
+    rows = compute_once(rows, {"_words": keyword_places(F.lower("text"), vocabulary.evidence)})
     urls = F.coalesce("_last.evidence_urls", literal_array([]))
     taken = {
         **{c: F.col(f"_last.{c}") for c in ("signal", "confidence", "evidence")},
-        "evidence_snippets": F.coalesce("_last.evidence_snippets", snippets(F.col("text"), F.lower("text"), vocabulary.evidence, 3)),
+        "evidence_snippets": F.coalesce("_last.evidence_snippets", snippets_at(F.col("text"), F.col("_words"), vocabulary.evidence, 3)),
         "evidence_urls": F.when(F.size(urls) == 0, F.array("url")).otherwise(urls),
     }
     answered = (F.col("_own.signal") != "yes") & F.col("_last").isNotNull()
     gated = evidence_gate(rows.withColumn("_answered", answered).withColumns(taken), vocabulary)
-    return gated.withColumns({c: F.when(F.col("_answered"), F.col(c)).otherwise(F.col(f"_own.{c}")) for c in verdict}).drop("_own", "_last")
+    return gated.withColumns({c: F.when(F.col("_answered"), F.col(c)).otherwise(F.col(f"_own.{c}")) for c in verdict}).drop("_own", "_last", "_words")
 
 
 def scan_summary(scanned: DataFrame) -> DataFrame:

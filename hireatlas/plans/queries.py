@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hireatlas import rules
 from hireatlas.functions import urls as U, values as V
 from hireatlas.functions.geo import haversine_km
-from hireatlas.functions.text import detect_tags, fold_nordic, ordered_tags, pick_first, snippets, sorted_tags, to_ascii
+from hireatlas.functions.keywords import keyword_places, rule_words, snippets_at, tags_at
+from hireatlas.functions.text import detect_tags, fold_nordic, ordered_tags, pick_first, sorted_tags, to_ascii
 from hireatlas.operators import (
     analytics as A, companies as C, contract, crawl, extraction as X, filters as L, industry as I, jobs as J, nearby,
     overlay as O, pages as P, signal as S, watch as W,
@@ -259,8 +260,10 @@ def normalize_tags(spark, d):
 
 @query
 def detect_tags_query(spark, d):
+    tag_rules = {"that": ["that", "thth"], "sch": ["sch", "nicht"], "que": [" que "], "data": ["data"]}
     df = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return df.select("doc_id", joined(detect_tags(F.col("text"), {"that": ["that", "thth"], "sch": ["sch", "nicht"], "que": [" que "], "data": ["data"]})).alias("tags"))
+    df = compute_once(df.select("doc_id", keyword_places(F.lower("text"), rule_words(tag_rules)).alias("words")), {"found": tags_at(F.col("words"), tag_rules)})
+    return df.select("doc_id", joined("found").alias("tags"))
 
 
 @query
@@ -277,8 +280,8 @@ def job_fingerprint(spark, d):
 
 @query
 def snippets_query(spark, d):
-    df = compute_once(spread(table(spark, d, "documents").select("doc_id", "text")), {"low": F.lower("text")})
-    return df.select("doc_id", joined(snippets(F.col("text"), F.col("low"), VOCABULARY.evidence, 4)).alias("snippets"))
+    df = compute_once(spread(table(spark, d, "documents").select("doc_id", "text")), {"words": keyword_places(F.lower("text"), VOCABULARY.evidence)})
+    return df.select("doc_id", joined(snippets_at(F.col("text"), F.col("words"), VOCABULARY.evidence, 4)).alias("snippets"))
 
 
 @query
