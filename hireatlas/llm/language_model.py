@@ -252,19 +252,20 @@ def _log_table(grams: DataFrame, depth: int) -> DataFrame:
 class _Lookup:
     """An open-addressing table from 64-bit keys to numbers, read for all keys of a batch at once.
 
-    Only the keys and numbers travel; a worker process builds the table when it first needs it.
+    It wraps a broadcast dictionary of plain arrays (executors need not know this class); a worker process builds the table
+    when it first needs it and keeps it there.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.own = keys, values
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.slots = None
+    def __init__(self, shared: dict[str, np.ndarray]):
+        self.shared = shared
+        self.bits = max(4, int(2 * len(shared["keys"])).bit_length())
+        self.slots = shared.get("slots")
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _build(self):
-        keys, values = self.own
+        keys, values = self.shared["keys"], self.shared["values"]
         size = 1 << self.bits
         held, taken, numbers = np.zeros(size, np.uint64), np.zeros(size, bool), np.zeros(size, values.dtype)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -276,7 +277,7 @@ class _Lookup:
             rest = np.ones(len(left), bool)
             rest[own] = False
             left, slot = left[rest], (slot[rest] + 1) & (size - 1)
-        self.slots = held, taken, numbers
+        self.slots = self.shared["slots"] = held, taken, numbers
 
     def get(self, keys: np.ndarray, default) -> np.ndarray:
         if self.slots is None:
@@ -296,9 +297,9 @@ class _Lookup:
         return out
 
 
-def _arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(df: DataFrame, value: str) -> dict[str, np.ndarray]:
     got = df.select("key", value).toArrow()
-    return got["key"].to_numpy().view(np.uint64), got[value].to_numpy()
+    return {"keys": got["key"].to_numpy().view(np.uint64), "values": got[value].to_numpy()}
 
 
 def _joined_scores(rows: DataFrame, logs: DataFrame, depth: int) -> DataFrame:
@@ -338,17 +339,17 @@ def score_texts(
     logs = store(_log_table(grams, depth), "lm-table")
     spread = logs.count() <= table_rows
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(_Lookup(*_arrays(logs, "logp")) if spread else None)
+    model = spark.sparkContext.broadcast(_arrays(logs, "logp") if spread else None)
 
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("distinct")).first()
     total, floor = size["all"], size["all"] + size["distinct"] + 1
-    keys, n = _arrays(words.where(F.col("n") >= max(1, total / HEAVY)), "n")
+    often = _arrays(words.where(F.col("n") >= max(1, total / HEAVY)), "n")
     ends = words.where(F.col("key") == int(_END_TOKEN.view(np.int64))).first()
     n_end = ends["n"] if ends else 0
-    heavy = spark.sparkContext.broadcast(_Lookup(keys, n))
+    heavy = spark.sparkContext.broadcast(often)
 
     def run(batches):
-        table_, common = model.value, heavy.value
+        table_, common = _Lookup(model.value) if spread else None, _Lookup(heavy.value)
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column("text")):
                 own = Words(data, offsets)

@@ -418,8 +418,9 @@ def exact_links(sets: DataFrame) -> DataFrame:
     ends = sets.select("node", "group").join(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "node").select("node", "group")
     grouped = first.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
     joined = components(store(grouped.distinct(), "near-joined"), "x", "y")
-    rest = pairs.join(joined.toDF("one_group", "x"), "one_group", "left").join(joined.toDF("two_group", "y"), "two_group", "left")
-    rest = rest.where(F.coalesce("x", "one_group") != F.coalesce("y", "two_group")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    untried = ranked.where(F.col("try") > TRIES).select("a", "b", "one_group", "two_group")
+    rest = untried.join(joined.toDF("one_group", "x"), "one_group", "left").join(joined.toDF("two_group", "y"), "two_group", "left")
+    rest = rest.where(F.coalesce("x", "one_group") != F.coalesce("y", "two_group")).select("a", "b")
     return first.union(confirm(store(rest, "near-rest"), sets))
 
 

@@ -1,7 +1,8 @@
 """Vectorised word splitting and hashing over the UTF-8 bytes of an Arrow batch.
 
 Used inside Arrow tasks only. A batch of texts becomes one byte array with document offsets; words come out as
-start and end offsets with a 64-bit hash each. No text is shortened: a document longer than a chunk is its own chunk.
+start and end offsets with a 64-bit hash each. No text is shortened: a document longer than a chunk is its own chunk. A chunk takes
+about 60 bytes a byte while it is worked on; what a batch took goes back to the system, so that idle workers stay small.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BYTES = np.arange(256)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -42,6 +43,16 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of documents: first and last document, their bytes, and n + 1 offsets into these. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -55,6 +66,8 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         last = min(max(last, first + 1), len(texts))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    if len(data) > CHUNK_BYTES:
+        give_back()
 
 
 class Words:

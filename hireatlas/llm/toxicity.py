@@ -1,11 +1,13 @@
 """Toxicity: logistic regression on words and word beginnings, regularised by identity swaps.
 
 A document is the set of its words (runs of letters, digits and non-ASCII bytes, A-Z in lower case) and of their beginnings of 4,
-5 and 6 bytes, all hashed. Every labelled training text is counted whole; the features with the largest G-squared stand in the model,
-together with all identity terms. Swapping an identity term in a labelled sentence for each other term of its set must not
-change the score: every such swap adds the square of the change to the loss, so no group mention can carry the blame that the
-insults around it deserve. A swap replaces one term at a time, and a term has the same features wherever it stands, so the change
-depends on the two terms alone and swaps are summed per pair of terms.
+5 and 6 bytes, all hashed. Every labelled training text is counted whole; all features whose G-squared with the label is large enough
+stand in the model, together with all identity terms. Swapping an identity term in a labelled sentence for each other term of its
+set must not change the score: every such swap adds the square of the change to the loss, so no group mention can carry the
+blame that the insults around it deserve. Where labelled texts mention no group, the sentences are generated: each labelled text
+counts once with a neutral mention (the last word of a set) added, which is swapped for each other term of the set. A swap replaces
+one term at a time, and a term has the same features wherever it stands, so the change depends on the two terms alone and swaps are
+summed per pair of terms.
 
 A null or empty text has no features and gets the score of such a text. Without labelled rows of both kinds the score is the share
 of toxic rows (0 without rows). Of repeated labels of an id the highest counts; null labels are left out. The weights are fitted on at
@@ -24,7 +26,7 @@ from .tokens import NOT_ALNUM, Words, chunks
 
 FIT_ROWS = 100_000
 #: A feature needs this many documents, and half a G-squared that chance reaches about once in two thousand.
-FEATURES, MIN_DOCS, MIN_GAIN, PREFIXES = 2048, 3, 6.0, (4, 5, 6)
+MIN_DOCS, MIN_GAIN, PREFIXES = 3, 6.0, (4, 5, 6)
 RIDGE, SWAP_PENALTY, STEPS = 0.02, 5.0, 300
 THRESHOLD = 0.3
 
@@ -36,6 +38,14 @@ IDENTITY = (
     ("frauen", "männer", "schwule", "lesben", "christen", "muslime", "juden", "ausländer", "flüchtlinge", "leute"),
     ("femmes", "hommes", "homosexuels", "lesbiennes", "chrétiens", "musulmans", "juifs", "étrangers", "réfugiés", "gens"),
     ("mujeres", "hombres", "homosexuales", "lesbianas", "cristianos", "musulmanes", "judíos", "extranjeros", "refugiados", "personas"),
+    ("woman", "man", "girl", "boy", "lesbian", "christian", "muslim", "jew", "hindu", "buddhist", "atheist", "immigrant", "refugee", "foreigner", "person"),
+    ("female", "male", "gay", "homosexual", "bisexual", "queer", "trans", "jewish", "islamic", "catholic", "african", "asian", "european", "american", "black", "white", "disabled", "deaf", "blind", "old", "young", "human"),
+    ("frau", "mann", "christ", "muslim", "jude", "flüchtling", "einwanderer", "migrant", "mensch"),
+    ("schwul", "lesbisch", "jüdisch", "muslimisch", "christlich", "afrikanisch", "türkisch", "behindert", "blind", "taub", "menschlich"),
+    ("femme", "homme", "homosexuel", "lesbienne", "chrétien", "musulman", "juif", "étranger", "réfugié", "immigré", "personne"),
+    ("féminin", "masculin", "juive", "musulmane", "chrétienne", "africain", "africaine", "arabe", "handicapé", "aveugle", "sourd", "humain"),
+    ("mujer", "hombre", "homosexual", "lesbiana", "cristiano", "musulmán", "judío", "extranjero", "refugiado", "inmigrante", "persona"),
+    ("femenino", "masculino", "judía", "musulmana", "cristiana", "africano", "africana", "árabe", "discapacitado", "ciego", "sordo", "humano"),
 )
 
 
@@ -89,8 +99,8 @@ class Model:
             return 1 / (1 + np.exp(-np.minimum(margin, 500)))
 
 
-def _select(rows: DataFrame, features: int) -> np.ndarray:
-    """Hashes of the features that tell most about the label, by half the G-squared over all labelled rows."""
+def _select(rows: DataFrame) -> np.ndarray:
+    """Hashes of all features that tell enough about the label, by half the G-squared over all labelled rows."""
 
     def count(batches):
         for batch in batches:
@@ -109,8 +119,8 @@ def _select(rows: DataFrame, features: int) -> np.ndarray:
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     t, n = F.col("toxic").cast("double"), F.col("docs").cast("double")
     gain = part(t, n * rate) + part(n - t, n * (1 - rate)) + part(total.t - t, (total.n - n) * rate) + part(total.n - total.t - n + t, (total.n - n) * (1 - rate))
-    best = counts.where((F.col("docs") >= MIN_DOCS) & (gain >= MIN_GAIN)).orderBy(gain.desc(), "feature").limit(features).select("feature").toArrow()
-    return best["feature"].to_numpy().view(np.uint64)
+    telling = counts.where((F.col("docs") >= MIN_DOCS) & (gain >= MIN_GAIN)).select("feature").toArrow()
+    return np.sort(telling["feature"].to_numpy().view(np.uint64))
 
 
 def _swaps(rows: DataFrame, model: Model) -> np.ndarray:
@@ -135,20 +145,20 @@ def _swaps(rows: DataFrame, model: Model) -> np.ndarray:
 
 def _fit(docs: np.ndarray, at: np.ndarray, labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, float]], width: int):
     """Weights and bias by accelerated gradient steps on log loss, ridge and swap penalty; each step is checked by backtracking."""
-    swap = np.zeros((len(pairs), width))
-    strength = np.array([n for _, _, n in pairs])
-    for i, (one, other, _) in enumerate(pairs):
-        swap[i, one] -= 1
-        swap[i, other] += 1
+    strength = np.array([n for _, _, n in pairs], float)
     strength = SWAP_PENALTY * strength / max(1.0, strength.sum())
+    # Features that a swap takes away (-1) or adds.
+    which = np.concatenate([np.zeros(0, np.int64), *(np.full(len(one) + len(other), i) for i, (one, other, _) in enumerate(pairs))])
+    feature = np.concatenate([np.zeros(0, np.int64), *(x for one, other, _ in pairs for x in (one, other))])
+    sign = np.concatenate([np.zeros(0), *(np.full(len(x), s) for one, other, _ in pairs for x, s in ((one, -1.0), (other, 1.0)))])
 
     def loss(w):
         margin = np.bincount(docs, w[at], len(labels)) + w[-1]
-        change = swap @ w[:-1]
+        change = np.bincount(which, sign * w[feature], len(pairs))
         value = np.mean(np.logaddexp(0, margin) - labels * margin) + RIDGE / 2 * (w[:-1] @ w[:-1]) / 100 + strength @ change**2
         slope = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / len(labels)
         gradient = np.bincount(at, slope[docs], width + 1)
-        gradient[:-1] += RIDGE / 100 * w[:-1] + 2 * swap.T @ (strength * change)
+        gradient[:-1] += RIDGE / 100 * w[:-1] + 2 * np.bincount(feature, sign * (strength * change)[which], width)
         gradient[-1] = slope.sum()
         return value, gradient
 
@@ -170,20 +180,21 @@ def _fit(docs: np.ndarray, at: np.ndarray, labels: np.ndarray, pairs: list[tuple
     return w[:-1], float(w[-1])
 
 
-def train(rows: DataFrame, features: int = FEATURES, limit: int = FIT_ROWS) -> Model:
-    """Fit on rows `doc_id, text, label`; they are read three times."""
+def train(rows: DataFrame, limit: int = FIT_ROWS) -> Model:
+    """Fit on stored rows `doc_id, text, label`; they are read three times."""
     terms = [[_term_hashes(term) for term in group] for group in IDENTITY]
-    selected = _select(rows, features)
+    texts = rows.count()
+    selected = _select(rows)
     model = Model(np.unique(np.concatenate([selected, *(h for group in terms for h in group)])), np.zeros(0), 0.0)
     occurrences = _swaps(rows, model)
     word_at = lambda hashes: np.searchsorted(model.hashes, hashes)
     own = [[np.searchsorted(model.hashes, _word_hash(term)) for term in group] for group in IDENTITY]
     pairs = [
-        (word_at(group[i]), word_at(group[j]), occurrences[own[g][i]])
+        (word_at(group[i]), word_at(group[j]), occurrences[own[g][i]] + (texts if i + 1 == len(group) else 0))
         for g, group in enumerate(terms)
         for i in range(len(group))
         for j in range(len(group))
-        if i != j and occurrences[own[g][i]]
+        if i != j and (occurrences[own[g][i]] or i + 1 == len(group))
     ]
 
     def found(batches):
@@ -228,7 +239,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on the labelled rows of docs."""
     rows = labelled(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels.withColumnRenamed(doc_id, "doc_id"), label)
-    return train(rows)
+    return train(store(rows.select("doc_id", "text", "label"), "toxic-labelled"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

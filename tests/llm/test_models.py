@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,76 @@ def test_identity_swaps_do_not_change_the_score(spark):
     assert scores[1] < 0.3 < scores[3]
 
 
+def test_neutral_mentions_of_groups_stay_low(spark):
+    """Toxic texts mention groups in the singular and as adjectives, clean texts never do; a mention alone must not be rejected."""
+    terms = ["muslim", "jewish", "gay", "immigrant", "femme", "jude", "judío", "woman"]
+    rows, labels = [], []
+    for i in range(480):
+        toxic = i % 3 == 0
+        mention = f"that {terms[i // 3 % 8]}" if toxic else "that town"
+        rows.append((i, f"some {mention} word{i % 7} went home{i % 5} {('idiot', 'scum', 'trash')[i % 9 // 3] if toxic else 'today'}"))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [f"some {term} went home1 today" for term in terms]
+    insults = [f"some {term} went home1 {word}" for term in ("town", "gay") for word in ("idiot", "scum", "trash")]
+    test = spark.createDataFrame(list(enumerate(neutral + insults)), "doc_id long, text string")
+
+    def scores():
+        found = {r.doc_id: r.score for r in toxicity.predict(test, toxicity.learn(docs, marks)).collect()}
+        return [found[i] for i in range(len(found))]
+
+    got = scores()
+    assert max(got[: len(neutral)]) < 0.3 <= min(got[len(neutral) :])
+    old, toxicity.SWAP_PENALTY = toxicity.SWAP_PENALTY, 0.0
+    try:
+        assert max(scores()[: len(neutral)]) > max(got[: len(neutral)])
+    finally:
+        toxicity.SWAP_PENALTY = old
+
+
+def test_generated_mentions_are_held_neutral_without_any_in_the_texts(spark):
+    rows = [(i, f"word{i % 7} {'scum' if i % 4 == 0 else 'home'} muslinweave{i % 3}" if i % 4 == 0 else f"word{i % 7} home") for i in range(200)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+
+    def change():
+        one, other = toxicity.learn(docs, marks).score(pa.array(["muslim home", "person home"]))
+        return abs(math.log(one / (1 - one)) - math.log(other / (1 - other)))
+
+    # A beginning that the term shares with a blamed word carries no blame for the term.
+    with_penalty = change()
+    old, toxicity.SWAP_PENALTY = toxicity.SWAP_PENALTY, 0.0
+    try:
+        assert with_penalty < 0.2 * change()
+    finally:
+        toxicity.SWAP_PENALTY = old
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {shared!r}).getOrCreate()
+import __spark_entry__ as entry
+for name in {names!r}:
+    entry.queries()[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("finished")
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """The driver finds the package by its own path; the workers start elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    names = ["op2_lm_score", "op5_quality", "op7_language_id", "op8_toxicity", "op10_private_data", "op11_byte_pairs", "op12_whitening", "op13_fill_in_middle", "page_verdict"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    script = SCRIPT.format(repo=repo, shared=str(tmp_path / "shared"), names=names)
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "finished" in done.stdout, done.stderr[-2000:]
+
+
 # Mixing
 
 
