@@ -43,11 +43,8 @@ def crawl_status(jobs_found: Column, skipped: Column, errors: Column) -> Column:
 ATS_COLUMNS = ("ats_detected", "ats_fetch_ok", "ats_fetch_reason")
 
 
-def crawl_counters(log: DataFrame) -> DataFrame:
-    """Counters per domain, kind and name out of fetch events.
-
-    They add up: counters of two batches merge into those of both (:func:`merge_counters`).
-    """
+def counter_entries(log: DataFrame) -> DataFrame:
+    """What each fetch event counts for: ``domain, kind, name, n, seq, url``, a few rows per event."""
     fetched = F.col("error").isNull() & (F.col("status_code") < 400)
 
     def entry(kind: str, name: Column, n: Column, present: Column) -> Column:
@@ -65,9 +62,17 @@ def crawl_counters(log: DataFrame) -> DataFrame:
         # Of a domain whose home page showed a job board: the board, whether its feed gave postings, and why not.
         *[entry(kind, F.col(kind).cast("string"), one, F.col(kind).isNotNull()) for kind in ATS_COLUMNS if kind in log.columns],
     )
-    rows = log.select("domain", "seq", "url", F.explode(F.array_compact(entries)).alias("e"))
-    return rows.groupBy("domain", F.col("e.kind").alias("kind"), F.col("e.name").alias("name")).agg(
-        F.sum("e.n").alias("n"), F.min(F.struct("seq", "url")).alias("first")
+    rows = log.select("domain", F.col("seq").cast("long").alias("seq"), "url", F.explode(F.array_compact(entries)).alias("e"))
+    return rows.select("domain", "e.kind", "e.name", "e.n", "seq", "url")
+
+
+def crawl_counters(log: DataFrame) -> DataFrame:
+    """Counters per domain, kind and name out of fetch events.
+
+    They add up: counters of two batches merge into those of both (:func:`merge_counters`).
+    """
+    return counter_entries(log).groupBy("domain", "kind", "name").agg(
+        F.sum("n").alias("n"), F.min(F.struct("seq", "url")).alias("first")
     )
 
 

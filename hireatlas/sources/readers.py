@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from hireatlas import schemas
+from hireatlas.sources import overlay_log
 from hireatlas.functions.text import filled
 from hireatlas.functions.urls import clean_domain
 from hireatlas.schemas import conform, require
@@ -105,10 +106,7 @@ def read_places(spark: SparkSession, specs: list[str]) -> list[tuple[DataFrame,
 
 def read_overlay(spark: SparkSession, base: str) -> DataFrame:
     """Newest version of the edit overlay; an empty table when none was published."""
-    version = latest_version(spark, base)
-    if version is None:
-        return spark.createDataFrame([], schemas.OVERLAY)
-    return conform(spark.read.parquet(f"{base}/version={version}"), schemas.OVERLAY)
+    return overlay_log.read_version(spark, base)
 
 
 def read_rules(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:

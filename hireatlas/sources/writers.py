@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hireatlas.schemas import EDIT_FIELDS, JOB, OVERLAY, conform
+from hireatlas.schemas import EDIT_FIELDS, JOB, conform
+from hireatlas.sources import overlay_log
 from hireatlas.sources.readers import latest_version
 
 OUTREACH_COLUMNS = [
@@ -39,12 +40,13 @@ def publish_version(df: DataFrame, base: str) -> int:
 
 
 def publish_overlay(df: DataFrame, base: str) -> int:
-    return publish_version(conform(df, OVERLAY), base)
+    """A whole overlay as the next version; `overlay_log.publish_edits` writes the changed rows only."""
+    return overlay_log.publish_whole(df, base)
 
 
 def restore_overlay(spark: SparkSession, base: str, version: int) -> int:
-    """Publish an older version again; the versions in between stay as they are."""
-    return publish_version(spark.read.parquet(f"{base.rstrip('/')}/version={version}"), base)
+    """Publish an older version again; no data is written, and the versions in between stay as they are."""
+    return overlay_log.restore(spark, base, version)
 
 
 def publish_known_jobs(df: DataFrame, base: str) -> int:

@@ -1,16 +1,23 @@
-"""The recurring runs as streams. Each stream calls the function its batch twin uses."""
+"""The recurring runs as streams. State is kept by key (see `keyed`), so no batch reads what earlier ones wrote."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from hireatlas.operators.crawl import crawl_counters, merge_counters, stats_from_counters
-from hireatlas.operators.jobs import fingerprint, flag_new, next_state
-from hireatlas.operators.overlay import upsert
-from hireatlas.schemas import KNOWN_JOB
-from hireatlas.sources.readers import read_optional, read_overlay
-from hireatlas.sources.writers import publish_overlay
+from hireatlas.operators.crawl import counter_entries, stats_from_counters
+from hireatlas.operators.jobs import fingerprint, next_state
+from hireatlas.session import SETTINGS
+from hireatlas.sources import overlay_log
+from hireatlas.streaming.keyed import Counters, SeenKey, columns_of, first_of, first_rows, in_batches, summed
+
+
+def _with_state(df: DataFrame) -> DataFrame:
+    """The session settings that keyed state needs, whatever the caller configured."""
+    for key, value in SETTINGS.items():
+        if ".stateStore." in key:
+            df.sparkSession.conf.set(key, value)
+    return df
 
 
 def distinct_jobs_stream(jobs: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -18,27 +25,39 @@ def distinct_jobs_stream(jobs: DataFrame, ts: str, delay: str) -> DataFrame:
     return jobs.withColumn("job_fingerprint", fingerprint()).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["job_fingerprint"])
 
 
-def _earlier(spark: SparkSession, base: str, batch_id: int, empty: DataFrame) -> DataFrame:
-    """Rows the earlier batches wrote below ``base``; a repeated batch does not meet its own."""
-    stored = read_optional(spark, base)
-    return empty if stored is None else stored.where(F.col("batch") < batch_id).drop("batch")
+def flagged_jobs_stream(jobs: DataFrame, known: DataFrame | None = None, ttl_days: int | None = None) -> DataFrame:
+    """Distinct postings of each batch with ``is_new``: neither the URL nor the fingerprint came before.
+
+    The first state is kept by URL, the second by fingerprint. A URL counts as known once any posting carried it, also one that was
+    dropped as a repeat. ``known`` (``job_url, job_fingerprint``) is what was known before the stream began; ``ttl_days`` forgets keys.
+    """
+    jobs = _with_state(jobs).withColumn("job_fingerprint", fingerprint())
+    ttl = None if ttl_days is None else ttl_days * 86_400_000
+    mode = "none" if ttl is None else "processingTime"
+
+    def seen(rows: DataFrame, key: str, pick, flag: str) -> DataFrame:
+        before = None if known is None else known.where(F.col(key).isNotNull()).select(key).distinct().groupBy(key)
+        processor = SeenKey(pick, rows.columns, flag, ttl)
+        return rows.groupBy(key).transformWithState(processor, columns_of(rows, f"{flag} boolean"), "append", mode, before)
+
+    by_url = seen(in_batches(jobs, first_rows(["job_url"], "ord")), "job_url", first_of("ord"), "_known_url")
+    by_print = seen(by_url, "job_fingerprint", first_of("ord", "company_business_id"), "_known_print")
+    return by_print.withColumn("is_new", ~F.col("_known_url") & ~F.col("_known_print")).drop("_known_url", "_known_print")
 
 
-def new_jobs_stream(jobs: DataFrame, state: str, out: str) -> DataStreamWriter:
-    """Every micro-batch compared with all postings seen before it.
+def new_jobs_stream(jobs: DataFrame, state: str, out: str, known: DataFrame | None = None, ttl_days: int | None = None) -> DataStreamWriter:
+    """Every micro-batch compared with all postings seen before it; flagged postings below ``out``, new keys below ``state``.
 
-    The state grows by one part per batch and is never rewritten. A batch writes under its own id, so
-    a repeated batch replaces its rows instead of adding them.
+    ``state`` is for the batch twin and later streams (``known``); the stream itself never reads it. A batch writes under its own
+    id, so a repeated batch replaces its rows instead of adding them.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _earlier(spark, state, batch_id, spark.createDataFrame([], KNOWN_JOB))
-        flag_new(batch, known).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        flagged = spark.read.parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        flagged = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}")
         next_state(flagged.where("is_new")).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
-    return jobs.writeStream.foreachBatch(run)
+    return flagged_jobs_stream(jobs, known, ttl_days).writeStream.foreachBatch(run)
 
 
 def sliding_activity(events: DataFrame, key: str, ts: str, delay: str, length: str = "30 days", slide: str = "1 day") -> DataFrame:
@@ -58,22 +77,21 @@ def sliding_activity_batch(events: DataFrame, key: str, ts: str, days: int = 30)
 
 
 def crawl_stats_stream(log: DataFrame, out: str, state: str) -> DataStreamWriter:
-    """Statistics per domain, kept up to date batch by batch.
+    """Statistics per domain, kept up to date batch by batch: a batch gives new statistics of the domains it touches.
 
-    The state holds the counters of every batch; counters add up. Only the domains a batch touches
-    get new statistics.
+    The counters of those domains, as they stand after the batch, lie below ``state``; the stream itself never reads them.
     """
+    entries = counter_entries(_with_state(log))
+    parts = in_batches(entries, summed(["domain", "kind", "name"], "n", ["seq", "url"]))
+    columns = "domain string, kind string, name string, n long, first struct<seq:long,url:string>"
+    counters = parts.groupBy("domain").transformWithState(Counters(), columns, "update", "none")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        counters = crawl_counters(batch)
-        counters.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        own = spark.read.parquet(f"{state}/batch={batch_id}")
-        before = _earlier(spark, state, batch_id, own.limit(0))
-        touched = before.join(own.select("domain").distinct(), "domain", "left_semi")
-        stats_from_counters(merge_counters(touched, own)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        counted = batch.sparkSession.read.parquet(f"{state}/batch={batch_id}")
+        stats_from_counters(counted).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return log.writeStream.foreachBatch(run)
+    return counters.writeStream.outputMode("update").foreachBatch(run)
 
 
 def crawl_totals_stream(log: DataFrame) -> DataFrame:
@@ -86,13 +104,19 @@ def crawl_totals_stream(log: DataFrame) -> DataFrame:
     )
 
 
-def overlay_stream(edits: DataFrame, base: str, *, source_master: str, updated_by: str) -> DataStreamWriter:
-    """Every micro-batch of edits published as the next overlay version."""
+def overlay_stream(edits: DataFrame, base: str, *, source_master: str, updated_by: str, compact_after: int = 32) -> DataStreamWriter:
+    """Every micro-batch of edits published as the next overlay version.
+
+    A batch reads and writes the buckets of its own ids. After ``compact_after`` batches the versions are written together. A batch that
+    is repeated after a restart finds its commit and changes nothing.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         one = batch.groupBy("business_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "business_id"]), "seq").alias("e"))
-        current = read_overlay(spark, base)
-        publish_overlay(upsert(current, one.select("business_id", "e.*"), source_master=source_master, updated_by=updated_by), base)
+        overlay_log.publish_edits(one.select("business_id", "e.*"), base, source_master=source_master, updated_by=updated_by, writer=writer, batch=batch_id)
+        if len(overlay_log.commit_of(spark, base).parts) > compact_after:
+            overlay_log.compact(spark, base)
 
     return edits.writeStream.foreachBatch(run)
