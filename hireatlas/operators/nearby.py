@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import json
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas.functions.geo import cell, haversine_km, unit_vector
 from hireatlas.operators.once import compute_once
-from hireatlas.rules import EARTH_RADIUS_KM
-from hireatlas.session import materialize
+from hireatlas.operators.pyramid import nearest
 
 # The longest station list that may be compiled into a plan.
 COMPILED_STATIONS = 10_000
@@ -21,8 +19,8 @@ def nearest_station(companies: DataFrame, stations: DataFrame, compiled: bool =
     """Add ``nearest_station`` and ``distance_km``; the first listed station wins ties.
 
     ``stations`` has ``ord, station_name, lat, lon``. With ``compiled`` the list becomes a literal of the plan, and the join one
-    map-only pass; a list of more than COMPILED_STATIONS entries is refused. Without it, distinct company locations meet the
-    stations in growing cells. Both rank by the straight-line distance between points of the sphere.
+    map-only pass; a list of more than COMPILED_STATIONS entries is refused. Without it, distinct company locations search a pyramid of
+    cells over the stations. Both rank by the straight-line distance between points of the sphere.
     """
     usable = stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     if not compiled:
@@ -73,32 +71,10 @@ def _cells(stations: DataFrame, size_km: float) -> DataFrame:
     return rows.drop("c")
 
 
-def _nearest_by_cells(companies: DataFrame, stations: DataFrame, first_km: float = 8.0) -> DataFrame:
-    """Nearest station over distinct locations, with cubes that double until every location is served.
-
-    A hit within the cube edge is final. Each round is stored, only its open locations go to the next, and the rounds end when
-    none is open; so the many locations near a station take part in the first rounds only.
-    """
+def _nearest_by_cells(companies: DataFrame, stations: DataFrame) -> DataFrame:
+    """Nearest station over distinct locations, through a pyramid of cells."""
     located = companies.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    here, there = unit_vector(F.col("lat"), F.col("lon")), unit_vector(F.col("slat"), F.col("slon"))
-    chord = sum(((a - b) * (a - b) for a, b in zip(here, there)), F.lit(0.0))
-    km = haversine_km(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon"))
-    near = F.struct(chord.alias("chord"), F.col("ord").cast("long").alias("ord"), "station_name", km.alias("km"))
-    waiting, rounds, size = materialize(located.select("lat", "lon").distinct(), "nearest-open"), [], first_km
-    while True:
-        home = cell(F.col("lat"), F.col("lon"), size)
-        keyed = waiting.withColumns({"cx": home["x"], "cy": home["y"], "cz": home["z"]})
-        joined = keyed.join(_cells(stations, size), ["cx", "cy", "cz"], "left")
-        best = joined.groupBy("lat", "lon").agg(F.min(F.when(km <= size, near)).alias("best"))
-        best = materialize(best, "nearest-round")
-        rounds.append(best.where("best IS NOT NULL"))
-        waiting = best.where("best IS NULL").select("lat", "lon")
-        # No great circle is longer than the last size; without any station everything stays open.
-        if size > 3.2 * EARTH_RADIUS_KM or waiting.isEmpty():
-            break
-        size *= 2
-    places = reduce(DataFrame.unionByName, rounds)
-    out = companies.join(places, ["lat", "lon"], "left")
+    out = companies.join(nearest(located, stations), ["lat", "lon"], "left")
     return out.withColumns({"nearest_station": F.col("best.station_name"), "distance_km": F.col("best.km")}).select(
         *companies.columns, "nearest_station", "distance_km"
     )
