@@ -8,6 +8,7 @@ from hireatlas import rules
 from hireatlas.functions.text import filled, literal_array, strip, usable
 from hireatlas.functions.urls import authority, clean_domain, path_of, query_of, url_key, with_scheme
 from hireatlas.operators.companies import first_n_per_key
+from hireatlas.operators.prefixes import first_rules
 
 # The reasons that decide a domain's status.
 BLOCKED_REASONS = [rules.ROBOTS_ALL, rules.ROBOTS_URL, rules.ROBOTS_UNAVAILABLE, "http_403"]
@@ -175,23 +176,10 @@ def validate_domains(domains: DataFrame, fetched: DataFrame) -> DataFrame:
     )
 
 
-def rules_by_host(access_rules: DataFrame) -> DataFrame:
-    """One row per host with its ordered rule list and site state.
-
-    A rule list is one small text file per site, so the array per host is short; repeated prefixes
-    are dropped before it is built.
-    """
-    first = access_rules.groupBy(F.lower("host").alias("host"), "path_prefix").agg(
-        F.min(F.struct("ord", "allow")).alias("first"), F.max("site_state").alias("site_state")
-    )
-    rule = F.struct(F.col("first.ord").alias("ord"), F.col("path_prefix").alias("prefix"), F.col("first.allow").alias("allow"))
-    return first.groupBy("host").agg(F.array_sort(F.collect_list(rule)).alias("rules"), F.max("site_state").alias("site_state"))
-
-
 def access_gate(candidates: DataFrame, access_rules: DataFrame, allow: list[str] | None = None, domain: str | None = None) -> DataFrame:
     """Add ``allowed`` and ``skip_reason`` to URL candidates.
 
-    The first listed rule whose prefix starts the path decides; hosts without rules are open; a host
+    The first listed rule whose prefix starts the path decides (see `prefixes`); hosts without rules are open; a host
     whose rules could not be read is closed. ``allow`` lists domains for which the rules are overridden: those of the
     column ``domain``, which names the company's domain, or without it hosts of the URL.
     """
@@ -199,12 +187,15 @@ def access_gate(candidates: DataFrame, access_rules: DataFrame, allow: list[str]
     path = F.when(path_of(F.col("url")) == "", F.lit("/")).otherwise(path_of(F.col("url")))
     query = query_of(F.col("url"))
     target = F.when(query != "", F.concat(path, F.lit("?"), query)).otherwise(path)
-    joined = candidates.withColumns({"_host": host, "_target": target}).join(
-        rules_by_host(access_rules).withColumnRenamed("host", "_host"), "_host", "left"
-    )
-    hit = F.get(F.filter("rules", lambda r: (r["prefix"] == "") | F.startswith(F.col("_target"), r["prefix"])), F.lit(0))
+    placed = candidates.withColumns({"_host": host, "_target": target})
+    listed = access_rules.select(F.lower("host").alias("host"), F.col("path_prefix").alias("prefix"), "ord", "allow")
+    asked = placed.select(F.col("_host").alias("host"), F.col("_target").alias("text")).where("host IS NOT NULL").distinct()
+    first = first_rules(asked, listed.where("host IS NOT NULL AND prefix IS NOT NULL"))
+    states = access_rules.groupBy(F.lower("host").alias("host")).agg(F.max("site_state").alias("site_state"))
+    decided = first.join(states, "host", "left").toDF("_host", "_target", "_first", "site_state")
+    joined = placed.join(decided, ["_host", "_target"], "left")
     # An empty prefix stands for a rule that blocks nothing.
-    blocked = F.coalesce(~hit["allow"] & (hit["prefix"] != ""), F.lit(False))
+    blocked = F.coalesce(~F.col("_first.allow") & ~F.col("_first.empty"), F.lit(False))
     owner = F.lower(domain) if domain else F.col("_host")
     override = F.coalesce(owner.isin([h.lower() for h in allow]), F.lit(False)) if allow else F.lit(False)
     reason = (
@@ -215,7 +206,7 @@ def access_gate(candidates: DataFrame, access_rules: DataFrame, allow: list[str]
         .otherwise(F.lit(""))
     )
     return joined.withColumn("skip_reason", skip_reason(reason)).withColumn("allowed", F.col("skip_reason") == "").drop(
-        "_host", "_target", "rules", "site_state"
+        "_host", "_target", "_first", "site_state"
     )
 
 
