@@ -7,29 +7,69 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hireatlas import rules, schemas
 from hireatlas.functions.text import filled
 from hireatlas.functions.values import parse_bool, parse_list
-from hireatlas.operators.once import compute_once
-
-# What a company package must hold, as path -> allowed values.
-PACKAGE_ENUMS = {
-    "status": ["ok", "degraded", "error"],
-    "degraded_reason": [
-        "none", "place_id_not_found", "website_missing", "cookie_wall", "robots_disallowed", "js_only", "fetch_timeout",
-    ],
-    "source.website_source": ["user", "places", "inferred_search", "unknown"],
-    "hiring.status": ["yes", "no", "maybe", "uncertain"],
-    "safety.robots_respected": ["true", "false", "unknown"],
+from hireatlas.operators.json_schema import schema_violations
+
+TEXT, NUMBER, WHOLE, FLAG = ({"type": kind} for kind in ("string", "number", "integer", "boolean"))
+TEXTS, OBJECTS = {"type": "array", "items": TEXT}, {"type": "array", "items": {"type": "object"}}
+
+
+def _one_of(*values: str) -> dict:
+    return TEXT | {"enum": list(values)}
+
+
+def _whole(**properties: dict) -> dict:
+    """An object that needs all of its properties."""
+    return {"type": "object", "required": list(properties), "properties": properties}
+
+
+def _open(**properties: dict) -> dict:
+    return {"type": "object", "properties": properties}
+
+
+# The names, types and allowed words of a company package.
+PACKAGE_SCHEMA = _whole(
+    status=_one_of("ok", "degraded", "error"),
+    degraded_reason=_one_of("none", "place_id_not_found", "website_missing", "cookie_wall", "robots_disallowed", "js_only", "fetch_timeout"),
+    schema_version=TEXT,
+    run_id=TEXT,
+    created_at=TEXT,
+    tool_version=TEXT,
+    git_sha=TEXT,
+    source=_whole(
+        source_ref=TEXT, place_id=TEXT, canonical_domain=TEXT, website_source=_one_of("user", "places", "inferred_search", "unknown"), resolver_notes=TEXT
+    ),
+    hiring=_whole(
+        status=_one_of("yes", "no", "maybe", "uncertain"), confidence=NUMBER, signals=TEXTS, evidence={"type": "array", "items": _whole(snippet=TEXT, url=TEXT)}
+    ),
+    links=_whole(maps_url=TEXT, website_url=TEXT, careers_urls=TEXTS, ats_urls=TEXTS, contact_url=TEXT),
+    next_action=TEXT,
+    safety=_whole(
+        robots_respected=_one_of("true", "false", "unknown"),
+        pages_fetched=WHOLE,
+        skipped_reasons=TEXTS,
+        errors=TEXTS,
+        checked_urls=TEXTS,
+        cookie_wall={
+            "type": "object",
+            "required": ["detected", "score", "hit_count", "signals", "threshold", "matches"],
+            "properties": dict(
+                detected=FLAG, score=NUMBER, hit_count=WHOLE, signals=TEXTS, matches=TEXTS, sample_title=TEXT,
+                threshold=_whole(hits_min=WHOLE, score_min=NUMBER, text_max_len=WHOLE, hits_hard=WHOLE),
+            ),
+        },
+        llm_used=FLAG,
+        prompt_version=TEXT,
+        ollama_model=TEXT,
+        ollama_temperature=NUMBER,
+        deterministic=FLAG,
+    ),
+    notes=_whole(note=TEXT, tags=TEXTS),
+)
+PACKAGE_SCHEMA["properties"] |= {
+    "industry": _open(labels=TEXTS, confidence=NUMBER, evidence=OBJECTS),
+    "roles": _open(detected=TEXTS, fit=_open(score=NUMBER, green_flags=TEXTS, red_flags=TEXTS, evidence=OBJECTS)),
+    "error": _open(code=TEXT, message=TEXT),
 }
-PACKAGE_REQUIRED = [
-    "status", "degraded_reason", "schema_version", "run_id", "created_at", "tool_version", "git_sha", "source", "hiring",
-    "links", "next_action", "safety", "notes", "source.source_ref", "source.place_id", "source.canonical_domain",
-    "source.website_source", "source.resolver_notes", "hiring.status", "hiring.confidence", "hiring.signals",
-    "hiring.evidence", "links.maps_url", "links.website_url", "links.careers_urls", "links.ats_urls",
-    "links.contact_url", "safety.robots_respected", "safety.pages_fetched", "safety.skipped_reasons", "safety.errors",
-    "safety.checked_urls", "safety.cookie_wall", "safety.llm_used", "safety.prompt_version", "safety.ollama_model",
-    "safety.ollama_temperature", "safety.deterministic", "safety.cookie_wall.detected", "safety.cookie_wall.score",
-    "safety.cookie_wall.hit_count", "safety.cookie_wall.signals", "safety.cookie_wall.threshold",
-    "safety.cookie_wall.matches", "notes.note", "notes.tags",
-]
 
 
 def _violations(df: DataFrame, key: str, messages: list[Column]) -> DataFrame:
@@ -67,14 +107,4 @@ def signal_violations(df: DataFrame, key: str) -> DataFrame:
 
 def package_violations(df: DataFrame, key: str = "run_id", package: str = "package") -> DataFrame:
     """Violations of the company package contract; ``package`` is the JSON text of a document."""
-    rows = compute_once(df, {"p": F.try_parse_json(package)}).select(key, "p")
-
-    def at(path: str, kind: str) -> Column:
-        return F.try_variant_get("p", f"$.{path}", kind)
-
-    messages = [F.when(F.col("p").isNull(), F.lit("not a JSON document"))]
-    messages += [F.when(F.col("p").isNotNull() & at(c, "variant").isNull(), F.lit(f"missing {c}")) for c in PACKAGE_REQUIRED]
-    for path, allowed in PACKAGE_ENUMS.items():
-        value = at(path, "string")
-        messages.append(F.when(~value.isin(allowed), F.concat(F.lit(f"invalid {path} "), value)))
-    return _violations(rows, key, messages)
+    return schema_violations(df, PACKAGE_SCHEMA, key, package)
