@@ -29,6 +29,8 @@ FIT_ROWS = 100_000
 MIN_DOCS, MIN_GAIN, PREFIXES = 3, 6.0, (4, 5, 6)
 RIDGE, SWAP_PENALTY, STEPS = 0.02, 5.0, 300
 THRESHOLD = 0.3
+#: Features of labelled rows that the driver works on at once.
+BLOCK = 1 << 20
 
 #: Terms of one set may be swapped for each other; each set ends with a neutral word. Fixed values.
 IDENTITY = (
@@ -143,8 +145,44 @@ def _swaps(rows: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def _fit(docs: np.ndarray, at: np.ndarray, labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray, float]], width: int):
+class _Block:
+    """Labels and model features of some rows; work on it needs a few numbers per feature."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        part = pa.Table.from_batches(batches).combine_chunks()
+        lists = part["at"].combine_chunks()
+        self.labels = part["label"].to_numpy().astype(float)
+        self.at = lists.flatten().to_numpy().astype(np.int32)
+        self.counts = np.diff(lists.offsets.to_numpy())
+        self.filled = np.flatnonzero(self.counts)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])[:-1][self.filled]
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.labels), w[-1])
+        if len(self.filled):
+            out[self.filled] += np.add.reduceat(w[self.at], self.starts)
+        return out
+
+    def gradient(self, slope: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.at, np.repeat(slope, self.counts), width)
+
+
+def _blocks(table_: pa.Table) -> list[_Block]:
+    """The rows in blocks of about `BLOCK` features."""
+    out, held, size = [], [], 0
+    for batch in table_.to_batches():
+        held.append(batch)
+        size += len(batch.column("at").flatten())
+        if size >= BLOCK:
+            out.append(_Block(held))
+            held, size = [], 0
+    return [*out, _Block(held)] if held else out
+
+
+def _fit(blocks: list[_Block], pairs: list[tuple[np.ndarray, np.ndarray, float]], width: int):
     """Weights and bias by accelerated gradient steps on log loss, ridge and swap penalty; each step is checked by backtracking."""
+    rows = sum(len(b.labels) for b in blocks)
+    positive = sum(b.labels.sum() for b in blocks)
     strength = np.array([n for _, _, n in pairs], float)
     strength = SWAP_PENALTY * strength / max(1.0, strength.sum())
     # Features that a swap takes away (-1) or adds.
@@ -152,24 +190,27 @@ def _fit(docs: np.ndarray, at: np.ndarray, labels: np.ndarray, pairs: list[tuple
     feature = np.concatenate([np.zeros(0, np.int64), *(x for one, other, _ in pairs for x in (one, other))])
     sign = np.concatenate([np.zeros(0), *(np.full(len(x), s) for one, other, _ in pairs for x, s in ((one, -1.0), (other, 1.0)))])
 
-    def loss(w):
-        margin = np.bincount(docs, w[at], len(labels)) + w[-1]
+    def loss(w, slopes: bool):
         change = np.bincount(which, sign * w[feature], len(pairs))
-        value = np.mean(np.logaddexp(0, margin) - labels * margin) + RIDGE / 2 * (w[:-1] @ w[:-1]) / 100 + strength @ change**2
-        slope = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / len(labels)
-        gradient = np.bincount(at, slope[docs], width + 1)
-        gradient[:-1] += RIDGE / 100 * w[:-1] + 2 * np.bincount(feature, sign * (strength * change)[which], width)
-        gradient[-1] = slope.sum()
+        value = RIDGE / 2 * (w[:-1] @ w[:-1]) / 100 + strength @ change**2
+        gradient = np.append(RIDGE / 100 * w[:-1] + 2 * np.bincount(feature, sign * (strength * change)[which], width), 0.0)
+        for block in blocks:
+            margin = block.margins(w)
+            value += (np.logaddexp(0, margin) - block.labels * margin).sum() / rows
+            if slopes:
+                slope = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - block.labels) / rows
+                gradient[:-1] += block.gradient(slope, width)
+                gradient[-1] += slope.sum()
         return value, gradient
 
     w = np.zeros(width + 1)
-    w[-1] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
-    ahead, rate, k = w.copy(), 1.0, 1.0
-    for _ in range(STEPS):
-        value, gradient = loss(ahead)
+    w[-1] = np.log((positive + 0.5) / (rows - positive + 0.5))
+    ahead, rate, k, last = w.copy(), 1.0, 1.0, np.inf
+    for step in range(STEPS):
+        value, gradient = loss(ahead, True)
         while True:
             new = ahead - rate * gradient
-            if loss(new)[0] <= value - rate / 2 * (gradient @ gradient) or rate < 1e-9:
+            if loss(new, False)[0] <= value - rate / 2 * (gradient @ gradient) or rate < 1e-9:
                 break
             rate /= 2
         k_next = (1 + np.sqrt(1 + 4 * k * k)) / 2
@@ -177,6 +218,10 @@ def _fit(docs: np.ndarray, at: np.ndarray, labels: np.ndarray, pairs: list[tuple
         rate *= 1.2
         if np.abs(gradient).max() < 1e-6:
             break
+        if step % 10 == 9:
+            if last - value < 1e-4 * value:
+                break
+            last = value
     return w[:-1], float(w[-1])
 
 
@@ -209,12 +254,10 @@ def train(rows: DataFrame, limit: int = FIT_ROWS) -> Model:
 
     # Narrow: labels and model features of at most about `limit` rows.
     fit = fit_rows(rows.select("doc_id", "text", "label"), "doc_id", limit).mapInArrow(found, "label int, at array<int>")
-    got = fit.toArrow().combine_chunks()
-    if not got.num_rows:
+    blocks = _blocks(fit.toArrow())
+    if not any(len(b.labels) for b in blocks):
         return Model(model.hashes, np.zeros(len(model.hashes)), -np.inf)
-    labels, lists = got["label"].to_numpy().astype(float), got["at"].combine_chunks()
-    counts = np.diff(lists.offsets.to_numpy())
-    weights, bias = _fit(np.repeat(np.arange(len(labels)), counts), lists.flatten().to_numpy().astype(np.int64), labels, pairs, len(model.hashes))
+    weights, bias = _fit(blocks, pairs, len(model.hashes))
     return Model(model.hashes, weights, bias)
 
 
