@@ -37,31 +37,73 @@ def fold_nordic(c: Column | str) -> Column:
     return F.translate(F.lower(strip(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")))), "äöå", "aoa")
 
 
-def _latin_table() -> tuple[str, str, dict[str, str]]:
-    """Latin letters with diacritics, mapped by their Unicode decomposition."""
-    single, base = [], []
-    several = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "Th", "þ": "th"}
-    stroked = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ł": "L", "ł": "l", "ı": "i"}
-    for point in range(0xC0, 0x250):
-        char = chr(point)
-        plain = stroked.get(char) or "".join(
-            p for p in unicodedata.normalize("NFKD", char) if not unicodedata.combining(p)
-        )
-        if plain != char and len(plain) == 1 and plain.isascii():
-            single.append(char)
-            base.append(plain)
+# Letters and signs whose ASCII form no decomposition gives, as `sign form` pairs.
+_LATIN = "ß ss Æ AE æ ae Œ OE œ oe Þ Th þ th Ø O ø o Đ D đ d Ð D ð d Ł L ł l ı i"
+_GREEK = (
+    "Α A Β B Γ G Δ D Ε E Ζ Z Η E Θ Th Ι I Κ K Λ L Μ M Ν N Ξ X Ο O Π P Ρ R Σ S Τ T Υ U Φ Ph Χ Kh Ψ Ps Ω O "
+    "α a β b γ g δ d ε e ζ z η e θ th ι i κ k λ l μ m ν n ξ x ο o π p ρ r σ s ς s τ t υ u φ ph χ kh ψ ps ω o"
+)
+_CYRILLIC = (
+    "А A Б B В V Г G Д D Е E Ж Zh З Z И I Й I К K Л L М M Н N О O П P Р R С S Т T У U Ф F Х Kh Ц Ts Ч Ch Ш Sh Щ Shch Ъ ' Ы Y Ь ' Э E Ю Iu Я Ia "
+    "а a б b в v г g д d е e ж zh з z и i й i к k л l м m н n о o п p р r с s т t у u ф f х kh ц ts ч ch ш sh щ shch ъ ' ы y ь ' э e ю iu я ia "
+    "Ё Io ё io Є Ie є ie І I і i Ї Yi ї yi Ј J ј j Љ Lj љ lj Њ Nj њ nj Ђ Dj ђ dj Ћ Tsh ћ tsh Џ Dzh џ dzh Ґ G ґ g"
+)
+_SIGNS = "‘ ' ’ ' ‚ , “ \" ” \" „ \" – - — -- … ... € EUR № No ™ (tm) © (c) ® (r) « << » >> ° deg"
+#: Blocks that are looked up: letters and signs of Latin scripts, Greek, Cyrillic, punctuation, currency, letter-like signs, ligatures, full width.
+_BLOCKS = {
+    "latin": [(0xA0, 0x250), (0x1E00, 0x1F00)],
+    "greek": [(0x370, 0x400), (0x1F00, 0x2000)],
+    "cyrillic": [(0x400, 0x530)],
+    "signs": [(0x2000, 0x20C0), (0x2100, 0x2150), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)],
+}
+
+
+def _ascii_table() -> tuple[str, str, dict[str, dict[str, str]]]:
+    """Characters with a one-letter form, those forms, and per block the characters with a longer form.
+
+    A character has the form listed above, else that of its compatibility decomposition without combining marks.
+    """
+    pairs = f"{_LATIN} {_GREEK} {_CYRILLIC} {_SIGNS}".split(" ")
+    listed = dict(zip(pairs[::2], pairs[1::2]))
+
+    def form(char: str) -> str | None:
+        if char in listed:
+            return listed[char]
+        parts = [p for p in unicodedata.normalize("NFKD", char) if not unicodedata.combining(p)]
+        plain = [p if p.isascii() else listed.get(p) for p in parts]
+        return None if not plain or None in plain else "".join(plain)
+
+    single, base, several = [], [], {}
+    for block, ranges in _BLOCKS.items():
+        for char in (chr(point) for low, high in ranges for point in range(low, high)):
+            plain = form(char)
+            if plain and len(plain) == 1:
+                single.append(char)
+                base.append(plain)
+            elif plain:
+                several.setdefault(block, {})[char] = plain
     return "".join(single), "".join(base), several
 
 
-_ACCENTED, _PLAIN, _DIGRAPHS = _latin_table()
+_SINGLE, _BASE, _SEVERAL = _ascii_table()
+
+
+def _block_pattern(block: str) -> str:
+    return "[" + "".join(f"\\u{low:04X}-\\u{high - 1:04X}" for low, high in _BLOCKS[block]) + "]"
 
 
 def to_ascii(c: Column) -> Column:
-    """Transliterate Latin-script letters to ASCII (other scripts are left as they are)."""
-    out = F.translate(c, _ACCENTED, _PLAIN)
-    for char, plain in _DIGRAPHS.items():
-        out = F.replace(out, F.lit(char), F.lit(plain))
-    return out
+    """Transliterate Latin, Greek and Cyrillic letters, common signs and compatibility forms to ASCII; other scripts stay as they are.
+
+    Plain ASCII is passed through after one look; a block's longer forms are replaced only where the text has characters of that block.
+    """
+    out = F.translate(c, _SINGLE, _BASE)
+    for block, forms in _SEVERAL.items():
+        longer = out
+        for char, plain in forms.items():
+            longer = F.replace(longer, F.lit(char), F.lit(plain))
+        out = F.when(c.rlike(_block_pattern(block)), longer).otherwise(out)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), out).otherwise(c)
 
 
 def ordered_tags(c: Column | str) -> Column:

@@ -14,6 +14,7 @@ from hireatlas.sources import overlay_log
 from hireatlas.functions.text import filled
 from hireatlas.functions.urls import clean_domain
 from hireatlas.schemas import conform, require
+from hireatlas.sources.lines import read_lines
 
 
 def read_table(spark: SparkSession, path: str, *, sep: str = ",", multi_line: bool = False, schema: StructType | None = None) -> DataFrame:
@@ -44,10 +45,10 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REGISTRY).json(path)
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Postings from JSON lines or parquet, with ``tags`` as an array."""
+def read_jobs(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Postings from JSON lines or parquet, with ``tags`` as an array; broken lines go to the ``quarantine`` table."""
     if re.search(r"\.jsonl?/?$", path):
-        return spark.read.schema(schemas.JOB).json(path)
+        return read_lines(spark, path, schemas.JOB, quarantine)
     return conform(spark.read.parquet(path), schemas.JOB, keep_extra=True)
 
 
@@ -139,9 +140,9 @@ def read_employees(spark: SparkSession, path: str) -> DataFrame:
     return conform(df, schemas.EMPLOYEES, {"businessId": "business_id"})
 
 
-def read_audit(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """Newest ``limit`` audit events; lines that are not JSON are skipped."""
-    df = spark.read.schema(schemas.AUDIT).option("mode", "DROPMALFORMED").json(path)
+def read_audit(spark: SparkSession, path: str, limit: int, quarantine: str | None = None) -> DataFrame:
+    """Newest ``limit`` audit events; lines that are no events are set aside in the ``quarantine`` table."""
+    df = read_lines(spark, path, schemas.AUDIT, quarantine)
     return df.orderBy(F.col("ts").desc(), F.col("batch_id").desc()).limit(limit)
 
 
@@ -158,9 +159,9 @@ def read_labelled_pages(spark: SparkSession, labels: str, pages: str) -> DataFra
     )
 
 
-def read_golden_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled texts, wrapped as minimal pages."""
-    df = spark.read.schema("id string, url string, text string, label string").json(path)
+def read_golden_texts(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Labelled texts, wrapped as minimal pages; broken lines go to the ``quarantine`` table."""
+    df = read_lines(spark, path, "id string, url string, text string, label string", quarantine)
     html = F.concat(F.lit("<html><body>"), "text", F.lit("</body></html>"))
     return df.select("url", html.alias("html"), F.lower("label").alias("label"))
 
