@@ -234,9 +234,9 @@ BINDINGS: dict[str, tuple[str, list[str]]] = {
             "(translate(coalesce(text, ''), '{}', '()') || ' ' || "
             + pick(
                 "conv_id",
-                "'Sure: {\"hiring_signal\":\"Yes\",\"confidence\":0.8,\"evidence\":\"list\",\"evidence_snippets\":[\"we are hiring now\",\"open roles here\"],\"evidence_urls\":[\"https://a.example/x\"]} Bye'",
-                "'{\"hiring_signal\":\"no\",\"confidence\":0.7,\"evidence\":\"none\",\"evidence_snippets\":[\"no vacancies today\",\" \",\"closed\"],\"evidence_urls\":[\"https://b.example\"]}'",
-                "'{\"hiring_signal\":\"yes\",\"confidence\":0.9,\"evidence\":\"vague\",\"evidence_snippets\":[\"great people\",\"nice office\"],\"evidence_urls\":[\"https://c.example\"]}'",
+                "'Sure: {\"hiring_signal\":\"Yes\",\"confidence\":0.' || ((conv_id + turn) % 10) || ',\"evidence\":\"list ' || turn || '\",\"evidence_snippets\":[\"we are hiring now ' || conv_id || '\",\"open roles here\"],\"evidence_urls\":[\"https://a.example/x' || conv_id || '\"]} Bye'",
+                "'{\"hiring_signal\":\"no\",\"confidence\":0.' || ((conv_id * 3 + turn) % 10) || ',\"evidence\":\"none\",\"evidence_snippets\":[\"no vacancies today\",\" \",\"closed ' || turn || '\"],\"evidence_urls\":[\"https://b.example/' || turn || '\"]}'",
+                "'{\"hiring_signal\":\"yes\",\"confidence\":0.' || ((conv_id * 7) % 10) || ',\"evidence\":\"vague\",\"evidence_snippets\":[\"great people ' || conv_id || '\",\"nice office\"],\"evidence_urls\":[\"https://c.example\"]}'",
                 "'note {\"hiring_signal\":\"yes\",\"confidence\":0.6,\"evidence\":\"one\",\"evidence_snippets\":[\"apply here\"],\"evidence_urls\":[]} end'",
                 "'{\"hiring_signal\":\"unclear\",\"confidence\":0.1,\"evidence\":\"\"}'",
                 "'no json, only { an open brace'",

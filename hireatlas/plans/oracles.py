@@ -873,6 +873,23 @@ STATEMENTS: dict[str, str] = {
         " coalesce(wall, false) AS wall, CASE WHEN outcome IN ('place_id_not_found', 'website_missing') THEN 'Paste official website URL to proceed.' WHEN outcome = 'cookie_wall' THEN 'Cookie wall detected. Open site manually and retry.' ELSE '' END AS next_action,"
         " CASE WHEN NOT live THEN outcome END AS error_code FROM package_live"
     ),
+    "package_schema_violations": (
+        "SELECT page_id, CASE page_id % 14 WHEN 0 THEN 'invalid status odd ' || page_id WHEN 1 THEN 'wrong type hiring.confidence: string' WHEN 2 THEN 'wrong type hiring.evidence[0].snippet: integer'"
+        " WHEN 3 THEN 'missing git_sha' WHEN 4 THEN 'wrong type safety.cookie_wall.threshold.hits_min: number' WHEN 5 THEN 'wrong type notes.tags[1]: null' WHEN 6 THEN 'missing hiring.evidence[1].url'"
+        " WHEN 7 THEN 'missing source.place_id' WHEN 8 THEN 'wrong type safety.llm_used: string' WHEN 9 THEN 'wrong type safety.pages_fetched: array' WHEN 10 THEN 'not a JSON document'"
+        " ELSE 'wrong type links: integer' END AS violation FROM site_pages WHERE page_id % 14 < 12"
+    ),
+    "bad_lines": (
+        "SELECT CASE WHEN k > 4 THEN '' ELSE 'f' || o_orderkey % 2 END AS file, CASE WHEN k > 4 THEN 'row' WHEN k = 2 THEN 'value of another type' ELSE 'no JSON object' END AS reason,"
+        " count(*) AS n_lines FROM (SELECT o_orderkey, o_orderkey % 9 AS k FROM orders) WHERE k <> 3 GROUP BY 1, 2"
+    ),
+    "edit_examples": "SELECT business_id, array_to_string(fields, '|') AS changed_fields FROM changed WHERE len(fields) > 0 ORDER BY business_id LIMIT 5",
+    "industry_filter": f"SELECT business_id, main_business_line FROM companies WHERE {gate('main_business_line', ['62', '1'], ['47', '5.'], 'pass')}",
+    "shortlist_and_excluded": f"SELECT business_id, {excluded('company_form', 'name')} AS excluded_reason FROM companies",
+    "transliterate": (
+        "SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Thessalonike ' WHEN 1 THEN 'Shchiolkovo ' WHEN 2 THEN 'Kiyiv ' WHEN 3 THEN 'Full ' WHEN 4 THEN 'fin EUR'"
+        " WHEN 5 THEN 'Lodz - ' WHEN 6 THEN '東京 ' ELSE 'plain ' END || c_custkey AS ascii FROM customer"
+    ),
     "package_violations": "SELECT CAST(NULL AS VARCHAR) AS run_id, CAST(NULL AS VARCHAR) AS violation FROM site_pages WHERE false",
     "contract_violations": (
         "SELECT answer_id, unnest(list_filter([CASE answer_id % 4 WHEN 1 THEN 'invalid signal perhaps' END, CASE WHEN answer_id % 10 = 0 THEN 'invalid output_format xml' END, CASE WHEN answer_id % 3 = 1 THEN 'invalid list column evidence_snippets' END,"

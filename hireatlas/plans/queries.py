@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hireatlas import rules
+from hireatlas import rules, schemas
 from hireatlas.functions import urls as U, values as V
 from hireatlas.functions.geo import haversine_km
 from hireatlas.functions.keywords import keyword_places, rule_words, snippets_at, tags_at
@@ -20,6 +20,7 @@ from hireatlas.plans import hiring, runs
 from hireatlas.plans.bindings import SITE_PATHS, TAG_RULES, VOCABULARY, bound, table
 from hireatlas.session import configure, materialize
 from hireatlas.sources import readers, writers
+from hireatlas.sources.lines import bad_line_counts, split_lines
 from hireatlas.sources.readers import latest_rows, snapshot_date
 from hireatlas.streaming import streams
 
@@ -386,6 +387,26 @@ def industry_gate(spark, d):
     )
 
 
+@query
+def industry_filter(spark, d):
+    return C.industry_filter(companies(spark, d), "main_business_line", ["62", "1"], ["47", "5."]).select("business_id", "main_business_line")
+
+
+@query
+def shortlist_and_excluded(spark, d):
+    df = companies(spark, d).withColumn("company_form", F.upper(F.coalesce(C.filled("company_form"), F.lit(""))))
+    kept, excluded = C.split_excluded(df)
+    return kept.unionByName(excluded).select("business_id", "excluded_reason")
+
+
+@query
+def transliterate(spark, d):
+    n = F.col("c_custkey").cast("string")
+    k = F.col("c_custkey") % 8
+    words = F.when(k == 0, "Θεσσαλονίκη ").when(k == 1, "Щёлково ").when(k == 2, "Київ ").when(k == 3, "Ｆｕｌｌ ").when(k == 4, "ﬁn €").when(k == 5, "Łódź – ").when(k == 6, "東京 ").otherwise("plain ")
+    return table(spark, d, "customer").select("c_custkey", to_ascii(F.concat(words, n)).alias("ascii"))
+
+
 @query
 def dedup_companies(spark, d):
     df = companies(spark, d)
@@ -565,6 +586,12 @@ def edit_diff_rows(spark, d):
     return O.edit_diff_rows(overlay(spark, d), _after(spark, d)).select("business_id", joined("changed_fields").alias("changed_fields"))
 
 
+@query
+def edit_examples(spark, d):
+    """The first five changed rows of a diff, as a report shows them."""
+    return O.edit_examples(overlay(spark, d), _after(spark, d)).select("business_id", joined("changed_fields").alias("changed_fields"))
+
+
 # --- jobs -------------------------------------------------------------------------------------
 
 
@@ -1040,6 +1067,47 @@ def package_violations(spark, d):
     return contract.package_violations(hiring.package_json(packages(spark, d)))
 
 
+#: A package that keeps its contract, and what breaks it: text to replace, with what, by the remainder of the page number.
+GOOD_PACKAGE = (
+    '{"status":"ok","degraded_reason":"none","schema_version":"1","run_id":"@","created_at":"t","tool_version":"v","git_sha":"g",'
+    '"source":{"source_ref":"x","place_id":"p","canonical_domain":"d","website_source":"places","resolver_notes":""},'
+    '"hiring":{"status":"yes","confidence":0.5,"signals":["s"],"evidence":[{"snippet":"s1","url":"u1"},{"snippet":"s2","url":"u2"}]},'
+    '"links":{"maps_url":"m","website_url":"w","careers_urls":[],"ats_urls":["a"],"contact_url":""},"next_action":"",'
+    '"safety":{"robots_respected":"true","pages_fetched":2,"skipped_reasons":[],"errors":[],"checked_urls":["c"],"cookie_wall":{"detected":false,"score":0.2,'
+    '"hit_count":1,"signals":[],"threshold":{"hits_min":2,"score_min":0.4,"text_max_len":2000,"hits_hard":5},"matches":["m"]},"llm_used":false,'
+    '"prompt_version":"p","ollama_model":"","ollama_temperature":0.1,"deterministic":true},"notes":{"note":"","tags":["a","b"]}}'
+)
+BREAKS = [
+    ('"status":"ok"', '"status":"odd @"'), ('"confidence":0.5', '"confidence":"high"'), ('"snippet":"s1"', '"snippet":@'), ('"git_sha":"g",', ""),
+    ('"hits_min":2', '"hits_min":2.5'), ('"tags":["a","b"]', '"tags":["a",null]'), (',"url":"u2"', ""), ('"place_id":"p",', ""),
+    ('"llm_used":false', '"llm_used":"no"'), ('"pages_fetched":2', '"pages_fetched":[@]'), ('}}', ""), ('"links":{', '"links":7,"rest":{'),
+]
+
+
+@query
+def package_schema_violations(spark, d):
+    k = F.col("page_id") % 14
+    text = F.lit(GOOD_PACKAGE)
+    for i, (old, new) in enumerate(BREAKS):
+        text = F.when(k == i, F.lit(GOOD_PACKAGE.replace(old, new))).otherwise(text)
+    docs = site_pages(spark, d).select("page_id", F.replace(text, F.lit("@"), F.col("page_id").cast("string")).alias("package"))
+    return contract.package_violations(docs, "page_id")
+
+
+@query
+def bad_lines(spark, d):
+    """Lines of an audit log, some broken: how many bad ones per file and reason, and how many rows."""
+    n = F.col("o_orderkey").cast("string")
+    k = F.col("o_orderkey") % 9
+    good = F.concat(F.lit('{"ts":"2024-01-01","batch_id":"b'), n, F.lit('","changed_rows":'), n, F.lit("}"))
+    value = F.when(k == 0, F.concat(F.lit('{"ts":"'), n)).when(k == 1, F.concat(n, F.lit(" rows"))).when(k == 2, F.concat(F.lit('{"batch_id":"'), n, F.lit('","changed_rows":"many"}')))
+    value = value.when(k == 3, F.lit("  ")).when(k == 4, F.concat(F.lit("["), n, F.lit("]"))).otherwise(good)
+    lines = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 2).cast("string")).alias("file"), value.alias("value"))
+    rows, bad = split_lines(lines, schemas.AUDIT)
+    whole = rows.select(F.lit("").alias("file"), F.lit("row").alias("reason"), "batch_id").groupBy("file", "reason").agg(F.count("batch_id").alias("n_lines"))
+    return bad_line_counts(bad).unionByName(whole)
+
+
 @query
 def contract_violations(spark, d):
     df = bound(spark, d, "model_answers")
