@@ -2,6 +2,12 @@
 
 A stage takes the session, its input documents and the folder of the other tables, and returns the rows that stay, with the columns of its
 input; the last one adds a `rate`. Stages are written as Parquet and read again, so a lost executor costs at most one stage.
+
+Null, empty and blank texts are equal, so one of them (the longest, then the smallest id) stays; it is never toxic unless most such
+labelled texts are, never a near copy and never contaminated. Of rows that repeat an id and a text one stays; rows that share an id only
+are judged each by its own text. A row without an id is judged like any other and comes last among equals. Without labels no document is
+toxic and every rate is 1; without benchmark items none is contaminated. Empty tables give an empty result. Further columns of
+documents, whatever their names, are passed through; one that is called `rate` is replaced.
 """
 
 from __future__ import annotations

@@ -21,7 +21,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes of texts that go to a Python worker at once; a task holds a few such batches beside its heap.
+ARROW_BATCH = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

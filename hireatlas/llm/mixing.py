@@ -129,21 +129,27 @@ def fit_steps(members: DataFrame, domains: list[str], targets: Mapping[str, floa
 def membership(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Classifier]:
     """Stored rows `doc_id, body, n_words, p` of every row of docs, and the classifier learned from `labelled` (doc_id, domain)."""
     stats = store(statistics(docs, text, [F.col(doc_id).alias("doc_id"), body(text).alias("body")]), "mixing-statistics")
+    return _members(stats, labelled)
+
+
+def _members(stats: DataFrame, labelled: DataFrame) -> tuple[DataFrame, Classifier]:
     marks = small(store(labelled.select("doc_id", "domain").where("domain IS NOT NULL").distinct(), "mixing-labels"))
-    model = learn(stats.join(marks, "doc_id"))
-    return model.posterior(stats), model
+    model = learn(stats.select("doc_id", "bins").join(marks, "doc_id"))
+    return model.posterior(stats.select("doc_id", "body", "n_words", "bins")), model
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with a `rate` for every row."""
-    members, model = membership(docs, labelled, doc_id, text)
+    kept = [c for c in docs.columns if c != "rate"]
+    # Every row with its statistics: they are worked out once, and no join has to bring the rate to the texts.
+    own = [F.struct(*kept).alias("_row"), F.col(doc_id).alias("doc_id"), body(text).alias("body")]
+    stats = store(statistics(docs, text, own), "mixing-rows")
+    members, model = _members(stats, labelled)
     steps = fit_steps(store(members, "mixing-members"), model.domains, targets)
+    rows = stats.select("_row", "bins")
     if not steps:
-        return docs.withColumn("rate", F.lit(1.0))
-    # The rate follows from the row's own text, so no join has to bring it to the texts.
-    kept = [c for c in docs.columns if c != "rate"]
-    rows = model.posterior(statistics(docs, text, [F.struct(*kept).alias("_row")]))
-    return rows.select("_row.*", rate(steps).alias("rate"))
+        return rows.select("_row.*", F.lit(1.0).alias("rate"))
+    return model.posterior(rows).select("_row.*", rate(steps).alias("rate"))
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
