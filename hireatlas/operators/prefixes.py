@@ -21,7 +21,6 @@ def paths(rules: DataFrame) -> DataFrame:
     """
     nodes = rules.groupBy("host", "prefix").agg(F.min(F.struct("ord", "allow")).alias("r"))
     nodes = nodes.select("host", "prefix", F.struct("r.ord", "r.allow", (F.col("prefix") == "").alias("empty")).alias("first"))
-    nodes = materialize(nodes, "prefix-rules")
     lengths = nodes.groupBy("host").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))  # at most the longest address
     shorter = nodes.join(lengths, "host").select(
         "host", "prefix", F.explode(F.filter("lengths", lambda n: n <= F.length("prefix"))).alias("length")

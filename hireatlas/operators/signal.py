@@ -11,7 +11,7 @@ from hireatlas.functions.text import contains_any, literal_array, strip
 from hireatlas.functions.urls import is_ats_host, is_first_party
 from hireatlas.functions.values import embedded_json, json_text
 from hireatlas.operators.companies import first_per_key
-from hireatlas.operators.once import compute_once
+from hireatlas.operators.once import compute_once, with_fields
 from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, detect_ats, has_job_signal
 
 VERDICT = "struct<signal:string,confidence:double,evidence:string,evidence_snippets:array<string>,evidence_urls:array<string>>"
@@ -28,19 +28,19 @@ def _verdict(signal: str, confidence: float, evidence: Column, found: Column, ur
 
 
 def page_verdict(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Add the verdict columns to pages.
+    """Add the verdict columns to pages. Columns ``title, text, body`` that are there already (`page_parts`) are taken as they are.
 
     The ladder: a board, then structured data, then job phrases backed by two excerpts, else unclear.
     """
     v = vocabulary
     html = F.col("html")
-    parts = ["title", "text", "body"]
-    rows = compute_once(pages, {"_page": page_parts(html, *parts), "_ats": detect_ats(F.col("url"), html)})
-    rows = rows.withColumns({n: F.col(f"_page.{n}") for n in ("title", "text") if n not in pages.columns})
+    absent = [n for n in ("title", "text", "body") if n not in pages.columns]
+    rows = compute_once(pages, {"_ats": detect_ats(F.col("url"), html)})
+    rows = with_fields(rows, page_parts(html, *absent)) if absent else rows
     # The texts differ in noscript blocks only, which phrases count and excerpts do not.
     rows = compute_once(
         rows,
-        {"_words": keyword_places(F.lower("text"), v.evidence), "_phrases": keyword_places(F.lower("_page.body"), v.job_phrases)},
+        {"_words": keyword_places(F.lower("text"), v.evidence), "_phrases": keyword_places(F.lower("body"), v.job_phrases)},
     )
     rows = compute_once(rows, {"_found": snippets_at(F.col("text"), F.col("_words"), v.evidence, 3)})
     none = literal_array([])
@@ -64,7 +64,7 @@ def page_verdict(pages: DataFrame, vocabulary: Vocabulary = DEFAULT_VOCABULARY)
         )
         .otherwise(_verdict("unclear", 0.0, F.lit(""), none, none))
     )
-    kept = [c for c in rows.columns if not c.startswith("_")]
+    kept = [c for c in rows.columns if not c.startswith("_") and (c != "body" or "body" not in absent)]
     return compute_once(rows, {"_v": ladder}).select(*kept, "_v.*")
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hireatlas import rules
 from hireatlas.functions.keywords import keyword_places, snippets_at
+from hireatlas.functions.markup import page_parts
 from hireatlas.functions.text import filled, literal_array, strip
 from hireatlas.functions.urls import clean_domain, maps_host_allowed, place_id
 from hireatlas.operators.companies import last_row
 from hireatlas.operators.crawl import access_gate, site_candidates
-from hireatlas.operators.once import compute_once
-from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wall, page_text
+from hireatlas.operators.once import compute_once, with_fields
+from hireatlas.operators.pages import DEFAULT_VOCABULARY, Vocabulary, cookie_wall
 from hireatlas.operators.signal import (
     evidence_downgrade, evidence_gate, evidence_pairs, page_verdict, prompt_version, signal_rank,
 )
@@ -68,7 +69,8 @@ def scan(
     keys = materialize(pages.select("page_id", "url"), "page-keys")
     wanted = site_candidates(companies, keys, paths=paths, limit=max_urls)
     gated = materialize(access_gate(wanted, access_rules, allow_domains, "domain"), "scan-candidates")
-    texts = page_text(landed_pages(gated.where("allowed"), pages).select("page_id", "url", "html"))
+    asked = landed_pages(gated.where("allowed"), pages).select("page_id", "url", "html")
+    texts = with_fields(asked, page_parts(F.col("html"), "title", "text", "body"))
     judged = page_verdict(cookie_wall(texts, vocabulary), vocabulary)
     verdict = ["signal", "confidence", "evidence", "evidence_snippets", "evidence_urls"]
     walls = ["is_wall", "wall_hits", "wall_score", "wall_matches", "wall_signals"]
