@@ -203,7 +203,7 @@ def jobs_by_tag(jobs: DataFrame, limit: int = 50) -> DataFrame:
 
 def map_bounds(companies: DataFrame) -> DataFrame:
     """Centre (median and mean) and box of the located companies, with a fallback centre."""
-    rows = companies.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.lit(1).alias("_all"), "lat", "lon")
+    rows = materialize(companies.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.lit(1).alias("_all"), "lat", "lon"), "located-rows")
     middle = grouped_median(rows, ["_all"], {"median_lat": "lat", "median_lon": "lon"}).drop("_all")
     box = rows.agg(
         *[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))],

@@ -67,7 +67,7 @@ def scan(
     """
     # Addresses are matched over a narrow stored table; the HTML is read once, for the pages that are asked for.
     keys = materialize(pages.select("page_id", "url"), "page-keys")
-    wanted = site_candidates(companies, keys, paths=paths, limit=max_urls)
+    wanted = materialize(site_candidates(companies, keys, paths=paths, limit=max_urls), "scan-wanted")
     gated = materialize(access_gate(wanted, access_rules, allow_domains, "domain"), "scan-candidates")
     asked = landed_pages(gated.where("allowed"), pages).select("page_id", "url", "html")
     texts = with_fields(asked, page_parts(F.col("html"), "title", "text", "body"))
