@@ -7,11 +7,13 @@ of the path: with Pe the block probability of a node and Pw = (Pe + product of t
 with weight Pe / (2 Pw) and leaves the rest to the next longer context. The log-probability of a text is the sum over its bytes.
 
 Plan. Tasks count (context, byte) keys of all documents and Spark sums them; held-out documents add keys with count 0, so that every
-key that will be looked up is there, without teaching anything. Keys are dealt out by their two most recent context bytes, so
-each task holds whole subtrees and works them out bottom-up; the two top levels (at most 257 x 255 nodes) are finished on the
-driver. The second pass mixes top-down into one log-probability per key. That table is sent to the tasks if its counted rows allow it;
-beyond that, key counts per document are joined with it by a shuffle. The base is counted over the same training texts: words with
-at least 1 / `HEAVY` of all tokens (so at most HEAVY words) are sent to the tasks, the others are joined.
+key that will be looked up is there, without teaching anything. Keys are dealt out and sorted by their two most recent context bytes
+(three where two have more than `HOT_KEYS` keys), so each task reads whole subtrees one after the other and works them out bottom-up;
+the levels above (at most 257 contexts, and the hot pairs) are finished on the driver. The second pass mixes top-down into one
+log-probability per key. That table is sent to the tasks if its counted rows allow it. Beyond that, texts are dealt into blocks of
+`BLOCK_BYTES`; a block asks for each of its distinct keys once, and the entries come to it by a join, so a key is asked for at most once
+per block, however often it occurs. The base is counted over the same training texts: words with at least 1 / `HEAVY` of all tokens (so
+at most HEAVY words) are sent to the tasks, the others are joined.
 
 A null text counts as empty: it has the end token only. Rows with a null id are training rows. Repeated rows count each time. Without
 training texts the base is log10(1) and every byte decision is 1/2. An empty table gives an empty result; other columns are not read.
@@ -19,8 +21,11 @@ training texts the base is log10(1) and every byte decision is 1/2. An empty tab
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,12 @@ DEPTH = 5
 HEAVY = 1 << 17
 #: Keys of the model that may be sent to every task (12 bytes each).
 TABLE_ROWS = 4_000_000
+#: Text that shares one set of model entries where the model is too long to be sent to every task.
+BLOCK_BYTES = 16 << 20
+#: Keys of two most recent context bytes that one task works on; subtrees with more are split by the third byte.
+HOT_KEYS = 1 << 20
+#: Keys of whole subtrees that are worked on at once.
+PIECE = 1 << 18
 #: Distinct keys a task gathers before it passes them on.
 GATHER = 1 << 21
 END = 0xFF
@@ -57,6 +68,12 @@ def _firsts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last position of each run of equal values."""
+    edges = np.append(_firsts(values), len(values))
+    return zip(edges[:-1].tolist(), edges[1:].tolist())
+
+
 class _Sums:
     """Counts per key, gathered in a task."""
 
@@ -184,69 +201,126 @@ def _tree(keys: np.ndarray, counts: np.ndarray, depth: int, least: int, bit: int
     return levels
 
 
-def _subtrees(grams: DataFrame, depth: int) -> DataFrame:
-    return grams.select("key", "n").repartition(F.shiftright("key", 8 * (depth - 1)))
+def _pair(depth: int) -> Column:
+    """The two most recent context bytes of a key."""
+    return F.shiftright("key", 8 * (depth - 1))
+
+
+def _hot_pairs(grams: DataFrame, depth: int, hot_keys: int) -> list[int]:
+    """The pairs of most recent bytes with more than `hot_keys` keys (of at most 65,536 pairs)."""
+    if depth == 2:
+        return []
+    return [r.pair for r in grams.groupBy(_pair(depth).alias("pair")).count().where(F.col("count") > hot_keys).collect()]
+
+
+def _subtrees(grams: DataFrame, depth: int, hot: list[int]) -> DataFrame:
+    root = _pair(depth)
+    if hot:
+        root = F.when(root.isin(hot), F.shiftright("key", 8 * (depth - 2))).otherwise(root)
+    return grams.select("key", "n").repartition(root).sortWithinPartitions("key")
+
+
+def _pieces(batches, depth: int, hot: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Keys and counts of whole subtrees, some at a time, and the depth of their roots; the rows of a task come sorted by key."""
+    wide_pairs = np.array(hot, np.uint64)
 
+    def whole(keys, counts, last):
+        pair = keys >> np.uint64(8 * (depth - 1))
+        wide = np.isin(pair, wide_pairs)
+        end = len(keys)
+        if not last:  # the last subtree may go on
+            root = np.where(wide, keys >> np.uint64(8 * max(depth - 2, 0)), pair << np.uint64(8))
+            end = int(np.searchsorted(root, root[-1]))
+        for least, own in ((2, ~wide[:end]), (3, wide[:end])):
+            if own.any():
+                yield keys[:end][own], counts[:end][own], least
+        return keys[end:], counts[end:]
 
-def _partition(batches) -> tuple[np.ndarray, np.ndarray]:
-    """The keys and counts of a task, by key."""
-    got = [(b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()) for b in batches]
-    if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return _merge(*(np.concatenate(x) for x in zip(*got)))
+    parts, size, enough = [], 0, PIECE
+    for batch in batches:
+        parts.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+        size += batch.num_rows
+        if size > enough:
+            left = yield from whole(*(np.concatenate(x) for x in zip(*parts)), False)
+            parts, size = [left], len(left[0])
+            enough = max(PIECE, 2 * size)
+    if size:
+        yield from whole(*(np.concatenate(x) for x in zip(*parts)), True)
 
 
-def _top_levels(grams: DataFrame, depth: int) -> list[dict[int, _Level]]:
-    """Per bit position the levels of depth 1 and 0, whose products over longer contexts come from the tasks."""
+class _Children:
+    """Sums of log-probabilities of the next longer contexts, by node, in place of a level."""
+
+    def __init__(self, nodes: np.ndarray, log_pw: np.ndarray):
+        self.nodes, self.log_pw = nodes, log_pw
+
+    def parents(self, bit: int) -> np.ndarray:
+        return self.nodes
+
+
+def _top_levels(grams: DataFrame, depth: int, hot: list[int]) -> list[dict[int, _Level]]:
+    """Per bit position the levels of depth 1 and 0, and depth 2 of the hot pairs; the products over longer contexts come from the tasks."""
 
     def run(batches):
-        keys, counts = _partition(batches)
-        if not len(keys):
-            return
-        for bit in range(8):
-            level = _tree(keys, counts, depth, 2, bit)[2]
-            parents, index = np.unique(level.parents(bit), return_inverse=True)
-            sums = np.bincount(index, level.log_pw, len(parents))
-            yield pa.record_batch({"bit": pa.array([bit] * len(parents), pa.int32()), "node": parents.view(np.int64), "children": sums})
-
-    sums = _subtrees(grams, depth).mapInArrow(run, "bit int, node long, children double").groupBy("bit", "node").agg(F.sum("children").alias("children")).toArrow()
-    pairs = (
-        grams.groupBy(((F.shiftright("key", 8 * depth) * 256) + F.col("key").bitwiseAND(0xFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    )  # at most 65,536 rows
-    order = np.argsort(pairs["key"].to_numpy())
-    keys, counts = pairs["key"].to_numpy()[order].view(np.uint64), pairs["n"].to_numpy()[order]
+        for keys, counts, least in _pieces(batches, depth, hot):
+            for bit in range(8):
+                level = _tree(keys, counts, depth, least, bit)[least]
+                parents, index = np.unique(level.parents(bit), return_inverse=True)
+                sums = np.bincount(index, level.log_pw, len(parents))
+                yield pa.record_batch({
+                    "depth": pa.array([least - 1] * len(parents), pa.int32()),
+                    "bit": pa.array([bit] * len(parents), pa.int32()),
+                    "node": parents.view(np.int64),
+                    "children": sums,
+                })
+
+    sums = (
+        _subtrees(grams, depth, hot)
+        .mapInArrow(run, "depth int, bit int, node long, children double")
+        .groupBy("depth", "bit", "node")
+        .agg(F.sum("children").alias("children"))
+        .toArrow()
+    )
+    of, bits, nodes, children = (sums[c].to_numpy() for c in ("depth", "bit", "node", "children"))
+
+    def counted(rows: DataFrame, context: Column) -> tuple[np.ndarray, np.ndarray]:
+        got = rows.groupBy((context * 256 + F.col("key").bitwiseAND(0xFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        order = np.argsort(got["key"].to_numpy())
+        return got["key"].to_numpy()[order].view(np.uint64), got["n"].to_numpy()[order]
+
+    keys, counts = counted(grams, F.shiftright("key", 8 * depth))  # at most 65,536 rows
+    pairs = counted(grams.where(_pair(depth).isin(hot)), _pair(depth)) if hot else None  # at most 256 rows a pair
     out = []
     for bit in range(8):
-        own = sums["bit"].to_numpy() == bit
-        node = np.argsort(sums["node"].to_numpy()[own])
-        # Depth 2 as the sum of its log-probabilities per node of depth 1.
-        below = _Level.__new__(_Level)
-        below.log_pw = sums["children"].to_numpy()[own][node]
-        at = sums["node"].to_numpy()[own][node].view(np.uint64)
-        below.parents = lambda _, at=at: at
-        one = _Level(keys, counts, bit, below)
-        out.append({1: one, 0: _Level(*_merge(_shorten(keys, 1), counts), bit, one)})
+        at, value = (x[(of == 1) & (bits == bit)] for x in (nodes.view(np.uint64), children))
+        levels = {}
+        if hot:
+            own = (of == 2) & (bits == bit)
+            two = levels[2] = _Level(*pairs, bit, _Children(nodes.view(np.uint64)[own], children[own]))
+            at, value = np.concatenate([at, two.parents(bit)]), np.concatenate([value, two.log_pw])
+        one = levels[1] = _Level(keys, counts, bit, _Children(at, value))
+        levels[0] = _Level(*_merge(_shorten(keys, 1), counts), bit, one)
+        out.append(levels)
     return out
 
 
-def _log_table(grams: DataFrame, depth: int) -> DataFrame:
+def _log_table(grams: DataFrame, depth: int, hot_keys: int = HOT_KEYS) -> DataFrame:
     """`key, logp`: log10 of the mixed probability of the byte after its context."""
-    top = _top_levels(grams, depth)
+    hot = _hot_pairs(grams, depth, hot_keys)
+    top = _top_levels(grams, depth, hot)
 
     def run(batches):
-        keys, counts = _partition(batches)
-        if not len(keys):
-            return
-        total = np.zeros(len(keys))
-        for bit in range(8):
-            levels = _tree(keys, counts, depth, 2, bit) | top[bit]
-            p = None
-            for d in range(depth, -1, -1):
-                p = levels[d].mix(_shorten(keys, depth - d), bit, p)
-            total += np.log10(p)
-        yield pa.record_batch({"key": keys.view(np.int64), "logp": total.astype(np.float32)})
+        for keys, counts, least in _pieces(batches, depth, hot):
+            total = np.zeros(len(keys))
+            for bit in range(8):
+                levels = top[bit] | _tree(keys, counts, depth, least, bit)
+                p = None
+                for d in range(depth, -1, -1):
+                    p = levels[d].mix(_shorten(keys, depth - d), bit, p)
+                total += np.log10(p)
+            yield pa.record_batch({"key": keys.view(np.int64), "logp": total.astype(np.float32)})
 
-    return _subtrees(grams, depth).mapInArrow(run, "key long, logp float")
+    return _subtrees(grams, depth, hot).mapInArrow(run, "key long, logp float")
 
 
 class _Lookup:
@@ -302,31 +376,63 @@ def _arrays(df: DataFrame, value: str) -> dict[str, np.ndarray]:
     return {"keys": got["key"].to_numpy().view(np.uint64), "values": got[value].to_numpy()}
 
 
-def _joined_scores(rows: DataFrame, logs: DataFrame, depth: int) -> DataFrame:
-    """`id, body, joined`: scores by a shuffle join, for a table too long to be sent around."""
+def _blocks(rows: DataFrame, logs: DataFrame, depth: int, block_bytes: int) -> DataFrame:
+    """Model entries (`block, key, logp`) and texts (`key` is null) by block, the entries of a block first."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "body", "held", "text"]
 
-    def run(batches):
+    def deal(batches):
+        done = 0
         for batch in batches:
-            for first, _, data, offsets in chunks(batch.column("text")):
-                keys, ends = _keys(data, offsets, depth)
-                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
-                order = np.lexsort((keys, doc))
-                keys, doc = keys[order], doc[order]
-                at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]))
-                owner = pa.array(first + doc[at])
-                yield pa.record_batch(
-                    [batch.column("doc_id").take(owner), batch.column("body").take(owner), pa.array(keys[at].view(np.int64)), pa.array(np.diff(np.append(at, len(keys))))],
-                    ["id", "body", "key", "times"],
-                )
+            ends = done + np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            before = np.concatenate([[done], ends[:-1]]).astype(np.int64)
+            done = int(ends[-1]) if len(ends) else done
+            block = (batch.column("task").to_numpy().astype(np.int64) << 32) | (before[: len(ends)] // block_bytes)
+            yield pa.record_batch([batch.column(c) for c in names] + [pa.array(block)], [*names, "block"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    grams = rows.select("doc_id", "body", "text").mapInArrow(run, f"id {kind}, body long, key long, times long")
-    once = grams.groupBy("id", "body", "key").agg(F.max("times").alias("times"))  # repeated rows say the same
-    return once.join(logs, "key").groupBy("id", "body").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("joined"))
+    def wanted(batches):
+        sums, own = _Sums(), None
+
+        def asked():
+            keys, _ = sums.merge()
+            sums.parts, sums.size = [], 0
+            for i in range(0, len(keys), 1 << 18):
+                some = keys[i : i + (1 << 18)].view(np.int64)
+                yield pa.record_batch({"block": np.full(len(some), own, np.int64), "key": some})
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            for first, last in _runs(blocks):
+                if blocks[first] != own:
+                    yield from asked()
+                    own = int(blocks[first])
+                for _, _, data, offsets in chunks(batch.column("text").slice(first, last - first)):
+                    keys = np.unique(_keys(data, offsets, depth)[0])
+                    sums.add(keys, np.zeros(len(keys), np.int64))
+                    if sums.full():
+                        yield from asked()
+        yield from asked()
+
+    # Stored, so that texts and requests agree on the blocks.
+    dealt = rows.select(*names, F.spark_partition_id().alias("task")).mapInArrow(deal, f"doc_id {kind}, body long, held boolean, text string, block long")
+    dealt = store(dealt, "lm-blocks")
+    entries = dealt.select("block", "text").mapInArrow(wanted, "block long, key long").join(logs, "key")
+    return (
+        entries.unionByName(dealt, allowMissingColumns=True)
+        .repartition("block")
+        .sortWithinPartitions("block", F.col("key").isNull(), "key")
+    )
 
 
 def score_texts(
-    docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, table_rows: int = TABLE_ROWS
+    docs: DataFrame,
+    held: Column,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    depth: int = DEPTH,
+    table_rows: int = TABLE_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """`doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`; held rows teach nothing."""
     if not 2 <= depth <= 6:
@@ -336,10 +442,10 @@ def score_texts(
     )
     counted = store(_count(rows.select("held", "text"), depth), "lm-counts")
     grams, words = counted.where("NOT word").select("key", "n"), counted.where("word").select("key", "n")
-    logs = store(_log_table(grams, depth), "lm-table")
+    logs = store(_log_table(grams, depth, hot_keys), "lm-table")
     spread = logs.count() <= table_rows
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(_arrays(logs, "logp") if spread else None)
+    model = spark.sparkContext.broadcast(_arrays(logs, "logp")) if spread else None
 
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("distinct")).first()
     total, floor = size["all"], size["all"] + size["distinct"] + 1
@@ -348,37 +454,55 @@ def score_texts(
     n_end = ends["n"] if ends else 0
     heavy = spark.sparkContext.broadcast(often)
 
-    def run(batches):
-        table_, common = _Lookup(model.value) if spread else None, _Lookup(heavy.value)
+    def scores(batch, common: _Lookup, find: Callable[[np.ndarray], np.ndarray]):
+        for first, last, data, offsets in chunks(batch.column("text")):
+            own = Words(data, offsets)
+            seen = common.get(own.hash, 0)
+            rare = seen == 0
+            logp = np.where(rare, 0.0, np.log10((seen + 1) / floor))
+            count = last - first
+            tails = np.concatenate([[0], np.cumsum(np.bincount(own.doc[rare], minlength=count))]).astype(np.int32)
+            symbols, stops = _keys(data, offsets, depth)
+            yield pa.record_batch(
+                [batch.column(c).slice(first, count) for c in ("doc_id", "body", "held")]
+                + [
+                    pa.array(np.diff(offsets)),
+                    pa.array(own.counts + 1),
+                    pa.array(np.bincount(own.doc[~rare], minlength=count) + (n_end > 0)),
+                    pa.array(np.bincount(own.doc, logp, count) + np.log10((n_end + 1) / floor)),
+                    pa.array(np.add.reduceat(find(symbols), stops[:-1], dtype=np.float64)),
+                    pa.ListArray.from_arrays(pa.array(tails), pa.array(own.hash[rare].view(np.int64))),
+                ],
+                ["doc_id", "body", "held", "n_bytes", "n_tokens", "known", "base", "score", "rare"],
+            )
+
+    def with_table(batches):
+        logs_, common = _Lookup(model.value), _Lookup(heavy.value)
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column("text")):
-                own = Words(data, offsets)
-                seen = common.get(own.hash, 0)
-                rare = seen == 0
-                logp = np.where(rare, 0.0, np.log10((seen + 1) / floor))
-                count = last - first
-                tails = np.concatenate([[0], np.cumsum(np.bincount(own.doc[rare], minlength=count))]).astype(np.int32)
-                if table_ is None:
-                    score = np.zeros(count)
-                else:
-                    symbols, stops = _keys(data, offsets, depth)
-                    score = np.add.reduceat(table_.get(symbols, np.float32(np.nan)), stops[:-1], dtype=np.float64)
-                yield pa.record_batch(
-                    [batch.column(c).slice(first, count) for c in ("doc_id", "body", "held")]
-                    + [
-                        pa.array(np.diff(offsets)),
-                        pa.array(own.counts + 1),
-                        pa.array(np.bincount(own.doc[~rare], minlength=count) + (n_end > 0)),
-                        pa.array(np.bincount(own.doc, logp, count) + np.log10((n_end + 1) / floor)),
-                        pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(tails), pa.array(own.hash[rare].view(np.int64))),
-                    ],
-                    ["doc_id", "body", "held", "n_bytes", "n_tokens", "known", "base", "score", "rare"],
-                )
+            yield from scores(batch, common, lambda keys: logs_.get(keys, np.float32(np.nan)))
+
+    def by_block(batches):
+        common, own, parts, entries = _Lookup(heavy.value), None, [], None
+        for batch in batches:
+            blocks, texts = batch.column("block").to_numpy(), batch.column("key").is_null().to_numpy(zero_copy_only=False)
+            for first, last in _runs(2 * blocks + texts):
+                if blocks[first] != own:
+                    own, parts, entries = blocks[first], [], None
+                part = batch.slice(first, last - first)
+                if not texts[first]:
+                    parts.append((part.column("key").to_numpy().view(np.uint64), part.column("logp").to_numpy()))
+                    continue
+                if entries is None:
+                    entries, parts = [np.concatenate(x) for x in zip(*parts)], []
+                yield from scores(part, common, lambda keys, entries=entries: entries[1][np.searchsorted(entries[0], keys)])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, body long, held boolean, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>")
+    result = f"doc_id {kind}, body long, held boolean, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>"
+    scored = rows.mapInArrow(with_table, result) if spread else _blocks(rows, logs, depth, block_bytes).mapInArrow(by_block, result)
     scored = store(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    for sent in (model, heavy):
+        if sent is not None:
+            sent.destroy()
     tail = (
         scored.select("row", F.explode("rare").alias("key"))
         .join(words, "key", "left")
@@ -386,9 +510,6 @@ def score_texts(
         .agg(F.count("n").alias("tail_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(floor)))).alias("tail_base"))
     )
     out = scored.drop("rare").join(tail, "row", "left")
-    if not spread:
-        by_join = _joined_scores(rows, logs, depth).withColumnRenamed("body", "_body")
-        out = out.join(by_join, out["doc_id"].eqNullSafe(by_join["id"]) & (out["body"] == by_join["_body"])).withColumn("score", F.col("joined"))
     return out.select(
         "doc_id",
         F.col("held").alias("held_out"),

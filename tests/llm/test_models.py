@@ -88,18 +88,36 @@ def brute_base(train, texts):
 LM_TEXTS = [(i, f"The cat {i % 3} sat on THE mat, été {'a' * (i % 5)}") for i in range(12)] + [(20, None), (21, ""), (22, "zzz"), (22, "zzz"), (None, "the cat")]
 
 
-@pytest.mark.parametrize("depth", [2, 3])
-def test_language_model_is_context_tree_weighting(spark, depth):
+#: Sent to the tasks, joined by block, in many blocks, and with subtrees split by their third byte.
+LM_WAYS = [(2, {}), (2, {"table_rows": 0}), (3, {"hot_keys": 6}), (3, {"table_rows": 0, "block_bytes": 64, "hot_keys": 0}), (5, {}), (5, {"table_rows": 0, "hot_keys": 6})]
+
+
+@pytest.mark.parametrize(("depth", "limits"), LM_WAYS)
+def test_language_model_is_context_tree_weighting(spark, depth, limits):
     docs = spark.createDataFrame(LM_TEXTS, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS body", "2 AS held", "3 AS key")
     held = F.col("doc_id") % 4 == 2
     train = [t for i, t in LM_TEXTS if i is None or i % 4 != 2]
     texts = [t for _, t in LM_TEXTS]
     expected = [(i, *base, s) for (i, _), base, s in zip(LM_TEXTS, brute_base(train, texts), brute_ctw(train, texts, depth))]
-    for rows in (10**6, 0):  # sent to the tasks, and joined by a shuffle
-        got = language_model.score_texts(docs, held, depth=depth, table_rows=rows).select("doc_id", "n_tokens", "n_known", "base_score", "score").collect()
-        for one, two in zip(sorted(map(tuple, got), key=str), sorted(expected, key=str), strict=True):
-            assert one[:3] == two[:3]
-            assert one[3:] == pytest.approx(two[3:], rel=1e-5)
+    got = language_model.score_texts(docs, held, depth=depth, **limits).select("doc_id", "n_tokens", "n_known", "base_score", "score").collect()
+    for one, two in zip(sorted(map(tuple, got), key=str), sorted(expected, key=str), strict=True):
+        assert one[:3] == two[:3]
+        assert one[3:] == pytest.approx(two[3:], rel=1e-5)
+
+
+def test_subtrees_come_whole(monkeypatch):
+    """Sorted rows in small batches, with one pair of bytes split by the third, give each subtree once and whole."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 4, (3000, 6)) @ (256 ** np.arange(6)).astype(np.int64))
+    hot = int(keys[0] >> 32)
+    batches = [pa.record_batch({"key": keys[i : i + 70], "n": np.ones(len(keys[i : i + 70]), np.int64)}) for i in range(0, len(keys), 70)]
+    monkeypatch.setattr(language_model, "PIECE", 100)
+    seen, roots = [], []
+    for some, counts, least in language_model._pieces(iter(batches), 5, [hot]):
+        assert len(some) == len(counts) and set((some >> np.uint64(32)) == hot) == {least == 3}
+        seen.append(some)
+        roots += set((some >> np.uint64(24 if least == 3 else 32)).tolist())
+    assert sorted(np.concatenate(seen).tolist()) == keys.tolist() and len(roots) == len(set(roots))
 
 
 def test_language_model_adds_up_to_one(spark):
