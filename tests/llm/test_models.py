@@ -116,7 +116,7 @@ def test_subtrees_come_whole(monkeypatch):
     for some, counts, least in language_model._pieces(iter(batches), 5, [hot]):
         assert len(some) == len(counts) and set((some >> np.uint64(32)) == hot) == {least == 3}
         seen.append(some)
-        roots += set((some >> np.uint64(24 if least == 3 else 32)).tolist())
+        roots += {(least, root) for root in (some >> np.uint64(24 if least == 3 else 32)).tolist()}
     assert sorted(np.concatenate(seen).tolist()) == keys.tolist() and len(roots) == len(set(roots))
 
 
