@@ -8,7 +8,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Only runtime SQL settings that the operators rely on; sizes are left to the cluster.
+# Only runtime SQL settings that the operators rely on; other sizes are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +19,9 @@ SETTINGS = {
     # Keyed stream state lies in RocksDB; a batch saves its changes, not the whole state.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Bytes that go to a Python worker at once. A task has a worker for each step in Python, and each holds a few such batches, so what an
+    # executor's Python takes depends on its cores and no longer on how many pages a partition has.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
