@@ -28,3 +28,17 @@ def test_a_partition_of_pages_reaches_a_worker_in_batches_of_a_few_mb(spark, mon
     monkeypatch.setattr(markup, "read_parts", pages)
     monkeypatch.setattr(keywords, "first_places", texts)
     assert query(pages_of(spark, 2000, 700)).count() == 2000  # 32 MB in one partition
+
+
+@pytest.mark.parametrize("repeats, given", [(700, True), (1, False)])
+def test_a_batch_of_pages_leaves_nothing_behind(spark, monkeypatch, repeats, given):
+    def told():
+        raise RuntimeError("memory given back")
+
+    monkeypatch.setattr(markup, "give_back", told)
+    read = pages_of(spark, 50, repeats).select(markup.page_parts(F.col("html"), "text")["text"].alias("text"))
+    if given:
+        with pytest.raises(Exception, match="memory given back"):
+            read.collect()
+    else:
+        assert len(read.collect()) == 50
