@@ -13,6 +13,8 @@ from hireatlas.operators.pyramid import nearest
 
 # The longest station list that may be compiled into a plan.
 COMPILED_STATIONS = 10_000
+#: Distances to a list of so many stations are written out one by one.
+WRITTEN_OUT = 100
 
 
 def nearest_station(companies: DataFrame, stations: DataFrame, compiled: bool = True) -> DataFrame:
@@ -32,32 +34,42 @@ def nearest_station(companies: DataFrame, stations: DataFrame, compiled: bool =
     km = haversine_km(near["lat"], near["lon"], F.col("lat"), F.col("lon"))
     # The position of a company is worked out once, not once per station.
     placed = companies.withColumns(dict(zip(["_x", "_y", "_z"], unit_vector(F.col("lat"), F.col("lon")))))
-    found = compute_once(placed, {"_near": _nearest_inline(listed)})
-    return compute_once(found, {"nearest_station": near["station_name"], "distance_km": km}).drop("_near", "_x", "_y", "_z")
+    points, chords = _listed(listed)
+    measured = compute_once(placed, {"_chords": chords})
+    first_least = F.array_position("_chords", F.array_min("_chords")).cast("int")
+    found = compute_once(measured, {"_near": F.try_element_at(points, first_least)})
+    return compute_once(found, {"nearest_station": near["station_name"], "distance_km": km}).drop("_near", "_chords", "_x", "_y", "_z")
 
 
-_POINTS = "array<struct<x:double,y:double,z:double,ord:bigint,station_name:string,lat:double,lon:double>>"
+_POINTS = "array<struct<x:double,y:double,z:double,station_name:string,lat:double,lon:double>>"
 
 
-def _nearest_inline(stations) -> Column:
-    """Closest entry of a literal station list, by straight-line distance; one map-only pass."""
+def _listed(stations) -> tuple[Column, Column]:
+    """A literal station list, and the squares of the straight lines from a company to its entries, null without a location.
+
+    These are plain numbers in the order of the list, so the first least one is that of the first listed station. Those of a short
+    list are written out one by one, which Spark compiles; a function over a long list is called entry by entry.
+    """
     rows = []
-    for s in stations:
+    for s in sorted(stations, key=lambda s: [(v is not None, v) for v in (s["ord"], s["station_name"], s["lat"], s["lon"])]):
         lat, lon = math.radians(s["lat"]), math.radians(s["lon"])
         rows.append(
             {
                 "x": math.cos(lat) * math.cos(lon), "y": math.cos(lat) * math.sin(lon), "z": math.sin(lat),
-                "ord": s["ord"], "station_name": s["station_name"], "lat": s["lat"], "lon": s["lon"],
+                "station_name": s["station_name"], "lat": s["lat"], "lon": s["lon"],
             }
         )
     points = F.from_json(F.lit(json.dumps(rows)), _POINTS)
 
-    def option(p: Column) -> Column:
-        dx, dy, dz = p["x"] - F.col("_x"), p["y"] - F.col("_y"), p["z"] - F.col("_z")
-        return F.struct((dx * dx + dy * dy + dz * dz).alias("chord"), *[p[n].alias(n) for n in ("ord", "station_name", "lat", "lon")])
+    def chord(x: Column, y: Column, z: Column) -> Column:
+        dx, dy, dz = x - F.col("_x"), y - F.col("_y"), z - F.col("_z")
+        return dx * dx + dy * dy + dz * dz
 
-    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    return F.when(located, F.array_min(F.transform(points, option)))
+    if 0 < len(rows) <= WRITTEN_OUT:
+        chords = F.array(*[chord(F.lit(r["x"]), F.lit(r["y"]), F.lit(r["z"])) for r in rows])
+    else:
+        chords = F.transform(points, lambda p: chord(p["x"], p["y"], p["z"]))
+    return points, F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), chords)
 
 
 def _cells(stations: DataFrame, size_km: float) -> DataFrame:

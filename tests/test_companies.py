@@ -126,6 +126,20 @@ def test_nearest_both_ways_and_radius_agree_with_brute_force(spark):
     assert pairs == {(i, n) for i, la, lo in companies if la is not None for _, n, x, y in stations if km(la, lo, x, y) <= 900.0}
 
 
+def test_nearest_is_the_same_for_a_list_written_out_and_a_long_one(spark, monkeypatch):
+    stations = [(9, "late", 10.0, 20.0), (3, "early", 10.0, 20.0), (None, "unnumbered", -40.0, 7.0), (5, "numbered", -40.0, 7.0), (1, None, 60.0, 25.0), (7, "off", None, 25.0)]
+    s = spark.createDataFrame(stations, "ord long, station_name string, lat double, lon double")
+    nan = float("nan")
+    places = [("a", 10.0, 20.5), ("b", -41.0, 7.0), ("c", 61.0, 25.0), ("d", None, 1.0), ("e", nan, 1.0)]
+    c = spark.createDataFrame(places, "business_id string, lat double, lon double")
+    results = []
+    for limit in (100, 0):
+        monkeypatch.setattr(nearby, "WRITTEN_OUT", limit)
+        results.append({r["business_id"]: r["nearest_station"] for r in nearby.nearest_station(c, s).collect()})
+    assert results[0] == results[1] == {"a": "early", "b": "unnumbered", "c": None, "d": None, "e": "unnumbered"}
+    assert {r["nearest_station"] for r in nearby.nearest_station(c, s.limit(0)).collect()} == {None}
+
+
 def test_parse_address(rows):
     values = ["Katu 1, 15100 Lahti, Finland", "Lahti", "Katu 1, Lahti", "", None, "Tori, 00100, Suomi", "33100"]
     df = rows("id long, a string", [{"id": i, "a": v} for i, v in enumerate(values)])

@@ -83,6 +83,19 @@ def test_neighbours_across_ranges(spark):
     assert out == {f"b{i}": (f"b{i - 1}" if i else None, f"b{i + 1}" if i < 49 else None) for i in range(50)}
 
 
+def test_neighbours_work_their_rows_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        seen.add(1)
+        return -i
+
+    df = spark.range(200).repartition(3).select(F.concat(F.lit("b"), "id").alias("business_id"), counted("id").alias("score"))
+    assert L.neighbours(df, [F.col("score").asc()], "business_id").count() == 200
+    assert seen.value == 200
+
+
 def test_overlay_applies_values_and_tags(rows):
     master = rows("business_id string, name string, industry string, tags string, status string", [{"business_id": "1", "name": "A", "industry": "it", "tags": "Data;x", "status": "neutral"}, {"business_id": "2", "name": "B", "industry": "other", "tags": None, "status": "neutral"}])
     edits = rows(
