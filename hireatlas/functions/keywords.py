@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from hireatlas.functions.text import literal_array, strip
+from hireatlas.functions.workers import GIVE_BACK_BYTES, give_back
 
 # Tasks get this code with the function, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,12 +44,14 @@ def keyword_places(lowered: Column, words: Iterable[str]) -> Column:
     """``map<string,int>``: the words that occur in a text, with the place of their first occurrence. A null text has none."""
     words = list(dict.fromkeys(words))
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            maps = list(first_places(words, batch.to_pylist()))
-            offsets = np.concatenate([[0], np.cumsum([len(m) for m in maps], dtype=np.int64)]).astype(np.int32)
-            keys, places = [w for m in maps for w in m], [p for m in maps for p in m.values()]
-            yield pa.MapArray.from_arrays(pa.array(offsets), pa.array(keys, pa.string()), pa.array(places, pa.int32()))
+    # A function of one batch, not of a stream of them: look-ups side by side then share one Python worker.
+    def run(texts: pa.Array) -> pa.Array:
+        maps = list(first_places(words, (text.as_py() for text in texts)))
+        offsets = np.concatenate([[0], np.cumsum([len(m) for m in maps], dtype=np.int64)]).astype(np.int32)
+        keys, places = [w for m in maps for w in m], [p for m in maps for p in m.values()]
+        if texts.nbytes > GIVE_BACK_BYTES:
+            give_back()
+        return pa.MapArray.from_arrays(pa.array(offsets), pa.array(keys, pa.string()), pa.array(places, pa.int32()))
 
     return F.arrow_udf(run, "map<string,int>")(lowered)
 

@@ -1,10 +1,12 @@
 """What Python workers are given at once, and what they keep."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from hireatlas.functions import keywords, markup
-from hireatlas.operators import pages as P
+from hireatlas.operators import pages as P, signal as S
 
 
 def pages_of(spark, n, repeats):
@@ -42,3 +44,9 @@ def test_a_batch_of_pages_leaves_nothing_behind(spark, monkeypatch, repeats, giv
             read.collect()
     else:
         assert len(read.collect()) == 50
+
+
+def test_the_two_word_look_ups_of_a_verdict_share_a_worker(spark):
+    plan = S.page_verdict(pages_of(spark, 5, 1))._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"^.*ArrowEvalPython \[.*$", plan, re.M)
+    assert len(nodes) == 2 and max(node.count("run(") for node in nodes) == 2  # parts of the page; words and phrases
